@@ -233,6 +233,33 @@ VIEWS = {
                     WHEN 'purchase' THEN 'watch_edit' ELSE 'consulta' END AS op,
                user_id AS chain_id, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR(20)) AS nuevo, props
         FROM {events}""",
+    "enlaces": """
+        SELECT page_id, CASE page_id % 4
+                 WHEN 0 THEN concat(base, sep, 'PPI=CO1.PPI.', page_id, '&PPI=CO1.PPI.9&x=')
+                 WHEN 1 THEN concat(base, '/CO1.PCCNTR.', page_id, '#top')
+                 WHEN 2 THEN concat(replace(base, 'http', 'HTTP'), sep, 'isModal=true&noticeUID=CO1.NTC.', page_id, '&Country=co&name=a%20b')
+                 ELSE url END AS url
+        FROM (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS base,
+                     CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END AS sep FROM {pages}) b""",
+    "paginas": """
+        SELECT page_id, replace(html, '</body>', concat(
+                 '<table><tr><td><label>Título:</label></td><td><span>Proceso ', page_id, '</span></td></tr>',
+                 '<tr><td><label>Número del proceso:</label></td><td><input type="text" value="NP-', page_id, '"/></td></tr>',
+                 '<tr><td><label>Valor total:</label></td><td>', CASE WHEN url LIKE 'https:%' THEN concat('$ ', page_id, '.000.000') ELSE 'translator.loadFile(1)' END, '</td></tr>',
+                 '<tr><td><label>Sí</label></td><td>x</td></tr></table><table id="DocumentList"><tr><td><span class="VortalSpan">Pliego_', page_id,
+                 '.pdf</span></td><td><a onclick="getAction(&#39;/Public/Tendering/Notice/DownloadFile&#39; + &#39;?&#39; + &#39;documentFileId=&#39; + &#39;', page_id,
+                 '&#39;, true);">Descargar</a></td></tr></table><table><tr><td>Notificación</td><td>NP-', page_id,
+                 '</td><td>Adenda publicada 22/07/2024 03:15 PM</td><td></td></tr></table></body>')) AS html,
+               url LIKE 'https:%' AS con_valor
+        FROM {pages}""",
+    "montos": """
+        SELECT o_orderkey AS seq, CASE o_orderpriority
+                 WHEN '1-URGENT' THEN concat('$ ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)))
+                 WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'F' THEN '1.234.567,89' WHEN 'O' THEN '88.284.000' ELSE '$12.000 COP' END
+                 WHEN '3-MEDIUM' THEN CASE o_orderstatus WHEN 'F' THEN '1,234,567.89' WHEN 'O' THEN '88,284,000' ELSE '1,200' END
+                 WHEN '4-NOT SPECIFIED' THEN CASE o_orderstatus WHEN 'F' THEN '12,5' WHEN 'O' THEN 'no definido' ELSE '' END
+                 ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR(20)) END AS texto
+        FROM {orders}""",
     "foto_vieja": f"""
         SELECT id_contrato, CASE WHEN fecha_firma >= DATE '{OLD_STAMP}' - INTERVAL 120 DAY THEN 'En ejecución' ELSE estado END AS estado,
                CAST(CAST(valor AS DECIMAL(18,2)) AS VARCHAR(30)) AS valor,

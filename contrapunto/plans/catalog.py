@@ -2,3 +2,4 @@
 
 from contrapunto.plans.registry import ORACLES, QUERIES  # noqa: F401
 from contrapunto.plans import rollup_queries  # noqa: F401
+from contrapunto.plans import source_queries  # noqa: F401

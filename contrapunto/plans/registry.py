@@ -26,6 +26,7 @@ def query(name: str, oracle: str | None = None):
             body = oracle.strip()
             for n in needs(oracle):
                 body = body.replace("{" + n + "}", n)
+            body = body.replace("{{", "{").replace("}}", "}")
             views = duck_ctes(used)
             steps = not body.upper().startswith("SELECT")
             prefix = ("WITH RECURSIVE " if "RECURSIVE_" in body else "WITH ") if (views or steps) else ""
