@@ -27,7 +27,8 @@ def facet_options(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Distinct years (signing or fiscal), states, modalities and sheets, newest first."""
     item = lambda f, v: F.struct(F.lit(f).alias("faceta"), v.cast("string").alias("opcion"))
     single = F.array(item("anio", F.year("fecha_firma")), item("estado", F.col("estado")), item("modalidad", F.col("modalidad")))
-    many = [F.transform(c, lambda v, n=n: item(n, v)) for n, c in (("anio", "vigencias"), ("hoja", "hojas"))]
-    d = df.select(F.explode(F.concat(single, *many)).alias("x")).select("x.*").where("opcion is not null and opcion <> ''").distinct()
+    years = F.transform("vigencias", lambda v: item("anio", v))
+    sheets = F.transform("hojas", lambda v: item("hoja", v))
+    d = df.select(F.explode(F.concat(single, years, sheets)).alias("x")).select("x.*").where("opcion is not null and opcion <> ''").distinct()
     d = d.orderBy("faceta", F.desc("opcion"))
     return d if limit is None else d.limit(limit)

@@ -250,7 +250,7 @@ VIEWS = {
                  '.pdf</span></td><td><a onclick="getAction(&#39;/Public/Tendering/Notice/DownloadFile&#39; + &#39;?&#39; + &#39;documentFileId=&#39; + &#39;', page_id,
                  '&#39;, true);">Descargar</a></td></tr></table><table><tr><td>Notificación</td><td>NP-', page_id,
                  '</td><td>Adenda publicada 22/07/2024 03:15 PM</td><td></td></tr></table></body>')) AS html,
-               url LIKE 'https:%' AS con_valor
+               url LIKE 'https:%' AS con_valor, html LIKE '%</body>%' AS cerrada
         FROM {pages}""",
     "montos": """
         SELECT o_orderkey AS seq, CASE o_orderpriority

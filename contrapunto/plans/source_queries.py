@@ -58,7 +58,7 @@ _CELLS = ["numero", "url", "vigencia", "estado"]
 c AS (SELECT sheet, 1 col_no, 'numero' header, numero val FROM {ledger} UNION ALL SELECT sheet, 2, 'COL_B', url FROM {ledger}
   UNION ALL SELECT sheet, 3, 'vigencia', vigencia FROM {ledger} UNION ALL SELECT sheet, 4, 'estado', estado FROM {ledger})
 SELECT sheet, col_no, header, hits, 'conteo' via FROM (SELECT sheet, col_no, header, count(*) FILTER (contains(lower(val), 'portal.example.org')) hits,
-  row_number() OVER (PARTITION BY sheet ORDER BY count(*) FILTER (contains(lower(val), 'portal.example.org')) DESC, col_no) rn FROM c GROUP BY ALL) WHERE rn = 1""")
+  row_number() OVER (PARTITION BY sheet ORDER BY count(*) FILTER (contains(lower(val), 'portal.example.org')) DESC, col_no) rn FROM c GROUP BY sheet, col_no, header) WHERE rn = 1""")
 def s5(t):
     cells = SC.ledger_cells(t.ledger, ["sheet", "row_no"], _CELLS)
     cells = cells.withColumn("header", F.when(F.col("header") == "url", "COL_B").otherwise(F.col("header")))
@@ -203,9 +203,14 @@ def k4(t):
     return SK.export_view(d)
 
 
-@query("K4_U6_export_raw", """
-SELECT page_id, 'Proceso ' || page_id "field.titulo", 'NP-' || page_id "field.numero_proceso", CASE WHEN con_valor THEN '$ ' || page_id || '.000.000' END "field.valor_total",
-  'Proceso ' || page_id "label.Titulo", 'NP-' || page_id "label.Numero del proceso", CASE WHEN con_valor THEN '$ ' || page_id || '.000.000' ELSE '' END "label.Valor total" FROM {paginas}""")
+_RAW = "CASE WHEN cerrada THEN {} END"
+
+
+@query("K4_U6_export_raw", "SELECT page_id, " + ", ".join(f'{_RAW.format(v)} "{k}"' for k, v in {
+    "field.titulo": "'Proceso ' || page_id", "field.numero_proceso": "'NP-' || page_id",
+    "field.valor_total": "CASE WHEN con_valor THEN '$ ' || page_id || '.000.000' END",
+    "label.Titulo": "'Proceso ' || page_id", "label.Numero del proceso": "'NP-' || page_id",
+    "label.Valor total": "CASE WHEN con_valor THEN '$ ' || page_id || '.000.000' ELSE '' END"}.items()) + " FROM {paginas}")
 def k4_raw(t):
     return SK.export_raw(P.parse_pages(t.paginas, "page_id", "html"), ["page_id"], {"fields": "field", "all_labels": "label"})
 

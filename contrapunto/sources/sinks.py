@@ -94,7 +94,7 @@ def export_raw(portal: DataFrame, ids: list[str], maps: dict[str, str]) -> DataF
     """
     longs = [portal.select(*ids, F.explode(c).alias("k", "v")).withColumn("k", F.concat(F.lit(prefix + "."), "k")) for c, prefix in maps.items()]
     long = reduce(DataFrame.unionByName, longs)
-    return long.groupBy(*ids).pivot("k").agg(F.max("v"))
+    return portal.select(*ids).join(long.groupBy(*ids).pivot("k").agg(F.max("v")), ids, "left")
 
 
 def audit_report(verdicts: DataFrame) -> dict[str, DataFrame]:
