@@ -6,3 +6,4 @@ from contrapunto.plans import source_queries  # noqa: F401
 from contrapunto.plans import projection_queries  # noqa: F401
 from contrapunto.plans import resolve_queries  # noqa: F401
 from contrapunto.plans import quality_queries  # noqa: F401
+from contrapunto.plans import change_queries  # noqa: F401
