@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contrapunto.functions.money import percent_of
 from contrapunto.functions.text import fold, null_placeholder
 from contrapunto.operators import ordering as O
 from contrapunto.schemas import TOTAL
@@ -239,8 +240,7 @@ def budget(contracts: DataFrame, additions: DataFrame) -> DataFrame:
         total("valor").alias("inicial"), F.coalesce(total("a"), zero).alias("adiciones"),
         F.coalesce(total("r"), zero).alias("reducciones"), total("valor_pagado").alias("pagado"))
     s = s.withColumn("total", (F.col("inicial") + F.col("adiciones") - F.col("reducciones")).cast(TOTAL))
-    pct = F.bround(F.col("pagado").cast("decimal(28,2)") * 100 / F.col("total").cast("decimal(28,2)"), 2).cast("decimal(18,2)")
-    return s.withColumn("avance_pct", F.when((F.col("inicial") > 0) & (F.col("total") > 0), pct))
+    return s.withColumn("avance_pct", F.when(F.col("inicial") > 0, percent_of("pagado", "total")))
 
 
 # ---- Entity, recency and freshness views (A16-A21, A29) ---------------------

@@ -15,7 +15,7 @@ from contrapunto.operators import pages as P
 from contrapunto.operators import resolve as R
 from contrapunto.operators import rollups as RU
 from contrapunto.plans.analogs import AS_OF
-from contrapunto.plans.registry import query
+from contrapunto.plans.registry import pct_sql, query
 
 _ID = "CO1\\.[A-Z]+\\.[0-9A-Za-z]+"
 
@@ -280,7 +280,7 @@ _FILL_SQL = [
     ("consorcio", f"CASE WHEN {_C} THEN CASE m.modalidad WHEN '1-URGENT' THEN 'Consorcio' WHEN '2-HIGH' THEN 'Unión Temporal' ELSE 'No' END END", "LOW"),
     ("tipo_id", "nullif(m.tipodoc, 'No Definido')", "HIGH"), ("num_id", "m.documento", "HIGH"), ("dv", "CASE WHEN m.tipodoc = 'NIT' THEN m.dv END", "HIGH"), ("contratista", "m.proveedor", "HIGH"),
     ("garantia_tipo", "g.tipos", "HIGH"), ("garantia_riesgos", "g.riesgos", "HIGH"), ("garantia_fecha", "CAST(g.f AS VARCHAR)", "HIGH"), ("avance_fisico", "CAST(e.r AS VARCHAR)", "HIGH"),
-    ("avance_presup", "CASE WHEN s.inicial > 0 AND s.inicial + s.adi - s.red > 0 THEN CAST(CAST(round_even(100 * s.pagado::DOUBLE / (s.inicial + s.adi - s.red)::DOUBLE, 2) AS DECIMAL(18,2)) AS VARCHAR) END", "HIGH"),
+    ("avance_presup", f"CASE WHEN s.inicial > 0 AND s.inicial + s.adi - s.red > 0 THEN CAST({pct_sql('s.pagado', 's.inicial + s.adi - s.red')} AS VARCHAR) END", "HIGH"),
     ("requiere_liquidacion", "CASE m.liquidacion WHEN 'Si' THEN 'Sí' WHEN 'No' THEN 'No' END", "HIGH"), ("fecha_liquidacion", "CAST(m.fecha_liquidacion AS VARCHAR)", "HIGH"),
     ("proceso", "p.process_id", "HIGH"), ("link", "p.url", "HIGH"),
     ("ingreso", "CASE WHEN m.modalidad IN ('1-URGENT', '2-HIGH') THEN CAST(s.inicial + s.adi - s.red AS VARCHAR) END", "LOW"),

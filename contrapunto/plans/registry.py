@@ -34,3 +34,11 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return wrap
+
+
+def pct_sql(part: str, whole: str) -> str:
+    """Exact half-even percentage of two two-place decimals, for oracles."""
+    n, w = f"(CAST({part} * 100 AS HUGEINT) * 10000)", f"CAST(({whole}) * 100 AS HUGEINT)"
+    q = f"({n} // {w})"
+    up = f"CASE WHEN 2 * ({n} - {q} * {w}) > {w} THEN 1 WHEN 2 * ({n} - {q} * {w}) = {w} THEN {q} % 2 ELSE 0 END"
+    return f"CAST(CAST({q} + {up} AS DECIMAL(20,2)) / 100 AS DECIMAL(18,2))"

@@ -10,7 +10,7 @@ from contrapunto.operators import filters as FL
 from contrapunto.operators import ordering as O
 from contrapunto.operators import rollups as R
 from contrapunto.plans.analogs import AS_OF
-from contrapunto.plans.registry import query
+from contrapunto.plans.registry import pct_sql, query
 
 _A1 = """
 t AS (SELECT process_id, coalesce(sum(na), 0) n_add, coalesce(sum(nr), 0) n_rich, coalesce(sum(vr), 0) valor,
@@ -146,7 +146,7 @@ s AS (SELECT process_id, sum(valor) inicial, coalesce(sum(a), 0)::DECIMAL(38,2)
       FROM {contratos} LEFT JOIN a USING (id_contrato) GROUP BY 1)
 SELECT *, inicial + adiciones - reducciones total,
   CASE WHEN inicial > 0 AND inicial + adiciones - reducciones > 0
-       THEN round_even(100 * pagado::DOUBLE / (inicial + adiciones - reducciones)::DOUBLE, 2)::DECIMAL(18,2) END avance_pct FROM s""")
+       THEN """ + pct_sql("pagado", "inicial + adiciones - reducciones") + """ END avance_pct FROM s""")
 def a8(t):
     return R.budget(t.contratos, t.adiciones)
 
