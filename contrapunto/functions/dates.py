@@ -40,8 +40,7 @@ def norm_date_es(c) -> Column:
 
 def last_long_date(c, first_year: int = 1990, last_year: int = 2030) -> Column:
     """The last long Spanish date of the text whose year is in range."""
-    s = strip_accents(c)
-    found = F.regexp_extract_all(s, F.lit(_LONG_ES), F.lit(0))
+    found = F.regexp_extract_all(col(c), F.lit(_LONG_ES), F.lit(0))
     dates = F.transform(found, norm_date_es)
     valid = F.filter(dates, lambda d: d.isNotNull() & F.year(d).between(first_year, last_year))
     return F.try_element_at(valid, F.lit(-1))

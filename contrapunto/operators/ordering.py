@@ -2,8 +2,8 @@
 
 * ``top_k`` filters on ``row_number() <= k``; Spark then keeps at most k rows per
   group in every map task before the shuffle, so a hot group ships k rows per task.
-* ``joined`` is for closed vocabularies: it removes duplicates with a partial
-  aggregate first, so a cell never sees more than the vocabulary.
+* ``joined`` and ``vocabulary`` are for closed vocabularies: duplicates go in a
+  partial aggregate first, so a cell never sees more than the vocabulary.
 * ``listing`` is for open sets: a group with more values than fit one cell is cut
   into consecutive parts by a range-partitioned sort, nothing is dropped.
 * ``positions`` numbers rows inside groups from per-bucket counts.
@@ -39,6 +39,11 @@ def _listagg(value: str, sep: str, order: str) -> Column:
     return F.expr(f"listagg({value}, '{sep}') within group (order by {order})")
 
 
+def vocabulary(c, sep: str = " | ") -> Column:
+    """Sorted distinct values as text, for groups already reduced to few rows."""
+    return F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif(col(c), F.lit("")))), sep), F.lit(""))
+
+
 def joined(df: DataFrame, keys: list[str], value, out: str, sep: str = " | ") -> DataFrame:
     """Distinct values of a closed vocabulary, sorted, as one text per group."""
     d = df.select(*keys, col(value).alias("_v")).where("_v is not null and _v <> ''").distinct()

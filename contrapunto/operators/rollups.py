@@ -30,24 +30,37 @@ def with_process(child: DataFrame, contracts: DataFrame) -> DataFrame:
     return child.join(contracts.select("id_contrato", "process_id"), "id_contrato")
 
 
+def child_rollup(child: DataFrame, contracts: DataFrame, labels: list[str], aggs: dict[str, tuple]) -> DataFrame:
+    """One scan of a child table to one row per process.
+
+    ``aggs`` maps a name to (aggregate over child rows, how its partials merge).
+    Sums are first kept per label value, so the label vocabularies come out of the
+    same pass: the last step only sees as many rows per process as there are labels.
+    """
+    merge = [fn(n).alias(n) for n, (_, fn) in aggs.items()]
+    per = child.groupBy("id_contrato", *labels).agg(*[a.alias(n) for n, (a, _) in aggs.items()])
+    d = with_process(per, contracts).groupBy("process_id", *labels).agg(*merge)
+    if not labels:
+        return d
+    return d.groupBy("process_id").agg(*merge, *[O.vocabulary(null_placeholder(x)).alias(x) for x in labels])
+
+
 # ---- Amendments (A1, P22) ---------------------------------------------------
 
 
 def amendment_totals_by_process(contracts: DataFrame, additions: DataFrame, rich: DataFrame) -> DataFrame:
-    add = additions.groupBy("id_contrato").agg(F.count("*").alias("n_add"), F.max("fecha").alias("f_add"))
-    mod = rich.groupBy("id_contrato").agg(
-        F.count("*").alias("n_rich"), F.sum("valor").alias("v_rich"), F.sum("dias").alias("d_rich"),
-        F.max("fecha_aprob").alias("f_rich"),
-    )
-    per = contracts.select("process_id", "id_contrato", "dias_adicionados")
-    per = per.join(add, "id_contrato", "left").join(mod, "id_contrato", "left")
-    return per.groupBy("process_id").agg(
-        F.coalesce(F.sum("n_add"), F.lit(0)).alias("n_add"),
-        F.coalesce(F.sum("n_rich"), F.lit(0)).alias("n_rich"),
-        F.coalesce(F.sum("v_rich"), F.lit(0)).cast(TOTAL).alias("valor"),
-        F.coalesce(F.nullif(F.sum("d_rich"), F.lit(0)), F.sum("dias_adicionados"), F.lit(0)).alias("dias"),
-        F.max(F.greatest("f_add", "f_rich")).alias("fecha_ultima"),
-    )
+    """Counts, sums and types of both amendment tables, one scan each."""
+    add = child_rollup(additions, contracts, ["tipo"], {"n_add": (F.count("*"), F.sum), "f_add": (F.max("fecha"), F.max)})
+    mod = child_rollup(rich, contracts, [], {
+        "n_rich": (F.count("*"), F.sum), "v_rich": (F.sum("valor"), F.sum), "d_rich": (F.sum("dias"), F.sum),
+        "f_rich": (F.max("fecha_aprob"), F.max)})
+    days = contracts.groupBy("process_id").agg(F.sum("dias_adicionados").alias("d_own"))
+    per = days.join(add, "process_id", "left").join(mod, "process_id", "left")
+    return per.select(
+        "process_id", F.coalesce("n_add", F.lit(0)).alias("n_add"), F.coalesce("n_rich", F.lit(0)).alias("n_rich"),
+        F.coalesce(F.col("v_rich"), F.lit(0)).cast(TOTAL).alias("valor"),
+        F.coalesce(F.nullif("d_rich", F.lit(0)), "d_own", F.lit(0)).alias("dias"),
+        F.greatest("f_add", "f_rich").alias("fecha_ultima"), F.replace("tipo", F.lit(" | "), F.lit("; ")).alias("tipos"))
 
 
 def amendment_details(contracts: DataFrame, additions: DataFrame, rich: DataFrame, k: int = 10) -> DataFrame:
@@ -87,11 +100,9 @@ def amendment_note(df: DataFrame) -> Column:
 def amendment_summary(processes: DataFrame, contracts: DataFrame, additions: DataFrame, rich: DataFrame,
                       tags: tuple[str, str] = ("cb9c", "u8cx")) -> DataFrame:
     totals = amendment_totals_by_process(contracts, additions, rich)
-    kinds = with_process(additions.select("id_contrato", "tipo").distinct(), contracts)
-    kinds = O.joined(kinds, ["process_id"], F.trim("tipo"), "tipos", "; ")
     lists = amendment_details(contracts, additions, rich)
     base = processes.select("process_id").join(totals, "process_id", "left")
-    base = base.join(kinds, "process_id", "left").join(lists, "process_id", "left").fillna({"n_add": 0, "n_rich": 0, "dias": 0, "tipos": ""})
+    base = base.join(lists, "process_id", "left").fillna({"n_add": 0, "n_rich": 0, "dias": 0, "tipos": ""})
     base = base.withColumn("valor", F.coalesce("valor", F.lit(0).cast(TOTAL)))
     n = F.greatest("n_add", "n_rich")
     none = (F.col("n_add") == 0) & (F.col("n_rich") == 0)
@@ -115,15 +126,14 @@ def amendment_summary(processes: DataFrame, contracts: DataFrame, additions: Dat
 
 
 def contract_rollup(contracts: DataFrame) -> DataFrame:
-    sums = contracts.groupBy("process_id").agg(
-        F.count("*").alias("contratos"), total("valor").alias("valor"), total("valor_pagado").alias("valor_pagado"),
-        F.sum(F.col("valor") - F.col("valor_pagado")).cast(TOTAL).alias("valor_pendiente"),
-        F.sum("dias_adicionados").alias("dias_adicionados"),
-        F.min("fecha_firma").alias("primera_firma"), F.max("fecha_fin").alias("ultimo_fin"),
-    )
-    states = O.joined(contracts, ["process_id"], "estado", "estados")
-    natures = O.joined(contracts, ["process_id"], null_placeholder("tipodoc"), "tipos_doc")
-    return sums.join(states, "process_id", "left").join(natures, "process_id", "left")
+    """Counts, money sums, dates and states of a process, in one pass over the contracts."""
+    sums = {"contratos": (F.count("*"), F.sum), "valor": (F.sum("valor"), F.sum), "valor_pagado": (F.sum("valor_pagado"), F.sum),
+            "dias_adicionados": (F.sum("dias_adicionados"), F.sum), "primera_firma": (F.min("fecha_firma"), F.min), "ultimo_fin": (F.max("fecha_fin"), F.max)}
+    per = contracts.groupBy("process_id", "estado", "tipodoc").agg(*[a.alias(n) for n, (a, _) in sums.items()])
+    d = per.groupBy("process_id").agg(*[fn(n).alias(n) for n, (_, fn) in sums.items()], O.vocabulary("estado").alias("estados"),
+                                      O.vocabulary(null_placeholder("tipodoc")).alias("tipos_doc"))
+    return d.withColumns({"valor": F.col("valor").cast(TOTAL), "valor_pagado": F.col("valor_pagado").cast(TOTAL),
+                          "valor_pendiente": (F.col("valor") - F.col("valor_pagado")).cast(TOTAL)})
 
 
 def contract_lists(contracts: DataFrame, cell: int = 256) -> DataFrame:
@@ -148,18 +158,18 @@ def contract_lists(contracts: DataFrame, cell: int = 256) -> DataFrame:
 # ---- Policies, payments, progress, edits, documents (A3-A7, A9) -------------
 
 
+POLICY_AGGS = {
+    "polizas": ("count(*)", F.sum), "vigentes": ("count_if(lower(estado) = 'vigente')", F.sum), "fin_max": ("max(fecha_fin)", F.max),
+    "primera_expedicion": ("min(fecha_exp)", F.min), "valor_total": ("sum(valor)", F.sum)}
+
+
+def policy_totals(contracts: DataFrame, g: DataFrame, labels: list[str], only: list[str] | None = None) -> DataFrame:
+    return child_rollup(g, contracts, labels, {n: (F.expr(e), fn) for n, (e, fn) in POLICY_AGGS.items() if only is None or n in only})
+
+
 def policies(contracts: DataFrame, g: DataFrame, k: int = 10) -> DataFrame:
-    active = F.lower("estado") == "vigente"
-    per = g.groupBy("id_contrato").agg(
-        F.count("*").alias("n"), F.count_if(active).alias("v"), F.max("fecha_fin").alias("fin"),
-        F.min("fecha_exp").alias("exp"), F.sum("valor").alias("valor"))
-    sums = with_process(per, contracts).groupBy("process_id").agg(
-        F.sum("n").alias("polizas"), F.sum("v").alias("vigentes"), F.max("fin").alias("fin_max"),
-        F.min("exp").alias("primera_expedicion"), total("valor").alias("valor_total"))
-    names = with_process(g.select("id_contrato", "aseguradora", "tipo", "riesgo").distinct(), contracts)
-    out = sums
-    for c, name in (("aseguradora", "aseguradoras"), ("tipo", "tipos"), ("riesgo", "riesgos")):
-        out = out.join(O.joined(names, ["process_id"], null_placeholder(c), name), "process_id", "left")
+    out = policy_totals(contracts, g, ["aseguradora", "tipo", "riesgo"])
+    out = out.withColumn("valor_total", F.col("valor_total").cast(TOTAL)).withColumnsRenamed({"aseguradora": "aseguradoras", "tipo": "tipos", "riesgo": "riesgos"})
     text = F.concat(F.left("tipo", F.lit(25)), F.lit(" "), F.left("aseguradora", F.lit(30)), F.lit(" #"), "numero",
                     F.lit(" ("), "estado", F.lit(", vence "), F.col("fecha_fin").cast("string"), F.lit(")"))
     few = O.top_k(g.withColumn("t", text), ["id_contrato"], ["fecha_fin", "numero", "t"], k, "_r")
@@ -230,15 +240,17 @@ def document_counts(docs: DataFrame, category: Column, k: int = 8) -> DataFrame:
 # ---- Budget (A8) ------------------------------------------------------------
 
 
-def budget(contracts: DataFrame, additions: DataFrame) -> DataFrame:
-    per = additions.groupBy("id_contrato").agg(
-        F.sum(F.when(F.col("valor") > 0, F.col("valor"))).alias("a"),
-        F.sum(F.when(F.col("valor") <= 0, -F.col("valor"))).alias("r"))
-    c = contracts.select("process_id", "id_contrato", "valor", "valor_pagado").join(per, "id_contrato", "left")
+def budget(contracts: DataFrame, additions: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Initial, additions, reductions, total and paid share, in exact decimals.
+
+    With ``labels`` the vocabularies of those addition columns come along.
+    """
+    add = child_rollup(additions, contracts, labels or [], {
+        "adiciones": (F.sum(F.when(F.col("valor") > 0, F.col("valor"))), F.sum),
+        "reducciones": (F.sum(F.when(F.col("valor") <= 0, -F.col("valor"))), F.sum)})
+    s = contracts.groupBy("process_id").agg(total("valor").alias("inicial"), total("valor_pagado").alias("pagado"))
     zero = F.lit(0).cast(TOTAL)
-    s = c.groupBy("process_id").agg(
-        total("valor").alias("inicial"), F.coalesce(total("a"), zero).alias("adiciones"),
-        F.coalesce(total("r"), zero).alias("reducciones"), total("valor_pagado").alias("pagado"))
+    s = s.join(add, "process_id", "left").withColumns({c: F.coalesce(F.col(c).cast(TOTAL), zero) for c in ("adiciones", "reducciones")})
     s = s.withColumn("total", (F.col("inicial") + F.col("adiciones") - F.col("reducciones")).cast(TOTAL))
     return s.withColumn("avance_pct", F.when(F.col("inicial") > 0, percent_of("pagado", "total")))
 

@@ -14,6 +14,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python line of every column call doubles plan-building time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
