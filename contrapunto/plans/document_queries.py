@@ -46,7 +46,7 @@ _RANK = "coalesce(nullif(list_position([" + ", ".join(f"'{x}'" for x in S.TYPE_O
 SELECT process_id, doc_id, row_number() OVER (PARTITION BY process_id ORDER BY {_RANK}, coalesce(try_cast(regexp_extract(numero, '^(\\d+)', 1) AS INT), 0), doc_id) orden FROM nm WHERE tipo IS NOT NULL""")
 def w10(t):
     d = D.classify_names(t.archivos).where("tipo is not null").withColumn("_r", D.type_rank("tipo")).withColumn("_n", D.number_rank("numero"))
-    return O.positions(d, ["process_id"], ["_r", "_n", "doc_id"], F.struct("_r", "_n"), "orden").select("process_id", "doc_id", "orden")
+    return O.positions(d, ["process_id"], ["_r", "_n", "doc_id"], F.struct("_r", "_n", F.expr("doc_id div 4096")), "orden").select("process_id", "doc_id", "orden")
 
 
 _LABEL = "CASE tipo " + " ".join(f"WHEN '{k}' THEN CASE WHEN n = 1 THEN '{a}' ELSE '{b}' END" for k, (a, b) in S.TYPE_LABELS.items()) + " END"

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from contrapunto.operators import ordering as O
 from contrapunto.operators.changes import movements
-from contrapunto.operators.integrity import GENESIS, canonical, segment_of
+from contrapunto.operators.integrity import GENESIS, SEGMENT, canonical, segment_of
 from contrapunto.session import shared_dir
 from contrapunto.sources.sinks import save_snapshot
 
@@ -113,11 +113,15 @@ def stream_verify(log: DataFrame, columns: list[str]) -> DataFrame:
     def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         chain, segment = key
         start = GENESIS if segment == 0 else hashlib.sha256(f"{chain}:{segment}".encode()).hexdigest()
-        pos, last = state.get if state.exists else (0, start)
+        last = state.get[1] if state.exists else start
         rows = pd.concat(list(frames)).sort_values("cpos")
         before = pd.Series([last, *rows["hash"].tolist()[:-1]], index=rows.index)
         broken = int(((rows["hash"] != rows["esperado"]) | (rows["prev_hash"] != before)).sum())
-        state.update((int(rows["cpos"].iloc[-1]), rows["hash"].iloc[-1]))
-        yield pd.DataFrame({"chain_id": [chain], "segmento": [segment], "entradas": [len(rows)], "rotas": [broken], "ultima": [int(rows["cpos"].iloc[-1])]})
+        end = int(rows["cpos"].iloc[-1])
+        if end % SEGMENT == 0:
+            state.remove()  # the segment is complete
+        else:
+            state.update((end, rows["hash"].iloc[-1]))
+        yield pd.DataFrame({"chain_id": [chain], "segmento": [segment], "entradas": [len(rows)], "rotas": [broken], "ultima": [end]})
 
     return d.groupBy("chain_id", "segmento").applyInPandasWithState(check, _BROKEN, _STATE, "append", GroupStateTimeout.NoTimeout)
