@@ -12,6 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contrapunto.session import ship_package
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -286,6 +288,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self._made = spark, str(Path(folder)), {}
+        ship_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

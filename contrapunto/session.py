@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context.
+
+    Not needed where it is installed on the executors or passed with ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_contrapunto_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="contrapunto-")) / "contrapunto.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._contrapunto_shipped = True
