@@ -317,7 +317,7 @@ def p25(t):
 
 
 @query("E1_column_groups", """
-SELECT p.process_id, c.contratos, c.valor, a.adiciones, NULL rotas, 'AnalysisException' roto_error FROM {procesos} p
+SELECT p.process_id, c.contratos, c.valor, a.adiciones, CAST(NULL AS VARCHAR) rotas, 'AnalysisException' roto_error FROM {procesos} p
 LEFT JOIN (SELECT process_id, count(*) contratos, sum(valor) valor FROM {contratos} GROUP BY 1) c USING (process_id)
 LEFT JOIN (SELECT process_id, count(*) adiciones FROM {adiciones} JOIN {contratos} USING (id_contrato) GROUP BY 1) a USING (process_id)""")
 def e1(t):

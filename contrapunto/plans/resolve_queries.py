@@ -102,12 +102,12 @@ def j5(t):
 
 
 @query("J7_process_detail", """
-SELECT process_id, 'proceso' seccion, process_id clave, json_object('entidad', entidad, 'fase', fase, 'nombre', nombre) contenido FROM {procesos}
+SELECT process_id, seccion, clave, CAST(contenido AS VARCHAR) contenido FROM (SELECT process_id, 'proceso' seccion, process_id clave, json_object('entidad', entidad, 'fase', fase, 'nombre', nombre) contenido FROM {procesos}
 UNION ALL SELECT process_id, 'contrato', id_contrato, json_object('estado', estado, 'proveedor', proveedor, 'valor', CAST(valor AS VARCHAR)) FROM {contratos}
 UNION ALL SELECT process_id, 'adicion', a.id_contrato, json_object('dias', CAST(a.dias AS VARCHAR), 'fecha', CAST(a.fecha AS VARCHAR), 'tipo', a.tipo, 'valor', CAST(a.valor AS VARCHAR)) FROM {adiciones} a JOIN {contratos} c USING (id_contrato)
 UNION ALL SELECT process_id, 'garantia', g.id_contrato, json_object('estado', g.estado, 'tipo', g.tipo, 'valor', CAST(g.valor AS VARCHAR)) FROM {garantias} g JOIN {contratos} c USING (id_contrato)
 UNION ALL SELECT process_id, 'factura', f.id_contrato, json_object('estado', f.estado, 'numero', f.numero, 'valor_total', CAST(f.valor_total AS VARCHAR)) FROM {facturas} f JOIN {contratos} c USING (id_contrato)
-UNION ALL SELECT process_id, 'nota', sheet || ':' || row_no, json_object('text', text) FROM {notas} SEMI JOIN {procesos} USING (process_id)""")
+UNION ALL SELECT process_id, 'nota', sheet || ':' || row_no, json_object('text', text) FROM {notas} SEMI JOIN {procesos} USING (process_id)) z""")
 def j7(t):
     from contrapunto.operators.detail import process_detail
     notes = t.notas.withColumn("clave", F.concat_ws(":", "sheet", F.col("row_no").cast("string")))
