@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contrapunto.llm import bpe, multiset, simhash
+from contrapunto.llm import bpe, multiset, simhash, substrings
 from contrapunto.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,8 @@ def op7_multiset_fingerprints(spark, folder):
 @query
 def op9_simhash_groups(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_repeated_substrings(spark, folder):
+    return substrings.digests(table(spark, folder, "documents"))
