@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contrapunto.llm import bpe, multiset, simhash, substrings
+from contrapunto.llm import bpe, multiset, simhash, substrings, toxicity
 from contrapunto.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op9_simhash_groups(spark, folder):
 @query
 def op10_repeated_substrings(spark, folder):
     return substrings.digests(table(spark, folder, "documents"))
+
+
+@query
+def op8_toxicity(spark, folder):
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
