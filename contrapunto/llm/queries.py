@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contrapunto.llm import bpe, multiset, simhash, substrings, toxicity
+from contrapunto.llm import bpe, decontaminate, multiset, pii, simhash, substrings, toxicity
 from contrapunto.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,13 @@ def op10_repeated_substrings(spark, folder):
 @query
 def op8_toxicity(spark, folder):
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op6_benchmark_leaks(spark, folder):
+    return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op3_pseudonyms(spark, folder):
+    return pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"), count="n_changed")
