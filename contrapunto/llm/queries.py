@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contrapunto.llm import bpe, decontaminate, multiset, pii, simhash, substrings, toxicity
+from contrapunto.llm import bpe, chat, decontaminate, licenses, multiset, pii, quality, simhash, substrings, toxicity
 from contrapunto.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,21 @@ def op6_benchmark_leaks(spark, folder):
 @query
 def op3_pseudonyms(spark, folder):
     return pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"), count="n_changed")
+
+
+@query
+def op2_chat_format(spark, folder):
+    same = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(same).alias("text"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.formatted(turns, *tokenizer()), *tokenizer())
+
+
+@query
+def op4_license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op5_quality(spark, folder):
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
