@@ -11,8 +11,8 @@ nine blocks of the index.  A block is sorted by Gray rank, so that neighbours di
 fingerprints are leaves, and each upper node holds the bit pattern that all of its group share,
 with a mask of those bits.  A search adds up differences from the top: below a node only bits that
 its parent did not mask are compared, and a group whose sum passes the distance is dropped whole.
-A block that has outgrown ``BLOCK`` is dealt out again by two more bands, after which at most 14
-bits are free: no block can hold more than 2**14 different fingerprints.
+A block that has outgrown ``BLOCK`` is dealt out again by two more levels of bands, and so on: at
+distance 2, four levels leave at most 14 free bits, so no block can hold more than 2**14 fingerprints.
 Within a block only a spanning forest of the links is kept, so groups of copies yield as many
 links as members.  All bits but the band's may lie anywhere: nothing is lost.
 
@@ -32,6 +32,7 @@ from contrapunto.llm.common import durable, slices, wanted
 from contrapunto.llm.components import components
 
 BLOCK = 4096   # members of a block before it is dealt out again
+DEEPEST = 6    # levels of bands at most; at distance 2, four leave at most 14 bits free
 FAN = 8        # children of an upper node
 SEED = 42
 GREATEST = (1 << 63) - 1
@@ -188,14 +189,17 @@ def _searched(blocks: DataFrame, distance: int) -> DataFrame:
 
 def links(nodes: DataFrame, distance: int = 2, block: int = BLOCK) -> DataFrame:
     """A spanning set of the links (a, b) among the different ``fp`` of ``nodes``."""
-    parts = distance + 1
-    coarse = _blocks(nodes.select("fp"), _masks(2, parts))
-    large = durable(coarse.groupBy("block", "bits").count().where(F.col("count") > block).select("block", "bits"))
-    if large.isEmpty():
-        return _searched(coarse, distance)
-    small = coarse.join(large, ["block", "bits"], "left_anti")
-    fine = _blocks(coarse.join(large, ["block", "bits"]).select("fp").distinct(), _masks(4, parts))
-    return _searched(small, distance).unionByName(_searched(fine, distance))
+    parts, levels = distance + 1, 2
+    left, found = _blocks(nodes.select("fp"), _masks(levels, parts)), None
+    while True:
+        large = durable(left.groupBy("block", "bits").count().where(F.col("count") > block).select("block", "bits")) if levels < DEEPEST else None
+        if large is None or large.isEmpty():
+            part = _searched(left, distance)
+            return part if found is None else found.unionByName(part)
+        part = _searched(left.join(large, ["block", "bits"], "left_anti"), distance)
+        found = part if found is None else found.unionByName(part)
+        levels += 2
+        left = _blocks(left.join(large, ["block", "bits"]).select("fp").distinct(), _masks(levels, parts))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, block: int = BLOCK) -> DataFrame:
@@ -212,9 +216,9 @@ def near_duplicates(docs: DataFrame, distance: int = 2, block: int = BLOCK) -> D
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     """The documents, one of each group: the one with the least ``doc_id`` (of equal ids, one row)."""
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs, distance)
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"])).select(docs["*"])
     return kept

@@ -278,20 +278,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[li
     return [r["text"] for r in rows], [int(r["y"]) for r in rows], count.get(1, 0) / max(1, total)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default ``doc_id``) with ``score`` for every row."""
-    keep = keep or ["doc_id"]
-    source = wanted(docs, *keep, "text") if "text" not in keep else wanted(docs, *keep)
-    at = source.columns.index("text")
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id`` and ``score`` for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: embeddings and filters
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + ", score double"
 
     def run(batches):
         for b in slices(batches, 128):
-            s = sent.value.scores(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(s, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return source.mapInArrow(run, schema)
+    return wanted(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -301,6 +296,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic."""
-    model = fit(*sample(docs, labels))
-    return score(docs, model, keep=docs.columns).where("score < 0.5").drop("score")
+    """The documents that are not predicted toxic; all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels)))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in slices(batches, 128):
+            yield b.filter(pa.array(sent.value.scores(b.column(at).to_pylist()) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
