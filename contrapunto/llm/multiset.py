@@ -110,8 +110,8 @@ def against_next(docs: DataFrame) -> DataFrame:
     The edited text has the last half of the code points replaced by the beginning of the next
     document (ascending ``doc_id``, after the last the first; null ids come first).
     """
-    source = wanted(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                                                   F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"))
+    # both uses of the texts read the same two columns, so that they share one exchange
+    source = wanted(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     near = neighbours(source)
     # each key's previous document needs half its own length from this one
     lengths = source.groupBy("key").agg(F.max(F.length("text")).alias("n"))
@@ -120,18 +120,18 @@ def against_next(docs: DataFrame) -> DataFrame:
     starts = held.groupBy(F.col("prev").alias("key")).agg(F.min(F.expr("substring(text, 1, need)")).alias("start"))
     half = "cast(length(text) div 2 as int)"
     edited = held.join(starts, "key").select(
-        "key", F.monotonically_increasing_id().alias("row"), "doc_id", "next", F.length("text").cast("long").alias("n_chars"), "text",
+        "key", F.monotonically_increasing_id().alias("row"), "next", F.length("text").cast("long").alias("n_chars"), "text",
         F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(start, 1, {half}))").alias("edited"))
-    kinds = edited.select("key", "row", "doc_id", "next", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+    kinds = edited.select("key", "row", "next", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                           F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("u"))
-    kinds = kinds.select("key", "row", "doc_id", "next", "n_chars", "edited_sha256", "u.kind", "u.text")
-    fp = fingerprints(kinds, ["key", "row", "kind"], carry=["doc_id", "next", "n_chars", "edited_sha256"])
+    kinds = kinds.select("key", "row", "next", "n_chars", "edited_sha256", "u.kind", "u.text")
+    fp = fingerprints(kinds, ["key", "row", "kind"], carry=["next", "n_chars", "edited_sha256"])
     fp = fp.withColumn("fp", F.struct("n", "flags", "sums"))
     rows = fp.groupBy("key", "row").agg(
-        *[F.any_value(c).alias(c) for c in ("doc_id", "next", "n_chars", "edited_sha256")],
+        *[F.any_value(c).alias(c) for c in ("next", "n_chars", "edited_sha256")],
         F.max_by("fp", -F.col("kind")).alias("fp"), F.max_by("fp", "kind").alias("edited_fp"))
     kept = durable(rows.drop("row"))
     following = kept.groupBy(F.col("key").alias("next")).agg(F.min("fp").alias("next_fp"))
     return kept.join(following, "next").select(
-        "doc_id", "n_chars", "edited_sha256", printed("fp").alias("fingerprint"), printed("edited_fp").alias("edited_fingerprint"),
+        F.when(kept["key"] != LEAST, kept["key"]).alias("doc_id"), "n_chars", "edited_sha256", printed("fp").alias("fingerprint"), printed("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
