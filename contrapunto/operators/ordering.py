@@ -4,8 +4,8 @@
   group in every map task before the shuffle, so a hot group ships k rows per task.
 * ``joined`` and ``vocabulary`` are for closed vocabularies: duplicates go in a
   partial aggregate first, so a cell never sees more than the vocabulary.
-* ``listing`` is for open sets: a group with more values than fit one cell is cut
-  into consecutive parts by a range-partitioned sort, nothing is dropped.
+* ``listing`` is for open sets: every group is cut into consecutive parts by the positions
+  of its values (``numbered``), nothing is dropped.
 * ``positions`` numbers rows inside groups from per-bucket counts.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contrapunto.functions.text import col
+from contrapunto.session import shared_dir
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rn") -> DataFrame:
@@ -62,26 +63,35 @@ def top_list(df: DataFrame, keys: list[str], order: list, k: int, text, out: str
     return lists.join(counts, keys).withColumn(out, F.concat_ws(sep, F.col(out), tail)).drop("_n")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
+    """1-based position of every row in its group by a total order, for groups of any size.
+
+    Rows are dealt by range of (keys, order), so a large group is spread over many tasks; a row's
+    position is its number inside its range plus the counts of the group's earlier ranges.  The
+    dealt rows are checkpointed, so that both parts see the same ranges; positions do not depend
+    on where the ranges lie.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    d = df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    counts = d.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    offsets = counts.select(*keys, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = d.withColumn("_i", F.row_number().over(W.partitionBy(*keys, "_p").orderBy(*order)))
+    return local.join(offsets, [*keys, "_p"]).withColumn(out, F.col("_off") + F.col("_i")).drop("_p", "_i", "_off")
+
+
 def listing(df: DataFrame, keys: list[str], value, out: str, sep: str = " | ", by=None, cell: int = 256) -> DataFrame:
     """All distinct values per group, in value order or first-seen order (``by``).
 
-    A group of at most ``cell`` values is one row with ``part`` 0; a larger one is
-    cut into consecutive parts (ordered by ``part``) of at most ``cell`` values.
+    A group is cut into consecutive parts of ``cell`` values, numbered from 0, by one rule for
+    all sizes: the part is the value's position div ``cell``.
     """
     d = df.select(*keys, col(value).alias("_v"), (col(by) if by is not None else col(value)).alias("_o"))
     d = d.where("_v is not null and _v <> ''").groupBy(*keys, "_v").agg(F.min("_o").alias("_o"))
-    n = d.groupBy(*keys).agg(F.count("*").alias("_n"))
-    d = d.join(n, keys)
-    small = d.where(F.col("_n") <= cell).groupBy(*keys).agg(_listagg("_v", sep, "_o, _v").alias(out))
-    small = small.withColumn("part", F.lit(0).cast("bigint"))
-    large = (
-        d.where(F.col("_n") > cell)
-        .orderBy(*keys, "_o", "_v")
-        .withColumn("_m", F.monotonically_increasing_id())
-        .withColumn("part", F.expr(f"shiftright(_m, 33) * 8589934592 + (_m & 8589934591) div {cell}"))
-        .groupBy(*keys, "part").agg(_listagg("_v", sep, "_o, _v").alias(out))
-    )
-    return small.unionByName(large)
+    d = numbered(d, keys, ["_o", "_v"], "_pos").withColumn("part", F.expr(f"(_pos - 1) div {cell}"))
+    return d.groupBy(*keys, "part").agg(_listagg("_v", sep, "_pos").alias(out)).select(*keys, out, "part")
 
 
 def positions(df: DataFrame, keys: list[str], order: list, bucket, out: str = "pos") -> DataFrame:

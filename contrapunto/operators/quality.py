@@ -117,8 +117,9 @@ def source_values(frames: dict[str, DataFrame]) -> DataFrame:
     """
     rows = reduce(DataFrame.unionByName, [
         d.select("id_contrato", F.lit(s).alias("src"), col("valor").cast("decimal(18,2)").alias("valor"), "fecha", "proveedor") for s, d in frames.items()])
-    aggs = [F.max(F.when(F.col("src") == s, F.col(c))).alias(f"{c}_{s}") for s in frames for c in ("valor", "fecha", "proveedor")]
-    return rows.groupBy("id_contrato").agg(*aggs)
+    # one whole row per source (the latest, then the largest), never columns of different rows
+    picks = [F.max(F.when(F.col("src") == s, F.struct("fecha", "valor", "proveedor"))).alias(s) for s in frames]
+    return rows.groupBy("id_contrato").agg(*picks).select("id_contrato", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in frames for c in ("valor", "fecha", "proveedor")])
 
 
 def cross_check(values: DataFrame, sources: list[str], tolerance: float = 0.005) -> DataFrame:

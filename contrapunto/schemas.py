@@ -65,7 +65,7 @@ LEDGER_COLUMNS = {
     "vigencia": "3.VIGENCIA",
     "objeto": "4. OBJETO",
     "fecha_suscripcion": "5. FECHA SUSCRIPCIÓN",
-    "plazo": "6. PLAZO DE EJECUCIÓN",
+    "plazo": "6. PLAZO",
     "fecha_inicio": "8. FECHA INICIO",
     "fecha_terminacion": "9. FECHA TERMINACIÓN",
     "estado": "10.ESTADO DEL CONTRATO",

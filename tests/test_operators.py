@@ -295,6 +295,38 @@ def test_a_missing_entry_breaks_the_link(spark):
     assert [r.cpos for r in IN.verify_chain(log.where("pos <> 4"), "chain_id", COLS).collect()] == [6]
 
 
+def test_a_lost_segment_or_tail_is_found(spark):
+    n = IN.SEGMENT * 3
+    log = IN.build_chain(entries(spark, n), "chain_id", "pos", COLS).cache()
+    roots = IN.chain_roots(log, "chain_id")
+    at = lambda d, r=None: sorted(x.cpos for x in IN.verify_chain(d, "chain_id", COLS, r).collect())
+    assert at(log, roots) == []
+    assert at(log.where("segmento <> 0")) == [1]
+    assert at(log.where("segmento <> 1")) == [IN.SEGMENT + 1]
+    assert at(log.where(f"cpos not between {IN.SEGMENT - 5} and {IN.SEGMENT}")) == [IN.SEGMENT - 5]
+    assert at(log.where(f"cpos <= {n - 7}")) == [] and at(log.where(f"cpos <= {n - 7}"), roots) == [n - 6]
+    assert at(log.limit(0), roots) == [1]
+
+
+@pytest.mark.parametrize("shuffle", ["2", "7"])
+def test_listing_parts_do_not_depend_on_partitions(spark, shuffle):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    try:
+        d = spark.range(900).selectExpr("'a' k", "concat('v', id) v", "id o").unionByName(spark.range(5).selectExpr("'b' k", "concat('w', id) v", "id o"))
+        got = {(r.k, r.part): r.t.split(" | ") for r in O.listing(d, ["k"], "v", "t", by="o", cell=256).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {("a", p): [f"v{i}" for i in range(256 * p, min(900, 256 * p + 256))] for p in range(4)}
+    assert got == {**want, ("b", 0): [f"w{i}" for i in range(5)]}
+
+
+def test_source_values_come_from_one_row(spark):
+    d = spark.createDataFrame([("c", 5, "2024-01-01", "A"), ("c", 3, "2024-02-01", "B")], "id_contrato string, valor long, fecha string, proveedor string")
+    r = Q.source_values({"x": d}).first()
+    assert (float(r.valor_x), r.fecha_x, r.proveedor_x) == (3.0, "2024-02-01", "B")
+
+
 def test_long_chain_is_segmented(spark):
     n = IN.SEGMENT * 2 + 10
     log = IN.build_chain(entries(spark, n), "chain_id", "pos", COLS).cache()
