@@ -88,15 +88,16 @@ def identity_block(p: DataFrame, contracts: DataFrame, places: DataFrame, cell:
         F.concat(F.lit("$"), F.format_number("precio_base", 0)).alias("valor")).join(lists, "process_id", "left")
 
 
-def portal_block(portal: DataFrame, labels: dict[str, str] = S.PORTAL_LABELS, notices: int = 10) -> DataFrame:
-    """Curated label columns, notice and document texts, counts and missing fields."""
+def portal_block(portal: DataFrame, labels: dict[str, str] = S.PORTAL_LABELS, most: int | None = None) -> DataFrame:
+    """Curated label columns, notice and document texts (all, or the first ``most``), counts and missing fields."""
     fields = [F.try_element_at("fields", F.lit(k)).alias("portal_" + k) for k in labels.values()]
     item = lambda n: F.trim(F.concat_ws(" ", n["evento"], n["fecha"]))
+    told = lambda c: F.col(c) if most is None else F.slice(c, 1, most)
     return portal.select(
         "notice_id", *fields,
-        F.array_join(F.transform(F.slice("notificaciones", 1, notices), item), " | ").alias("notificaciones_texto"),
+        F.array_join(F.transform(told("notificaciones"), item), " | ").alias("notificaciones_texto"),
         F.coalesce(F.size("notificaciones"), F.lit(0)).alias("notificaciones_n"),
-        F.array_join(F.transform(F.slice("documents", 1, notices), lambda d: d["name"]), " | ").alias("documentos_texto"),
+        F.array_join(F.transform(told("documents"), lambda d: d["name"]), " | ").alias("documentos_texto"),
         F.coalesce(F.size("documents"), F.lit(0)).alias("documentos_n"),
         F.array_join("missing_fields", ", ").alias("faltantes"), "status", "scraped_at")
 

@@ -1,205 +1,239 @@
 """Portal pages to fields, documents and notices.
 
-HTML needs a real parser, so each page goes through the standard-library one in an
-Arrow-batched task; Spark spreads the pages, and one page is all a task holds.
+HTML needs a real parser, so Python cuts each page into table rows and label pairs, in
+Arrow batches; one page is all a task holds.  Every rule about labels, documents and
+notices is a column expression over those rows and pairs.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contrapunto import schemas as S
-from contrapunto.operators import ordering as O
+from contrapunto.functions.text import squeeze, strip_accents
 
-# Fixed values
-_PLACEHOLDER = re.compile(r"translator\.loadFile|loadFileAndTranslate")
-_NOISE = {"si", "no", "*", ""}
-_FILE_ID = re.compile(r"documentFileId='\s*\+\s*'(\d+)'")
-_FILE_PATH = re.compile(r"'(/Public/Tendering/[A-Za-z]+/DownloadFile)'", re.I)
-_FILE_KEY = re.compile(r"mkey=' ?\+ ?'([0-9a-f_]+)'", re.I)
-_FILE_NAME = re.compile(r"\.(pdf|docx?|xlsx?|zip|rar|jpe?g|png|txt)\b", re.I)
-_GRID = re.compile(r"DocumentList|GridDocument", re.I)
-_NOTICE_DATE = re.compile(r"(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}\s*(?:AM|PM|a\.?m\.?|p\.?m\.?)?)", re.I)
-_VOID = {"br", "img", "input", "hr", "meta", "link", "col"}
+# ---- Fixed values -----------------------------------------------------------
 
-LABEL_LIMIT, VALUE_LIMIT = 120, 500
+PLACEHOLDER = r"translator\.loadFile|loadFileAndTranslate"
+NOISE = ["si", "no", "*", ""]
+DOWNLOAD_CALL = (r"getAction\(\s*'(/Public/Tendering/[A-Za-z]+/DownloadFile)'\s*\+\s*'\?'\s*\+\s*'documentFileId='\s*\+\s*'(\d+)'"
+                 r"(?:.*?'mkey=' ?\+ ?'([0-9a-f_]+)')?")
+FILE_NAME = r"\.(pdf|docx?|xlsx?|zip|rar|jpe?g|png|txt)\b"
+GRID_IDS = ["documentlist", "griddocument"]
+NAME_CLASS = "VortalSpan"
+NOTICE = "notificacion"
+NOTICE_DATE = r"(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}\s*(?:AM|PM|a\.?m\.?|p\.?m\.?)?)"
 
+# ---- Cutting (Python) -------------------------------------------------------
 
-def norm_label(text: str) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFD", text or "") if unicodedata.category(c) != "Mn")
-    return plain.strip().rstrip(":").strip()
+CUT = T.StructType([
+    T.StructField("rows", T.ArrayType(T.StructType([
+        T.StructField("grid", T.BooleanType()), T.StructField("name", T.StringType()), T.StructField("call", T.StringType()),
+        T.StructField("cells", T.ArrayType(T.StringType()))]))),
+    T.StructField("pairs", T.ArrayType(T.StructType([
+        T.StructField("label", T.StringType()), T.StructField("shown", T.StringType()), T.StructField("typed", T.StringType())]))),
+])
 
 
-def _clean(text: str) -> str:
-    if _PLACEHOLDER.search(text):
-        return ""
-    text = re.sub(r"[ \t]+", " ", text.replace(" ", " "))
-    return re.sub(r"\s*\n\s*", " | ", text).strip()
-
-
-class _Cell:
-    """Text pieces, first input value and labels of one table cell or sibling element."""
+class _Box:
+    """Text and first input value of an element that is still open."""
 
     def __init__(self):
-        self.pieces, self.input, self.labels = [], None, []
-
-    @property
-    def text(self) -> str:
-        return " ".join(p for p in (x.strip() for x in self.pieces) if p)
-
-    @property
-    def value(self) -> str:
-        return _clean(self.input or self.text)
-
+        self.pieces, self.typed, self.labels = [], None, []
 
-class _Row:
-    def __init__(self, in_grid: bool):
-        self.cells, self.in_grid, self.name, self.onclick = [], in_grid, None, None
+    def shown(self) -> str:
+        return " ".join(p for p in map(str.strip, self.pieces) if p)
 
 
-class _Page(HTMLParser):
-    """Collects table rows and label/value pairs in document order."""
+class _Cutter(HTMLParser):
+    """Table rows with their cells, and every label with the box that follows it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.labels = [], []
-        self._open_rows, self._open_cells, self._grids = [], [], []
-        self._label = self._span = self._sibling = self._waiting = None
-        self._skip = None
+        self.rows, self.pairs = [], []
+        self.in_rows, self.in_cells, self.in_tables = [], [], []
+        self.label = self.name = self.muted = None
+        self.free = None       # a pair outside a table that waits for the next element
+        self.beside = None     # (tag, box) of that element
+
+    def boxes(self) -> list[_Box]:
+        beside = self.beside[1] if self.beside else None
+        return [*self.in_cells, *(b for b in (self.label, self.name, beside) if b)]
+
+    def handle_data(self, data):
+        if not self.muted:
+            for box in self.boxes():
+                box.pieces.append(data)
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        row = self.in_rows[-1] if self.in_rows else None
         if tag in ("script", "style"):
-            self._skip = tag
-        if self._waiting is not None and tag not in ("br", "i", "em"):
-            self._sibling, self._waiting = (tag, self._waiting, _Cell()), None
+            self.muted = tag
+        if self.free and tag not in ("br", "i", "em"):
+            self.beside = (tag, _Box())
+            self.free["box"], self.free = self.beside[1], None
         if tag == "table":
-            self._grids.append(bool(_GRID.search(a.get("id") or "")))
+            self.in_tables.append(any(g in (a.get("id") or "").lower() for g in GRID_IDS))
         elif tag == "tr":
-            self._open_rows.append(_Row(any(self._grids)))
-            self.rows.append(self._open_rows[-1])
-        elif tag == "td" and self._open_rows:
-            cell = _Cell()
-            self._open_rows[-1].cells.append(cell)
-            self._open_cells.append(cell)
+            self.in_rows.append({"grid": any(self.in_tables), "name": None, "call": None, "boxes": []})
+            self.rows.append(self.in_rows[-1])
+        elif tag == "td" and row:
+            self.in_cells.append(_Box())
+            row["boxes"].append(self.in_cells[-1])
         elif tag == "label":
-            self._label = _Cell()
-        elif tag == "span" and "VortalSpan" in (a.get("class") or "").split():
-            self._span = _Cell()
+            self.label = _Box()
+        elif tag == "span" and NAME_CLASS in (a.get("class") or "").split():
+            self.name = _Box()
+        elif tag == "a" and row and not row["call"]:
+            row["call"] = a.get("onclick")
         elif tag == "input" and a.get("value"):
-            for cell in self._targets():
-                cell.input = cell.input or a["value"]
-            if self._sibling and self._sibling[0] == "input":
-                self._finish_sibling()
-        elif tag == "a" and a.get("onclick") and self._open_rows and self._open_rows[-1].onclick is None:
-            self._open_rows[-1].onclick = a["onclick"]
+            for box in self.boxes():
+                box.typed = box.typed or a["value"]
+            if self.beside and self.beside[0] == "input":
+                self.beside = None
 
     def handle_endtag(self, tag):
-        if tag == self._skip:
-            self._skip = None
-        if self._sibling and tag == self._sibling[0]:
-            self._finish_sibling()
-        if tag == "label" and self._label is not None:
-            entry = [self._label.text, None]
-            self.labels.append(entry)
-            if self._open_cells:
-                self._open_cells[-1].labels.append(entry)
+        if tag == self.muted:
+            self.muted = None
+        if self.beside and tag == self.beside[0]:
+            self.beside = None
+        if tag == "label" and self.label:
+            pair = {"label": self.label.shown(), "box": None}
+            self.pairs.append(pair)
+            self.label = None
+            if self.in_cells:
+                self.in_cells[-1].labels.append(pair)
             else:
-                self._waiting = entry
-            self._label = None
-        elif tag == "span" and self._span is not None:
-            if self._open_rows and self._open_rows[-1].name is None:
-                self._open_rows[-1].name = re.sub(r"\s+", " ", self._span.text)
-            self._span = None
-        elif tag == "td" and self._open_cells:
-            self._open_cells.pop()
-        elif tag == "tr" and self._open_rows:
-            row = self._open_rows.pop()
-            for cell, after in zip(row.cells, row.cells[1:]):
-                for entry in cell.labels:
-                    entry[1] = after.value
-        elif tag == "table" and self._grids:
-            self._grids.pop()
-
-    def handle_data(self, data):
-        if self._skip:
-            return
-        for cell in self._targets():
-            cell.pieces.append(data)
-
-    def _targets(self):
-        extra = [c for c in (self._label, self._span, self._sibling[2] if self._sibling else None) if c is not None]
-        return [*self._open_cells, *extra]
-
-    def _finish_sibling(self):
-        _, entry, cell = self._sibling
-        entry[1], self._sibling = cell.value, None
-
-
-def parse_page(html: str, base: str) -> tuple[dict, dict, list[dict], list[dict]]:
-    """``(all labels, curated fields, documents, notices)`` of one page."""
-    page = _Page()
+                self.free = pair
+        elif tag == "span" and self.name:
+            if self.in_rows and self.in_rows[-1]["name"] is None:
+                self.in_rows[-1]["name"] = self.name.shown()
+            self.name = None
+        elif tag == "td" and self.in_cells:
+            self.in_cells.pop()
+        elif tag == "tr" and self.in_rows:
+            boxes = self.in_rows.pop()["boxes"]
+            for box, after in zip(boxes, boxes[1:]):
+                for pair in box.labels:
+                    pair["box"] = after
+        elif tag == "table" and self.in_tables:
+            self.in_tables.pop()
+
+
+def cut_page(html: str | None) -> tuple[list[dict], list[dict]]:
+    """Rows and label pairs of one page, in page order; an empty page has none."""
+    page = _Cutter()
     page.feed(html or "")
     page.close()
-    labels: dict[str, str] = {}
-    for raw, value in page.labels:
-        name = norm_label(raw)
-        if name and len(name) <= LABEL_LIMIT and name.lower() not in _NOISE and not labels.get(name):
-            labels[name] = value or ""
-    fields = {key: labels[name][:VALUE_LIMIT] for name, key in S.PORTAL_LABELS.items() if labels.get(name)}
-
-    rows = [r for r in page.rows if r.in_grid] or [r for r in page.rows if r.name and _FILE_NAME.search(r.name)]
-    docs: dict[str, str] = {}
-    for r in rows:
-        if r.name and r.onclick and r.name not in docs:
-            path, file_id, key = _FILE_PATH.search(r.onclick), _FILE_ID.search(r.onclick), _FILE_KEY.search(r.onclick)
-            link = f"{base}{path.group(1)}?documentFileId={file_id.group(1)}" if path and file_id else ""
-            docs[r.name] = link + (f"&mkey={key.group(1)}" if link and key else "")
-
-    notices = []
-    for r in page.rows:
-        texts = [c.text for c in r.cells]
-        if not texts or norm_label(texts[0]).lower() != "notificacion":
-            continue
-        process, event, date = ([t for t in texts[1:] if t] + ["", "", ""])[:3]
-        found = _NOTICE_DATE.search(event) if event and not date else None
-        if found:
-            event, date = event[:found.start()].strip(), found.group(1)
-        if process or event or date:
-            notices.append({"proceso": process, "evento": event, "fecha": date})
-    return labels, fields, [{"name": n, "url": u} for n, u in docs.items()], notices
-
-
-def parse_pages(pages: DataFrame, key: str, html: str, base: str = "https://portal.example.org") -> DataFrame:
-    """Pages to ``(key, all_labels, fields, documents, notificaciones)``."""
-    parts = {f.name: f for f in S.PORTAL_ENTRY.fields}
-    names = ["all_labels", "fields", "documents", "notificaciones"]
-    schema = T.StructType([pages.schema[key]] + [parts[n] for n in names])
+    rows = [{"grid": r["grid"], "name": r["name"], "call": r["call"], "cells": [b.shown() for b in r["boxes"]]} for r in page.rows]
+    pairs = [{"label": p["label"], "shown": p["box"].shown() if p["box"] else None, "typed": p["box"].typed if p["box"] else None} for p in page.pairs]
+    return rows, pairs
 
+
+def cut_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """``key``, ``rows`` and ``pairs`` of every page."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parsed = [parse_page(h, base) for h in b[html]]
-            yield pd.DataFrame({key: b[key], **{n: [p[i] for p in parsed] for i, n in enumerate(names)}})
+            cut = [cut_page(h) for h in b[html]]
+            yield pd.DataFrame({key: b[key], "rows": [c[0] for c in cut], "pairs": [c[1] for c in cut]})
 
+    schema = T.StructType([pages.schema[key], *CUT.fields])
     return pages.select(key, html).mapInPandas(run, schema)
 
 
+# ---- Rules (column expressions) ---------------------------------------------
+
+
+def label_name(c: Column) -> Column:
+    """A label without accents, outer space and closing colons."""
+    return F.trim(F.regexp_replace(strip_accents(c), r"[\s:]+$", ""))
+
+
+def cell_value(c: Column) -> Column:
+    """Non-empty lines of a cell joined by bars; a script placeholder is no value."""
+    lines = F.transform(F.split(F.translate(c, " ", " "), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r]+", " ")))
+    return F.when(c.rlike(PLACEHOLDER), "").otherwise(F.coalesce(F.array_join(F.filter(lines, lambda x: x != ""), " | "), F.lit("")))
+
+
+def _firsts(entries: Column) -> Column:
+    """The first entry of each name; ``entries`` are structs that sort by (name, preference)."""
+    return F.get(F.transform(F.array(F.array_sort(entries)), lambda s: F.filter(
+        s, lambda x, i: (i == 0) | (F.get(s, i - 1)["name"] != x["name"]))), F.lit(0))
+
+
+def labels_of(pairs: Column, label_limit: int | None = None) -> Column:
+    """Map of label to its first value that is not empty (empty if all are)."""
+    found = F.transform(pairs, lambda p, i: F.struct(
+        label_name(p["label"]).alias("name"), cell_value(F.coalesce(p["typed"], p["shown"])).alias("value"), i.alias("pos")))
+    fits = lambda e: ~F.lower(e["name"]).isin(NOISE) & (F.lit(True) if label_limit is None else F.length(e["name"]) <= label_limit)
+    ranked = F.transform(F.filter(found, fits), lambda e: F.struct(
+        e["name"].alias("name"), (e["value"] == "").alias("blank"), e["pos"].alias("pos"), e["value"].alias("value")))
+    return F.map_from_entries(F.transform(_firsts(ranked), lambda e: F.struct(e["name"], e["value"])))
+
+
+def fields_of(labels: Column, value_limit: int | None = None) -> Column:
+    """The curated keys among the labels that have a value."""
+    width = lambda v: v if value_limit is None else F.left(v, F.lit(value_limit))
+    known = F.create_map(*[F.lit(x) for kv in S.PORTAL_LABELS.items() for x in kv])
+    kept = F.map_filter(labels, lambda k, v: F.map_contains_key(known, k) & (v != ""))
+    return F.transform_values(F.transform_keys(kept, lambda k, v: F.element_at(known, k)), lambda k, v: width(v))
+
+
+def download_url(call: Column, base: str) -> Column:
+    """Address of a download call; its path, id and key are read from one match."""
+    part = lambda i: F.regexp_extract(call, "(?i)" + DOWNLOAD_CALL, i)
+    key = F.when(part(3) != "", F.concat(F.lit("&mkey="), part(3))).otherwise("")
+    return F.when(part(2) != "", F.concat(F.lit(base), part(1), F.lit("?documentFileId="), part(2), key)).otherwise("")
+
+
+def documents_of(rows: Column, base: str) -> Column:
+    """Named rows with a download call: those of the document grid, else those whose name is a file's."""
+    grid = F.filter(rows, lambda r: r["grid"])
+    source = F.when(F.size(grid) > 0, grid).otherwise(F.filter(rows, lambda r: r["name"].rlike("(?i)" + FILE_NAME)))
+    named = F.filter(source, lambda r: (F.trim(r["name"]) != "") & r["call"].isNotNull())
+    found = F.transform(named, lambda r, i: F.struct(squeeze(r["name"]).alias("name"), i.alias("pos"), download_url(r["call"], base).alias("url")))
+    in_order = F.array_sort(F.transform(_firsts(found), lambda d: F.struct(d["pos"].alias("pos"), d["name"].alias("name"), d["url"].alias("url"))))
+    return F.transform(in_order, lambda d: F.struct(d["name"].alias("name"), d["url"].alias("url")))
+
+
+def notices_of(rows: Column) -> Column:
+    """Notice rows as process, event and date; a date inside the event's cell is taken out of it."""
+    ours = F.filter(rows, lambda r: F.lower(label_name(F.get(r["cells"], F.lit(0)))) == NOTICE)
+    told = F.filter(F.transform(ours, lambda r: F.filter(F.slice(r["cells"], 2, F.size(r["cells"])), lambda c: c != "")), lambda c: F.size(c) > 0)
+    part = lambda c, i: F.coalesce(F.get(c, F.lit(i)), F.lit(""))
+    merged = lambda c: (F.size(c) == 2) & part(c, 1).rlike("(?i)" + NOTICE_DATE)
+    return F.transform(told, lambda c: F.struct(
+        part(c, 0).alias("proceso"),
+        F.when(merged(c), F.trim(F.get(F.split(part(c, 1), "(?i)" + NOTICE_DATE, 2), F.lit(0)))).otherwise(part(c, 1)).alias("evento"),
+        F.when(merged(c), F.trim(F.regexp_extract(part(c, 1), "(?i)" + NOTICE_DATE, 1))).otherwise(part(c, 2)).alias("fecha")))
+
+
+def parse_pages(pages: DataFrame, key: str, html: str, base: str = "https://portal.example.org",
+                label_limit: int | None = None, value_limit: int | None = None) -> DataFrame:
+    """Pages to ``(key, all_labels, fields, documents, notificaciones)``.
+
+    Labels and values are whole; the limits (published widths: 120 and 500) are an option.
+    """
+    cut = cut_pages(pages, key, html)
+    d = cut.select(key, labels_of(F.col("pairs"), label_limit).alias("all_labels"), documents_of(F.col("rows"), base).alias("documents"),
+                   notices_of(F.col("rows")).alias("notificaciones"))
+    return d.select(key, "all_labels", fields_of(F.col("all_labels"), value_limit).alias("fields"), "documents", "notificaciones")
+
+
 def page_fields(parsed: DataFrame, key: str) -> DataFrame:
     return parsed.select(key, F.explode("all_labels").alias("etiqueta", "valor"))
 
 
 def page_documents(parsed: DataFrame, key: str) -> DataFrame:
     """Documents of a notice, one row per name (the first capture of a name wins)."""
-    d = parsed.select(key, F.posexplode("documents").alias("pos", "d")).select(key, "pos", "d.name", "d.url")
-    return O.latest(d, [key, "name"], ["pos"]).drop("pos")
+    return parsed.select(key, F.explode("documents").alias("d")).select(key, "d.name", "d.url")
 
 
 def page_notices(parsed: DataFrame, key: str) -> DataFrame:

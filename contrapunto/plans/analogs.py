@@ -243,17 +243,23 @@ VIEWS = {
                  ELSE url END AS url
         FROM (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS base,
                      CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END AS sep FROM {pages}) b""",
+    # The page's own title, language and address decide what its portal part holds.
     "paginas": """
         SELECT page_id, replace(html, '</body>', concat(
-                 '<table><tr><td><label>Título:</label></td><td><span>Proceso ', page_id, '</span></td></tr>',
+                 '<table><tr><td><label>Título:</label></td><td><span>', titulo, '</span></td></tr>',
                  '<tr><td><label>Número del proceso:</label></td><td><input type="text" value="NP-', page_id, '"/></td></tr>',
-                 '<tr><td><label>Valor total:</label></td><td>', CASE WHEN url LIKE 'https:%' THEN concat('$ ', page_id, '.000.000') ELSE 'translator.loadFile(1)' END, '</td></tr>',
+                 '<tr><td><label>Fase:</label></td><td>', CASE lang WHEN 'en' THEN '' ELSE lang END, '</td></tr><tr><td><label>Fase :</label></td><td>', url_corta, '</td></tr>',
+                 '<tr><td><label>Valor total:</label></td><td>', CASE WHEN con_valor THEN concat('$ ', page_id, '.000.000') ELSE 'translator.loadFile(1)' END, '</td></tr>',
                  '<tr><td><label>Sí</label></td><td>x</td></tr></table><table id="DocumentList"><tr><td><span class="VortalSpan">Pliego_', page_id,
                  '.pdf</span></td><td><a onclick="getAction(&#39;/Public/Tendering/Notice/DownloadFile&#39; + &#39;?&#39; + &#39;documentFileId=&#39; + &#39;', page_id,
-                 '&#39;, true);">Descargar</a></td></tr></table><table><tr><td>Notificación</td><td>NP-', page_id,
-                 '</td><td>Adenda publicada 22/07/2024 03:15 PM</td><td></td></tr></table></body>')) AS html,
-               url LIKE 'https:%' AS con_valor, html LIKE '%</body>%' AS cerrada
-        FROM {pages}""",
+                 '&#39;, true);">Descargar</a></td></tr><tr><td><span class="VortalSpan">', CASE lang WHEN 'es' THEN concat('Pliego_', page_id) WHEN 'fr' THEN '' ELSE 'Anexo' END,
+                 CASE lang WHEN 'fr' THEN '' ELSE '.pdf' END, '</span></td><td><a onclick="getAction(&#39;/Public/Tendering/Annex/DownloadFile&#39; + &#39;?&#39; + &#39;documentFileId=&#39; + &#39;8', page_id,
+                 '&#39; + &#39;&amp;&#39; + &#39;mkey=&#39; + &#39;', lower(substr('ABCDEF', 1 + CAST(con_valor AS INT), 2)), '_1&#39;, true);">Descargar</a></td></tr></table><table><tr><td>Notificación</td><td>NP-', page_id,
+                 CASE WHEN con_valor THEN '</td><td>Adenda publicada 22/07/2024 03:15 PM</td><td></td></tr>' ELSE '</td><td>Cierre</td><td>23/07/2024 09:00 AM</td></tr>' END,
+                 CASE lang WHEN 'de' THEN '<tr><td>Notificación:</td><td></td></tr><tr><td>NOTIFICACIÓN</td><td>NP-0</td><td>Apertura</td></tr>' ELSE '' END, '</table></body>')) AS html,
+               con_valor, cerrada, trim(replace(titulo, '&amp;', '&')) AS titulo, lang, CASE lang WHEN 'en' THEN url_corta ELSE lang END AS fase
+        FROM (SELECT page_id, html, url LIKE 'https:%' AS con_valor, html LIKE '%</body>%' AS cerrada, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang,
+                     regexp_extract(html, '<title>([^<]*)</title>', 1) AS titulo, regexp_replace(url, '[?#&].*$', '') AS url_corta FROM {pages}) b""",
     "montos": """
         SELECT o_orderkey AS seq, CASE o_orderpriority
                  WHEN '1-URGENT' THEN concat('$ ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)))

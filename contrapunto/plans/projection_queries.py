@@ -251,16 +251,21 @@ def p28_identity(t):
     return B.identity_block(t.procesos, t.contratos, t.ubicaciones)
 
 
-@query("P29_portal_block", """
-SELECT 'CO1.NTC.' || page_id notice_id, CASE WHEN cerrada THEN 'Proceso ' || page_id END portal_titulo, CASE WHEN cerrada THEN 'NP-' || page_id END portal_numero_proceso,
-  CASE WHEN cerrada AND con_valor THEN '$ ' || page_id || '.000.000' END portal_valor_total, CASE WHEN cerrada THEN 'Adenda publicada 22/07/2024 03:15 PM' ELSE '' END notificaciones_texto,
-  CASE WHEN cerrada THEN 1 ELSE 0 END notificaciones_n, CASE WHEN cerrada THEN 'Pliego_' || page_id || '.pdf' ELSE '' END documentos_texto, CASE WHEN cerrada THEN 1 ELSE 0 END documentos_n,
-  CASE WHEN cerrada THEN 'tipo_proceso' ELSE 'titulo, tipo_proceso, numero_proceso' END faltantes FROM {paginas}""")
+_MORE = "cerrada AND lang NOT IN ('es', 'fr')"
+
+
+@query("P29_portal_block", f"""
+SELECT 'CO1.NTC.' || page_id notice_id, CASE WHEN cerrada THEN nullif(titulo, '') END portal_titulo, CASE WHEN cerrada THEN 'NP-' || page_id END portal_numero_proceso, CASE WHEN cerrada THEN fase END portal_fase,
+  CASE WHEN cerrada AND con_valor THEN '$ ' || page_id || '.000.000' END portal_valor_total,
+  CASE WHEN NOT cerrada THEN '' WHEN con_valor THEN 'Adenda publicada 22/07/2024 03:15 PM' ELSE 'Cierre 23/07/2024 09:00 AM' END || CASE WHEN cerrada AND lang = 'de' THEN ' | Apertura' ELSE '' END notificaciones_texto,
+  CASE WHEN NOT cerrada THEN 0 WHEN lang = 'de' THEN 2 ELSE 1 END notificaciones_n, CASE WHEN cerrada THEN 'Pliego_' || page_id || '.pdf' ELSE '' END || CASE WHEN {_MORE} THEN ' | Anexo.pdf' ELSE '' END documentos_texto,
+  CASE WHEN {_MORE} THEN 2 WHEN cerrada THEN 1 ELSE 0 END documentos_n,
+  CASE WHEN NOT cerrada THEN 'titulo, tipo_proceso, numero_proceso' WHEN titulo = '' THEN 'titulo, tipo_proceso' ELSE 'tipo_proceso' END faltantes FROM {{paginas}}""")
 def p29(t):
     parsed = P.parse_pages(t.paginas, "page_id", "html")
     missing = F.array_compact(F.array(*[F.when(F.try_element_at("fields", F.lit(k)).isNull(), F.lit(k)) for k in S.CRITICAL_FIELDS]))
     d = parsed.withColumns({"notice_id": F.concat(F.lit("CO1.NTC."), "page_id"), "missing_fields": missing, "status": F.lit("ok_completo"), "scraped_at": F.lit(None).cast("string")})
-    keep = ["notice_id", "portal_titulo", "portal_numero_proceso", "portal_valor_total", "notificaciones_texto", "notificaciones_n", "documentos_texto", "documentos_n", "faltantes"]
+    keep = ["notice_id", "portal_titulo", "portal_numero_proceso", "portal_fase", "portal_valor_total", "notificaciones_texto", "notificaciones_n", "documentos_texto", "documentos_n", "faltantes"]
     return B.portal_block(d).select(*keep)
 
 

@@ -206,9 +206,9 @@ _RAW = "CASE WHEN cerrada THEN {} END"
 
 
 @query("K4_U6_export_raw", "SELECT page_id, " + ", ".join(f'{_RAW.format(v)} "{k}"' for k, v in {
-    "field.titulo": "'Proceso ' || page_id", "field.numero_proceso": "'NP-' || page_id",
+    "field.titulo": "nullif(titulo, '')", "field.fase": "fase", "field.numero_proceso": "'NP-' || page_id",
     "field.valor_total": "CASE WHEN con_valor THEN '$ ' || page_id || '.000.000' END",
-    "label.Titulo": "'Proceso ' || page_id", "label.Numero del proceso": "'NP-' || page_id",
+    "label.Titulo": "titulo", "label.Fase": "fase", "label.Numero del proceso": "'NP-' || page_id",
     "label.Valor total": "CASE WHEN con_valor THEN '$ ' || page_id || '.000.000' ELSE '' END"}.items()) + " FROM {paginas}")
 def k4_raw(t):
     return SK.export_raw(P.parse_pages(t.paginas, "page_id", "html"), ["page_id"], {"fields": "field", "all_labels": "label"})

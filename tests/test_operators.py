@@ -394,24 +394,37 @@ def test_notes(spark):
 
 # ---- Pages ------------------------------------------------------------------
 
-PAGE = """<html><body><table>
-<tr><td><label>Número del proceso:</label></td><td><input type="text" value="LP-2024-001" readonly /></td></tr>
-<tr><td><label>Título:</label></td><td><span>Compra de&nbsp;bienes</span></td></tr>
-<tr><td><label>Justificación de la modalidad de contratación:</label></td><td></td></tr>
-<tr><td><label>Lotes?:</label></td><td>translator.loadFile('xx')</td></tr>
-<tr><td><label>Sí</label></td><td>x</td></tr></table><label>Fase:</label><br/><b>Ejecución</b>
-<table id="DocumentList"><tr><td><span class="VortalSpan">A.pdf</span></td><td><a onclick="getAction('/Public/Tendering/Notice/DownloadFile' + '?' + 'documentFileId=' + '12' + '&' + 'mkey=' + 'ab_1', true);">x</a></td></tr>
-<tr><td><span class="VortalSpan">A.pdf</span></td><td><a onclick="getAction('/Public/Tendering/Other/DownloadFile' + '?' + 'documentFileId=' + '99', true);">x</a></td></tr></table>
-<table><tr><td>Notificación</td><td>LP</td><td>Publicación inicial</td><td>15/07/2024 10:30 AM</td></tr><tr><td>Notificación</td><td>LP</td><td>Adenda 01 22/07/2024 03:15 PM</td><td></td></tr><tr><td>Otro</td><td>x</td></tr></table></body></html>"""
-
-
-def test_page_parts():
-    labels, fields, docs, notices = P.parse_page(PAGE, "https://p.example")
-    assert fields == {"numero_proceso": "LP-2024-001", "titulo": "Compra de bienes", "fase": "Ejecución"}
-    assert labels["Lotes?"] == "" and "Si" not in labels and labels["Justificacion de la modalidad de contratacion"] == ""
-    assert docs == [{"name": "A.pdf", "url": "https://p.example/Public/Tendering/Notice/DownloadFile?documentFileId=12&mkey=ab_1"}]
-    assert notices == [{"proceso": "LP", "evento": "Publicación inicial", "fecha": "15/07/2024 10:30 AM"}, {"proceso": "LP", "evento": "Adenda 01", "fecha": "22/07/2024 03:15 PM"}]
-
-
-def test_page_without_anything():
-    assert P.parse_page("<html><nav><a href='/x'>x</a></nav></html>", "b") == ({}, {}, [], [])
+PAGE = """<html><body><label>Estado:</label><br/><b>En borrador</b><table>
+<tr><td><label>  Título : </label></td><td><span>Obra del&nbsp;puente
+   tramo 2</span></td><td>fuera</td></tr>
+<tr><td><label>Valor total:</label></td><td><input type="text" value="$ 7.000"/>no se lee</td></tr>
+<tr><td><label>Fase:</label></td><td></td></tr><tr><td><label>Fase:</label></td><td>Cierre</td></tr><tr><td><label>Fase:</label></td><td>Otra</td></tr>
+<tr><td><label>Lotes?:</label></td><td>translator.loadFile(3)</td></tr>
+<tr><td><label>No</label></td><td>x</td></tr></table>
+<table id="x_GridDocument_y"><tr><td><span class="VortalSpan">Plano 1.pdf</span></td><td><a onclick="getAction('/Public/Tendering/Uno/DownloadFile' + '?' + 'documentFileId=' + '71' + '&' + 'mkey=' + '0f_3', true);">ver</a></td></tr>
+<tr><td><span class="VortalSpan">Plano 1.pdf</span></td><td><a onclick="getAction('/Public/Tendering/Dos/DownloadFile' + '?' + 'documentFileId=' + '72', true);">ver</a></td></tr>
+<tr><td><span class="VortalSpan">Acta.pdf</span></td><td><a onclick="abrir('/Public/Tendering/Dos/DownloadFile'); otra('documentFileId=' + '73')">ver</a></td></tr></table>
+<table><tr><td>Notificación:</td><td>N-5</td><td>Cierre de ofertas</td><td>03/09/2023 08:00 AM</td></tr><tr><td>notificacion</td><td>N-5</td><td>Aviso 04/09/2023 9:15 pm</td><td></td></tr>
+<tr><td>Notificación</td><td></td></tr><tr><td>Nota</td><td>N-5</td></tr></table></body></html>"""
+
+
+def test_page_parts(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, "<html><nav><a href='/x'>x</a></nav></html>"), (3, None), (4, "")], "k int, h string")
+    got = {r.k: r for r in P.parse_pages(pages, "k", "h", "https://p.example").collect()}
+    one = got[1]
+    assert one.fields == {"titulo": "Obra del puente | tramo 2", "valor_total": "$ 7.000", "fase": "Cierre", "estado": "En borrador"}
+    assert one.all_labels == {"Estado": "En borrador", "Titulo": "Obra del puente | tramo 2", "Valor total": "$ 7.000", "Fase": "Cierre", "Lotes?": ""}
+    url = "https://p.example/Public/Tendering/Uno/DownloadFile?documentFileId=71&mkey=0f_3"
+    assert [tuple(d) for d in one.documents] == [("Plano 1.pdf", url), ("Acta.pdf", "")]
+    assert [tuple(n) for n in one.notificaciones] == [("N-5", "Cierre de ofertas", "03/09/2023 08:00 AM"), ("N-5", "Aviso", "04/09/2023 9:15 pm")]
+    for k in (2, 3, 4):
+        assert (got[k].all_labels, got[k].fields, got[k].documents, got[k].notificaciones) == ({}, {}, [], [])
+
+
+def test_page_texts_are_whole(spark):
+    html = f"<table><tr><td><label>{'L' * 300}</label></td><td>{'v' * 2000}</td></tr><tr><td><label>Fase</label></td><td>{'w' * 900}</td></tr></table>"
+    pages = spark.createDataFrame([(1, html)], "k int, h string")
+    r = P.parse_pages(pages, "k", "h").first()
+    assert len(r.all_labels["L" * 300]) == 2000 and len(r.fields["fase"]) == 900
+    short = P.parse_pages(pages, "k", "h", label_limit=120, value_limit=500).first()
+    assert list(short.all_labels) == ["Fase"] and len(short.fields["fase"]) == 500
