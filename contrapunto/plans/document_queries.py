@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from contrapunto import schemas as S
 from contrapunto.functions.dates import last_long_date
-from contrapunto.functions.money import parse_money
 from contrapunto.operators import documents as D
 from contrapunto.operators import ordering as O
 from contrapunto.operators import pages as P
@@ -91,9 +90,9 @@ def t4(t):
 
 
 _WORDS = "|".join(list(D.CONTENT_WORDS.values()) + [D.LEGALIZATION])
-_KW = _re(r"\b(?:" + _WORDS + r")\b").replace("otros[ií]", "otrosi")
+_KW = _re(r"\b(?:" + _WORDS + r")\b")
 TITLES = f""", ti AS (SELECT *, list_filter(list_transform(string_split(c, chr(10)), lambda x: trim(x)), lambda x: x <> '') li FROM cl),
-tt AS (SELECT *, list_filter(li[1:30], lambda x: length(x) >= 15 AND (length(regexp_replace(x, '\\P{{{{Lu}}}}', '', 'g')) / length(x) > 0.5 OR regexp_matches(x, '(?i){_KW}')))[1:5] cand FROM ti),
+tt AS (SELECT *, list_filter(li[1:30], lambda x: length(x) >= 15 AND (length(regexp_replace(x, '\\P{{{{Lu}}}}', '', 'g')) / length(x) > 0.5 OR regexp_matches(strip_accents(lower(x)), '{_KW}')))[1:5] cand FROM ti),
 tu AS (SELECT *, CASE WHEN len(cand) > 0 THEN cand ELSE li[1:1] END titulos FROM tt)"""
 
 
@@ -108,12 +107,8 @@ def _pos(col: str, pattern: str) -> str:
     return f"CASE WHEN regexp_matches({col}, '(?i){p}') THEN length(regexp_extract({col}, '(?is)^(.*?)(?:{p})', 1)) + 1 ELSE 0 END"
 
 
-def _word(p: str) -> str:
-    return r"\botros(?:í|i\b)" if p == "otros[ií]" else rf"\b(?:{p})\b"
-
-
 def _first(col: str, reach: int | None = None) -> str:
-    items = ", ".join(f"{{{{'pos': {_pos(col, _word(p))}, 'tipo': '{k}'}}}}" for k, p in D.CONTENT_WORDS.items())
+    items = ", ".join(f"{{{{'pos': {_pos(f"strip_accents(lower({col}))", rf"\b(?:{p})\b")}, 'tipo': '{k}'}}}}" for k, p in D.CONTENT_WORDS.items())
     keep = "x.pos > 0" if reach is None else f"x.pos BETWEEN 1 AND {reach}"
     return f"list_sort(list_filter([{items}], lambda x: {keep}))[1].tipo"
 
@@ -125,7 +120,7 @@ def _within(pattern: str, reach: int) -> str:
 _LETTER = " OR ".join(_within(p, n) for n, p in D.COVER_LETTERS)
 CONTENT = CLEAN + TITLES + f""", cc AS (SELECT *, coalesce(titulos[1], '') titulo FROM tu),
 cd AS (SELECT *, {_first('titulo')} tt_, {_first('c', D.BODY_REACH)} tb_, {_within(D.SUPPORT_RULES[0][3], D.SUPPORT_RULES[0][2])} s0, {_within(D.SUPPORT_RULES[1][3], D.SUPPORT_RULES[1][2])} s1,
-   {_within(D.LEGALIZATION, D.LEGALIZATION_REACH)} AND ({_LETTER}) s2, regexp_matches(titulo, '(?i)^[^a-zA-Z0-9_]*aclaratori[oa]\\b') s3 FROM cc),
+   {_pos('strip_accents(lower(c))', D.LEGALIZATION)} BETWEEN 1 AND {D.LEGALIZATION_REACH} AND ({_LETTER}) s2, regexp_matches(titulo, '(?i)^[^a-zA-Z0-9_]*aclaratori[oa]\\b') s3 FROM cc),
 ct AS (SELECT doc_id, process_id, nombre, url, c, titulo, CASE WHEN s0 THEN 'Compromiso (soporte)' WHEN s1 THEN 'Poliza (soporte)' WHEN s2 THEN 'Legalizacion (soporte)' WHEN s3 THEN 'Aclaratorio' ELSE coalesce(tt_, tb_) END tipo,
    CASE WHEN s0 OR s1 THEN 0.95 WHEN s2 THEN 0.92 WHEN s3 THEN 0.95 WHEN tt_ IS NOT NULL THEN 0.90 WHEN tb_ IS NOT NULL THEN 0.85 ELSE 0.3 END confianza,
    nullif(regexp_extract(lower(CASE WHEN tt_ IS NOT NULL THEN titulo ELSE c END), 'n[°ºo]\\s*(\\d{{1,5}})', 1), '') num FROM cd)"""
@@ -156,63 +151,95 @@ def t7(t):
     return D.classify_names(t.archivos).select("doc_id", F.array_join(D.subtypes("texto", "tipo"), "; ").alias("subtipos"))
 
 
-_VERB = D.SUBTYPE_VERBS["Prorroga"]
-_NEAR = f"(SELECT *, CASE WHEN p > 0 THEN substr(texto, p, 400) END near FROM (SELECT *, {_pos('texto', _VERB)} p FROM {{archivos}}))"
-_PART = lambda i: f"lower(regexp_extract(near, '(?i){_re(D.TERM)}', {i}))"
-_NUMWORDS = "CASE " + _PART(1) + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.NUMBER_WORDS_ES.items()) + " END"
-DAYS_SQL = f"CASE WHEN near IS NOT NULL THEN coalesce(try_cast({_PART(2)} AS INT), try_cast({_PART(1)} AS INT), {_NUMWORDS}) * CASE left({_PART(3)}, 1) WHEN 'd' THEN 1 WHEN 's' THEN 7 WHEN 'm' THEN 30 WHEN 'a' THEN 365 END END"
+_PART = lambda i: f"lower(regexp_extract(texto, '(?is){_re(D.EXTENSION)}', {i}))"
+_NUMWORDS = "CASE " + _PART(3) + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.NUMBER_WORDS_ES.items()) + " END"
+DAYS_SQL = f"coalesce(try_cast({_PART(1)} AS INT), try_cast({_PART(2)} AS INT), {_NUMWORDS}) * CASE left({_PART(4)}, 1) WHEN 'd' THEN 1 WHEN 's' THEN 7 WHEN 'm' THEN 30 WHEN 'a' THEN 365 END"
 
 
-@query("T9_extension_days", f"SELECT doc_id, {DAYS_SQL} dias FROM {_NEAR}")
+@query("T9_extension_days", f"SELECT doc_id, {DAYS_SQL} dias FROM {{archivos}}")
 def t9(t):
-    return t.archivos.select("doc_id", D.first_extension_days("texto").alias("dias"))
+    return t.archivos.select("doc_id", D.extension_days("texto").alias("dias"))
 
 
 _MONTHS = "['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre']"
 _LONG = r"(?i)\b(\d{{1,2}})\s+de\s+(enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|setiembre|octubre|noviembre|diciembre)\s+de\s+(\d{{4}})"
 
 
-@query("T10_document_date", f"""
-d AS (SELECT doc_id, list_transform(regexp_extract_all(strip_accents(texto), '{_LONG}'), lambda x: try_cast(regexp_extract(x, '(\\d{{{{4}}}})$', 1) || '-' ||
-   lpad(CAST(list_position({_MONTHS}, replace(lower(regexp_extract(x, 'de\\s+([A-Za-z]+)', 1)), 'setiembre', 'septiembre')) AS VARCHAR), 2, '0') || '-' || lpad(regexp_extract(x, '^(\\d+)', 1), 2, '0') AS DATE)) l FROM {{archivos}})
-SELECT doc_id, list_filter(l, lambda x: x IS NOT NULL AND year(x) BETWEEN 1990 AND 2030)[-1] fecha FROM d""")
+_DATES = f"""list_transform(regexp_extract_all(strip_accents(texto), '{_LONG}'), lambda x: try_cast(regexp_extract(x, '(\\d{{{{4}}}})$', 1) || '-' ||
+   lpad(CAST(list_position({_MONTHS}, replace(lower(regexp_extract(x, 'de\\s+([A-Za-z]+)', 1)), 'setiembre', 'septiembre')) AS VARCHAR), 2, '0') || '-' || lpad(regexp_extract(x, '^(\\d+)', 1), 2, '0') AS DATE))"""
+_LAST = "list_filter(l, lambda x: x IS NOT NULL AND year(x) BETWEEN 1990 AND 2030)[-1]"
+
+
+@query("T10_document_date", f"d AS (SELECT doc_id, {_DATES} l FROM {{archivos}}) SELECT doc_id, {_LAST} fecha FROM d")
 def t10(t):
     return t.archivos.select("doc_id", last_long_date("texto").alias("fecha"))
 
 
-@query("T8_added_amount")
-def t8(t):
-    d = D.classify_names(t.archivos).withColumn("a", D.added_amount(F.col("texto"), F.array_contains(D.subtypes("texto", "tipo"), "Adicion")))
-    return d.select("doc_id", F.col("a.valor").alias("valor"), F.col("a.aviso_valor").alias("aviso"))
+def _pesos(x: str) -> str:
+    n = f"try_cast(regexp_replace({x}, '\\D', '', 'g') AS BIGINT)"
+    return f"CASE WHEN {n} BETWEEN {D.LEAST} AND {D.MOST} THEN {n} END"
 
 
-@query("T11_amendment_details")
-def t11(t):
-    d = D.amendment_details(D.classify_content(t.archivos))
-    return d.select("doc_id", "tipo", F.array_join("subtipos", "; ").alias("subtipos"), "valor_adicionado", "dias_prorrogados", "fecha_documento", "avisos")
+def _monthly(x: str) -> str:
+    return f"regexp_matches({x}, '(?i){_re(D.MONTHLY)}')"
+
+
+_VERB = _re(D.SUBTYPE_VERBS["Adicion"])
+_PHRASE = f"(?i){_re(D.PHRASE)}"
+_AT = f"length(string_split_regex(texto, '{_PHRASE}')[1])"
+_AFTER = f"substr(texto, 1 + {_AT} + length(regexp_extract(texto, '{_PHRASE}')), {D.AROUND_PHRASE})"
+#: Steps from ``src`` (doc_id, texto, wanted) to ``am`` (doc_id, valor, aviso).
+AMOUNTS = f"""a0 AS (SELECT doc_id, texto, {_pesos(f"regexp_extract(texto, '(?is){_re(D.ADD_CLAUSE)}', 1)")} directo,
+   string_split(regexp_replace(texto, '(?i)({_VERB})', chr(1) || '\\1', 'g'), chr(1)) pz FROM src WHERE wanted),
+a1 AS (SELECT doc_id, directo, texto, list_transform(range(2, len(pz) + 1), lambda i: right(pz[i - 1], {D.BEFORE}) || left(pz[i], {D.AFTER})) w FROM a0),
+a2 AS (SELECT doc_id, i, unnest(list_zip(regexp_extract_all(v, '{_re(D.PESOS)}', 1), range(1, 1 + len(regexp_extract_all(v, '{_re(D.PESOS)}', 1))))) z, string_split_regex(v, '{_re(D.PESOS)}') sp
+   FROM (SELECT doc_id, unnest(w) v, generate_subscripts(w, 1) i FROM a1)),
+a3 AS (SELECT doc_id, i, z[2] k, {_pesos('z[1]')} n, {_monthly(f'right(sp[z[2]], {D.AROUND})')} OR {_monthly(f'left(sp[z[2] + 1], {D.AROUND})')} mensual FROM a2),
+a4 AS (SELECT doc_id, arg_min(n, i * 10000 + k) FILTER (NOT mensual) n1, arg_min(n, i * 10000 + k) n2 FROM a3 WHERE n IS NOT NULL GROUP BY 1),
+a5 AS (SELECT a1.doc_id, directo, n1, n2, {_pesos(f"regexp_extract(texto, '{_PHRASE}', 1)")} n3, {_monthly(f"right(string_split_regex(texto, '{_PHRASE}')[1], {D.AROUND_PHRASE})")} OR {_monthly(_AFTER)} m3
+   FROM a1 LEFT JOIN a4 USING (doc_id)),
+am AS (SELECT doc_id, coalesce(directo, n1, n2, CASE WHEN NOT m3 THEN n3 END) valor,
+   CASE WHEN directo IS NOT NULL OR n1 IS NOT NULL THEN NULL WHEN n2 IS NOT NULL THEN '{D.NOTE_MONTHLY}' WHEN n3 IS NULL THEN '{D.NOTE_NO_AMOUNT}' WHEN m3 THEN '{D.NOTE_MONTHLY_NONE}' ELSE '{D.NOTE_PHRASE}' END aviso FROM a5)"""
 
 
-_PESOS = f"try_cast(regexp_replace(regexp_extract(texto, '{_re(D.PESOS)}', 1), '\\D', '', 'g') AS DECIMAL(38,2))"
-DETAILED = f"""dt AS (SELECT *, CASE WHEN {_GUARD} THEN NULL ELSE {_case('nombre', D.NAME_RULES)} END tipo, CASE WHEN {_PESOS} BETWEEN 100000 AND 10000000000000 THEN {_PESOS} END v, {DAYS_SQL} d FROM {_NEAR})"""
-_CORE = "tipo IS NOT NULL"
+@query("T8_added_amount", "src AS (SELECT doc_id, texto, true wanted FROM {archivos}), " + AMOUNTS + " SELECT doc_id, valor, aviso FROM am")
+def t8(t):
+    return t.archivos.select("doc_id", D.added_amount("texto").alias("a")).select("doc_id", "a.valor", "a.aviso")
+
+
+#: ``dt``: one row per document with its class, subtypes, amount, days, date and warnings.
+DETAILED = CONTENT + f""", td AS (SELECT a.doc_id, a.texto, length(trim(a.texto)) >= 50 largo, ct.process_id, ct.tipo, ct.confianza FROM {{archivos}} a JOIN ct USING (doc_id)),
+ts AS (SELECT *, CASE WHEN largo AND tipo IN ('Modificatorio', 'Otrosi', 'Adenda') THEN {_SUBS} ELSE '' END subtipos FROM td),
+src AS (SELECT doc_id, texto, contains(subtipos, 'Adicion') wanted FROM ts), {AMOUNTS},
+tf AS (SELECT doc_id, {_DATES} l FROM ts),
+tg AS (SELECT ts.*, am.valor valor_adicionado, am.aviso, CASE WHEN contains(subtipos, 'Prorroga') THEN {DAYS_SQL} END dias_prorrogados, CASE WHEN largo THEN {_LAST} END fecha_documento FROM ts LEFT JOIN am USING (doc_id) JOIN tf USING (doc_id)),
+dt AS (SELECT *, confianza < 0.8 OR tipo IS NULL revisar, CASE WHEN NOT largo OR texto IS NULL THEN '{D.NOTE_SHORT}' ELSE nullif(concat_ws('; ', aviso,
+   CASE WHEN contains(subtipos, 'Prorroga') AND dias_prorrogados IS NULL THEN '{D.NOTE_NO_TERM}' END, CASE WHEN fecha_documento IS NULL THEN '{D.NOTE_NO_DATE}' END), '') END avisos FROM tg)"""
 
 
 def _detailed(t):
-    d = D.classify_names(t.archivos)
-    d = d.withColumn("valor_adicionado", parse_money(F.regexp_extract("texto", D.PESOS, 1), "pesos")).withColumn("dias_prorrogados", D.first_extension_days("texto"))
-    return d.withColumn("revisar", F.col("tipo").isNull()).withColumn("avisos", F.when(F.col("dias_prorrogados").isNull(), D.NOTE_NO_TERM))
+    return D.amendment_details(D.classify_content(t.archivos))
+
+
+@query("T11_amendment_details", DETAILED + " SELECT doc_id, tipo, subtipos, valor_adicionado, dias_prorrogados, fecha_documento, avisos FROM dt")
+def t11(t):
+    return _detailed(t).select("doc_id", "tipo", F.array_join("subtipos", "; ").alias("subtipos"), "valor_adicionado", "dias_prorrogados", "fecha_documento", "avisos")
+
+
+_CORE = f"tipo IN ({', '.join(repr(x) for x in S.CORE_TYPES)})"
+_SUPPORT = f"tipo IN ({', '.join(repr(x) for x in S.SUPPORT_TYPES)})"
 
 
 @query("A24_amendment_rollup", DETAILED + f"""
-SELECT process_id, count(*) FILTER ({_CORE}) modificatorios, nullif(sum(v) FILTER ({_CORE}), 0) valor_adicionado, CAST(nullif(sum(d) FILTER ({_CORE}), 0) AS BIGINT) dias_prorrogados FROM dt GROUP BY 1""")
+SELECT process_id, count(*) FILTER ({_CORE}) modificatorios, CAST(nullif(sum(valor_adicionado) FILTER ({_CORE}), 0) AS BIGINT) valor_adicionado, CAST(nullif(sum(dias_prorrogados) FILTER ({_CORE}), 0) AS BIGINT) dias_prorrogados FROM dt GROUP BY 1""")
 def a24(t):
     return D.amendment_rollup(_detailed(t))
 
 
 @query("A25_amendment_totals", DETAILED + f""",
-p AS (SELECT process_id, count(*) FILTER ({_CORE}) a FROM dt GROUP BY 1), n AS (SELECT count(*) FILTER ({_CORE}) actos, {', '.join(f"count(*) FILTER (tipo = '{x}') total_{x.lower()}" for x in ('Modificatorio', 'Adicion', 'Prorroga', 'Cesion', 'Liquidacion'))},
-   coalesce(sum(v) FILTER ({_CORE}), 0) v, CAST(coalesce(sum(d) FILTER ({_CORE}), 0) AS BIGINT) d, count(*) FILTER (tipo IS NULL) r, count(*) FILTER (d IS NULL) w FROM dt)
-SELECT (SELECT count(*) FROM p WHERE a > 0) procesos_con_modificatorios, (SELECT count(*) FROM p WHERE a = 0) procesos_por_revisar, actos total_actos, total_modificatorio, total_adicion, total_prorroga, total_cesion, total_liquidacion,
+p AS (SELECT process_id, count(*) FILTER ({_CORE}) a, count(*) FILTER ({_SUPPORT}) s FROM dt GROUP BY 1), n AS (SELECT count(*) FILTER ({_CORE}) actos, {', '.join(f"count(*) FILTER (tipo = '{x}') total_{x.lower()}" for x in ('Modificatorio', 'Adicion', 'Prorroga', 'Cesion', 'Liquidacion'))},
+   CAST(coalesce(sum(valor_adicionado) FILTER ({_CORE}), 0) AS BIGINT) v, CAST(coalesce(sum(dias_prorrogados) FILTER ({_CORE}), 0) AS BIGINT) d, count(*) FILTER (revisar) r, count(*) FILTER (avisos IS NOT NULL) w FROM dt)
+SELECT (SELECT count(*) FROM p WHERE a > 0) procesos_con_modificatorios, (SELECT count(*) FROM p WHERE a = 0 AND s = 0) procesos_por_revisar, actos total_actos, total_modificatorio, total_adicion, total_prorroga, total_cesion, total_liquidacion,
   actos - total_modificatorio - total_adicion - total_prorroga - total_cesion - total_liquidacion total_otros, v valor_global, d dias_global, r docs_por_revisar, w docs_con_avisos FROM n""")
 def a25(t):
     return D.amendment_totals(_detailed(t))

@@ -358,14 +358,22 @@ def test_name_types(spark, name, kind, number):
     ("SEGUNDA: Adicionar el contrato en la suma de DIECIOCHO MILLONES ($18.000.000) M/CTE", 18000000),
     ("adicionar el contrato. el canon mensual es de $1.052.000 mensuales", 1052000), ("adicionar el contrato sin cifra", None),
     ("adicionar el contrato " + "x" * 500 + " suma de $2.000.000", 2000000), ("adicionar el contrato " + "x" * 500 + " canon mensual por valor de $2.000.000", None)])
-def test_added_amount(text, amount):
-    assert D.amount_of(text)[0] == amount
+def test_added_amount(spark, text, amount):
+    assert spark.createDataFrame([(text,)], "t string").select(D.added_amount("t").alias("a")).first().a.valor == amount
 
 
-@pytest.mark.parametrize("text,days", [("Prorrogar el plazo por un (1) año más", 365), ("prorrogar por DOS (2) meses", 60), ("prorrogar el plazo por 60 días", 60), ("prorrogar en tres semanas", 21), ("prorrogar sin plazo", None)])
+def test_amounts_of_every_verb_and_of_nothing(spark):
+    far = "z" * 450
+    rows = [("canon mensual. adicionar el contrato $1.000.000 " + far + " adicionar el contrato $3.000.000",), (None,), ("",), ("adicionar el contrato $50.000 y $2.500.000",)]
+    got = [r.a for r in spark.createDataFrame(rows, "t string").coalesce(1).select(D.added_amount("t").alias("a")).collect()]
+    assert [a and (a.valor, a.aviso) for a in got] == [(3000000, None), None, (None, D.NOTE_NO_AMOUNT), (2500000, None)]
+
+
+@pytest.mark.parametrize("text,days", [
+    ("prorróguese el plazo. prorrogar por CINCO (5) meses más", 150), ("prorrogar por 45 días", 45), ("prorrogar en dos semanas", 14), ("prorrogar por 2 (dos) años", None),
+    ("prorrogar por varios días" + "y" * 500 + " prorrogar el plazo por un año", 365), ("prorrogar" + "y" * 500 + " por 9 días", None), ("prorrogar sin plazo", None), (None, None)])
 def test_extension_days(spark, text, days):
-    assert D.term_of(text)[0] == days
-    assert spark.createDataFrame([(text,)], "t string").select(D.first_extension_days("t").alias("d")).first().d == days
+    assert spark.createDataFrame([(text,)], "t string").select(D.extension_days("t").alias("d")).first().d == days
 
 
 def test_specific_types_have_no_subtypes(spark):
