@@ -26,7 +26,7 @@ def _key(pair: Column) -> Column:
 
 
 def _value(pair: Column) -> Column:
-    return F.try_url_decode(F.substring(pair, F.length(_key(pair)) + 2, 1_000_000))
+    return F.try_url_decode(F.substr(pair, F.length(_key(pair)) + 2))
 
 
 def link_id(c) -> Column:

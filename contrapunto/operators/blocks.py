@@ -13,8 +13,8 @@ from contrapunto.functions.text import null_placeholder
 from contrapunto.operators import ordering as O
 
 
-def extras(df: DataFrame, explicit: list[str], width: int | None = 80, total: int | None = 1500) -> Column:
-    """All non-empty undeclared columns as sorted ``k=v`` text; widths are cell widths."""
+def extras(df: DataFrame, explicit: list[str], width: int | None = None, total: int | None = None) -> Column:
+    """All non-empty undeclared columns as sorted ``k=v`` text, whole unless widths are given (published: 80 and 1500)."""
     names = sorted(c for c in df.columns if c not in explicit and not c.startswith("_"))
     parts = []
     for c in names:
@@ -84,7 +84,7 @@ def identity_block(p: DataFrame, contracts: DataFrame, places: DataFrame, cell:
     a = a.select("process_id", null_placeholder("direccion").alias("d"), F.struct("cseq", "seq").alias("o"))
     lists = O.listing(a, ["process_id"], "d", "direcciones", by="o", cell=cell)
     return p.select(
-        "process_id", "fase", "entidad", "nit_entidad", F.left("nombre", F.lit(250)).alias("objeto"),
+        "process_id", "fase", "entidad", "nit_entidad", F.col("nombre").alias("objeto"),
         F.concat(F.lit("$"), F.format_number("precio_base", 0)).alias("valor")).join(lists, "process_id", "left")
 
 

@@ -15,7 +15,6 @@ from contrapunto.functions.text import fold, null_placeholder
 from contrapunto.operators import ordering as O
 from contrapunto.schemas import TOTAL
 
-CELL = 500  # published width of a text cell
 
 
 def total(c) -> Column:
@@ -75,9 +74,9 @@ def amendment_details(contracts: DataFrame, additions: DataFrame, rich: DataFram
     rich_text = F.concat_ws(
         " / ", F.when(F.col("valor") != 0, money_text("valor")),
         F.when(F.col("dias") != 0, F.concat(F.lit("+"), "dias", F.lit("d"))),
-        F.left(F.coalesce(F.nullif("proposito", F.lit("")), "descripcion"), F.lit(150)),
+        F.coalesce(F.nullif("proposito", F.lit("")), "descripcion"),
     )
-    add_text = F.concat_ws(" — ", F.coalesce("tipo", F.lit("modificación")), F.left(F.nullif("descripcion", F.lit("")), F.lit(120)))
+    add_text = F.concat_ws(" — ", F.coalesce("tipo", F.lit("modificación")), F.nullif("descripcion", F.lit("")))
     a, r = head(additions, add_text), head(rich, rich_text)
     return a.withColumnRenamed("d", "a").join(r.withColumnRenamed("d", "r"), "process_id", "full").select(
         "process_id", F.coalesce("r", "a").alias("lista"))
@@ -94,7 +93,7 @@ def amendment_note(df: DataFrame) -> Column:
         F.when(F.col("dias") != 0, F.concat(F.lit("+"), "dias", F.lit(" día(s)"))),
         F.when(F.col("fecha_ultima").isNotNull(), F.concat(F.lit("último "), F.col("fecha_ultima").cast("string"))),
     )
-    return F.when(F.col("hubo") == "No", "Sin modificatorios registrados en la fuente.").otherwise(F.left(text, F.lit(CELL)))
+    return F.when(F.col("hubo") == "No", "Sin modificatorios registrados en la fuente.").otherwise(text)
 
 
 def amendment_summary(processes: DataFrame, contracts: DataFrame, additions: DataFrame, rich: DataFrame,
@@ -113,11 +112,11 @@ def amendment_summary(processes: DataFrame, contracts: DataFrame, additions: Dat
         n.alias("cantidad"), "tipos", "fecha_ultima", "valor", F.col("dias").cast("bigint").alias("dias"),
         F.when(none & (F.col("dias") != 0), F.concat(F.lit("+"), "dias", F.lit("d")))
         .otherwise(F.concat_ws("+", tag(tags[0], "n_add"), tag(tags[1], "n_rich"))).alias("fuente"),
-        F.left(F.concat_ws(
+        F.concat_ws(
             " | ",
             F.when(none & (F.col("dias") != 0), F.concat("dias", F.lit(" día(s) adicionados al contrato"))),
             "lista", F.when(n > 10, F.concat(F.lit("… y "), n - 10, F.lit(" más"))),
-        ), F.lit(CELL)).alias("detalle"),
+        ).alias("detalle"),
     )
     return out.withColumn("nota", amendment_note(out))
 
@@ -170,12 +169,12 @@ def policy_totals(contracts: DataFrame, g: DataFrame, labels: list[str], only: l
 def policies(contracts: DataFrame, g: DataFrame, k: int = 10) -> DataFrame:
     out = policy_totals(contracts, g, ["aseguradora", "tipo", "riesgo"])
     out = out.withColumn("valor_total", F.col("valor_total").cast(TOTAL)).withColumnsRenamed({"aseguradora": "aseguradoras", "tipo": "tipos", "riesgo": "riesgos"})
-    text = F.concat(F.left("tipo", F.lit(25)), F.lit(" "), F.left("aseguradora", F.lit(30)), F.lit(" #"), "numero",
+    text = F.concat("tipo", F.lit(" "), "aseguradora", F.lit(" #"), "numero",
                     F.lit(" ("), "estado", F.lit(", vence "), F.col("fecha_fin").cast("string"), F.lit(")"))
     few = O.top_k(g.withColumn("t", text), ["id_contrato"], ["fecha_fin", "numero", "t"], k, "_r")
     few = with_process(few.select("id_contrato", "fecha_fin", "numero", "t"), contracts)
     lists = O.top_list(few, ["process_id"], ["fecha_fin", "numero", "t"], k, "t", "detalle")
-    return out.join(lists, "process_id", "left").withColumn("detalle", F.left("detalle", F.lit(1000)))
+    return out.join(lists, "process_id", "left")
 
 
 def payments(contracts: DataFrame, f: DataFrame, k: int = 8) -> DataFrame:
@@ -193,7 +192,7 @@ def payments(contracts: DataFrame, f: DataFrame, k: int = 8) -> DataFrame:
     lists = O.top_list(few, ["process_id"], order, k, "t", "detalle")
     last = O.latest(few, ["process_id"], order).select("process_id", F.col("t").alias("ultima"))
     out = sums.join(last, "process_id", "left").join(lists, "process_id", "left")
-    return out.withColumn("detalle", F.left("detalle", F.lit(1000)))
+    return out
 
 
 def progress(contracts: DataFrame, e: DataFrame, s: DataFrame) -> DataFrame:
@@ -211,13 +210,13 @@ def progress(contracts: DataFrame, e: DataFrame, s: DataFrame) -> DataFrame:
         "process_id", "avance_real", "avance_esperado",
         (F.col("avance_esperado") - F.col("avance_real")).cast("decimal(10,2)").alias("brecha"),
         "entrega_real", "entrega_esperada", F.coalesce("suspensiones", F.lit(0)).alias("suspensiones"),
-        F.col("u.tipo").alias("tipo_suspension"), F.left("u.proposito", F.lit(300)).alias("proposito"),
+        F.col("u.tipo").alias("tipo_suspension"), F.col("u.proposito").alias("proposito"),
         F.concat_ws(" - ", F.col("u.fecha_creacion").cast("string"), "u.tipo").alias("ultima_suspension"),
     )
 
 
 def process_edits(m: DataFrame, k: int = 5) -> DataFrame:
-    text = F.concat_ws(" ", F.date_format("ultima", "yyyy-MM-dd'T'HH:mm:ss"), F.left("descripcion", F.lit(60)))
+    text = F.concat_ws(" ", F.date_format("ultima", "yyyy-MM-dd'T'HH:mm:ss"), "descripcion")
     sums = m.groupBy("process_id").agg(F.count("*").alias("ediciones"), F.max("ultima").alias("ultima"))
     lists = O.top_list(m, ["process_id"], [F.desc("ultima"), F.desc("seq")], k, text, "detalle")
     return sums.join(lists, "process_id", "left")
@@ -233,7 +232,7 @@ def document_counts(docs: DataFrame, category: Column, k: int = 8) -> DataFrame:
     out = counts
     for c in cats[:2]:
         part = O.top_list(d.where(F.col("cat") == c), ["process_id"], [F.desc("fecha"), F.desc("nombre")], k, text, f"lista_{c}")
-        out = out.join(part.withColumn(f"lista_{c}", F.left(f"lista_{c}", F.lit(CELL))), "process_id", "left")
+        out = out.join(part, "process_id", "left")
     return out
 
 

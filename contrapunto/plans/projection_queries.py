@@ -148,7 +148,7 @@ def p13(t):
 
 @query("P14_clean_links", "SELECT row_no, url FROM {ledger} WHERE contains(lower(url), 'portal.example.org')")
 def p14(t):
-    dirty = F.concat(F.left("url", F.lit(9)), F.lit("\n\t"), F.substring("url", 10, 500), F.lit(" "))
+    dirty = F.concat(F.left("url", F.lit(9)), F.lit("\n\t"), F.substr("url", F.lit(10)), F.lit(" "))
     d = t.ledger.select("row_no", I.strip_controls(dirty).alias("url"))
     return d.where(I.contains_link_of("url", "Portal.example.org"))
 
@@ -204,8 +204,8 @@ def p20(t):
 
 @query("P22_amendment_sentence", """
 s AS (SELECT id_contrato, count(*) cantidad, string_agg(DISTINCT tipo, ', ' ORDER BY tipo) tipos, sum(valor) valor, sum(dias) dias, max(fecha) f FROM {adiciones} GROUP BY 1)
-SELECT id_contrato, left(concat_ws('. ', cantidad || ' ' || CASE WHEN cantidad = 1 THEN 'modificatorio' ELSE 'modificatorios' END || ' en la fuente (' || tipos || ')',
-   CASE WHEN valor <> 0 THEN 'valor acumulado $' || format('{{:,.0f}}', valor::DOUBLE) END, CASE WHEN dias <> 0 THEN '+' || dias || ' día(s)' END, 'último ' || CAST(f AS VARCHAR)), 500) nota FROM s""")
+SELECT id_contrato, concat_ws('. ', cantidad || ' ' || CASE WHEN cantidad = 1 THEN 'modificatorio' ELSE 'modificatorios' END || ' en la fuente (' || tipos || ')',
+   CASE WHEN valor <> 0 THEN 'valor acumulado $' || format('{{:,.0f}}', valor::DOUBLE) END, CASE WHEN dias <> 0 THEN '+' || dias || ' día(s)' END, 'último ' || CAST(f AS VARCHAR)) nota FROM s""")
 def p22(t):
     from contrapunto.operators import ordering as O
     s = t.adiciones.groupBy("id_contrato").agg(F.count("*").alias("cantidad"), F.sum("valor").cast(S.TOTAL).alias("valor"), F.sum("dias").alias("dias"), F.max("fecha").alias("fecha_ultima"))

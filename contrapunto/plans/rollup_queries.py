@@ -21,10 +21,10 @@ t AS (SELECT process_id, coalesce(sum(na), 0) n_add, coalesce(sum(nr), 0) n_rich
       GROUP BY process_id),
 k AS (SELECT process_id, string_agg(DISTINCT tipo, '; ' ORDER BY tipo) tipos FROM {adiciones} JOIN {contratos} USING (id_contrato) GROUP BY 1),
 ra AS (SELECT process_id, row_number() OVER (PARTITION BY process_id ORDER BY c.seq, a.seq) rn,
-         concat_ws(' — ', tipo, left(descripcion, 120)) t FROM {adiciones} a JOIN {contratos} c USING (id_contrato)),
+         concat_ws(' — ', tipo, descripcion) t FROM {adiciones} a JOIN {contratos} c USING (id_contrato)),
 rr AS (SELECT process_id, row_number() OVER (PARTITION BY process_id ORDER BY c.seq, m.seq) rn,
          concat_ws(' / ', CASE WHEN m.valor <> 0 THEN '$' || format('{:,.0f}', m.valor::DOUBLE) END,
-                   CASE WHEN m.dias <> 0 THEN '+' || m.dias || 'd' END, left(proposito, 150)) t
+                   CASE WHEN m.dias <> 0 THEN '+' || m.dias || 'd' END, proposito) t
        FROM {mod_contratos} m JOIN {contratos} c USING (id_contrato)),
 la AS (SELECT process_id, string_agg(t, ' | ' ORDER BY rn) d FROM ra WHERE rn <= 10 GROUP BY 1),
 lr AS (SELECT process_id, string_agg(t, ' | ' ORDER BY rn) d FROM rr WHERE rn <= 10 GROUP BY 1),
@@ -35,14 +35,14 @@ s AS (SELECT process_id, CASE WHEN greatest(n_add, n_rich) > 0 OR dias > 0 OR va
         CAST(greatest(n_add, n_rich) AS BIGINT) cantidad, tipos, fecha_ultima, CAST(valor AS DECIMAL(38,2)) valor, CAST(dias AS BIGINT) dias,
         CASE WHEN n_add = 0 AND n_rich = 0 AND dias <> 0 THEN '+' || dias || 'd'
              ELSE concat_ws('+', CASE WHEN n_add > 0 THEN 'cb9c(' || n_add || ')' END, CASE WHEN n_rich > 0 THEN 'u8cx(' || n_rich || ')' END) END fuente,
-        left(concat_ws(' | ', CASE WHEN n_add = 0 AND n_rich = 0 AND dias <> 0 THEN dias || ' día(s) adicionados al contrato' END, lista,
-             CASE WHEN greatest(n_add, n_rich) > 10 THEN '… y ' || (greatest(n_add, n_rich) - 10) || ' más' END), 500) detalle
+        concat_ws(' | ', CASE WHEN n_add = 0 AND n_rich = 0 AND dias <> 0 THEN dias || ' día(s) adicionados al contrato' END, lista,
+             CASE WHEN greatest(n_add, n_rich) > 10 THEN '… y ' || (greatest(n_add, n_rich) - 10) || ' más' END) detalle
       FROM b)
 SELECT *, CASE WHEN hubo = 'No' THEN 'Sin modificatorios registrados en la fuente.' ELSE
-    left(concat_ws('. ', cantidad || ' ' || CASE WHEN cantidad = 1 THEN 'modificatorio' ELSE 'modificatorios' END || ' en la fuente (' ||
+    concat_ws('. ', cantidad || ' ' || CASE WHEN cantidad = 1 THEN 'modificatorio' ELSE 'modificatorios' END || ' en la fuente (' ||
        coalesce(nullif(replace(tipos, '; ', ', '), ''), 'MODIFICACION') || ')',
        CASE WHEN valor <> 0 THEN 'valor acumulado $' || format('{:,.0f}', valor::DOUBLE) END,
-       CASE WHEN dias <> 0 THEN '+' || dias || ' día(s)' END, 'último ' || CAST(fecha_ultima AS VARCHAR)), 500) END nota
+       CASE WHEN dias <> 0 THEN '+' || dias || ' día(s)' END, 'último ' || CAST(fecha_ultima AS VARCHAR)) END nota
 FROM s"""
 
 
@@ -73,10 +73,10 @@ def a2_lists(t):
 
 
 @query("A3_A9_policies", """
-g AS (SELECT process_id, g.*, left(tipo, 25) || ' ' || left(aseguradora, 30) || ' #' || numero || ' (' || g.estado || ', vence ' || CAST(g.fecha_fin AS VARCHAR) || ')' t
+g AS (SELECT process_id, g.*, tipo || ' ' || aseguradora || ' #' || numero || ' (' || g.estado || ', vence ' || CAST(g.fecha_fin AS VARCHAR) || ')' t
       FROM {garantias} g JOIN (SELECT id_contrato, process_id FROM {contratos}) USING (id_contrato)),
 r AS (SELECT process_id, t, row_number() OVER (PARTITION BY process_id ORDER BY fecha_fin, numero, t) rn FROM g),
-l AS (SELECT process_id, left(string_agg(t, ' | ' ORDER BY rn), 1000) detalle FROM r WHERE rn <= 10 GROUP BY 1)
+l AS (SELECT process_id, string_agg(t, ' | ' ORDER BY rn) detalle FROM r WHERE rn <= 10 GROUP BY 1)
 SELECT process_id, count(*) polizas, count(*) FILTER (lower(estado) = 'vigente') vigentes, max(fecha_fin) fin_max, min(fecha_exp) primera_expedicion,
   sum(valor) valor_total, string_agg(DISTINCT aseguradora, ' | ' ORDER BY aseguradora) aseguradoras,
   string_agg(DISTINCT nullif(tipo, 'No definido'), ' | ' ORDER BY nullif(tipo, 'No definido')) tipos,
@@ -90,7 +90,7 @@ def a3(t):
 f AS (SELECT process_id, f.*, concat_ws(' ', CAST(fecha AS VARCHAR), '#' || numero, f.estado, '$' || CAST(valor_a_pagar AS VARCHAR)) t
       FROM {facturas} f JOIN (SELECT id_contrato, process_id FROM {contratos}) USING (id_contrato)),
 r AS (SELECT process_id, t, row_number() OVER (PARTITION BY process_id ORDER BY fecha DESC, numero, t) rn FROM f),
-l AS (SELECT process_id, max(CASE WHEN rn = 1 THEN t END) ultima, left(string_agg(t, ' | ' ORDER BY rn), 1000) detalle FROM r WHERE rn <= 8 GROUP BY 1)
+l AS (SELECT process_id, max(CASE WHEN rn = 1 THEN t END) ultima, string_agg(t, ' | ' ORDER BY rn) detalle FROM r WHERE rn <= 8 GROUP BY 1)
 SELECT process_id, count(*) facturas, count(*) FILTER (pagada) pagadas, sum(valor_total) facturado, sum(valor_a_pagar) a_pagar, sum(valor_neto) neto,
   any_value(ultima) ultima, any_value(detalle) detalle FROM f JOIN l USING (process_id) GROUP BY process_id""")
 def a4(t):
@@ -112,7 +112,7 @@ def a5(t):
 
 @query("A6_process_edits", """
 r AS (SELECT *, row_number() OVER (PARTITION BY process_id ORDER BY ultima DESC, seq DESC) rn FROM {mod_procesos}),
-l AS (SELECT process_id, string_agg(strftime(ultima, '%Y-%m-%dT%H:%M:%S') || ' ' || left(descripcion, 60), ' | ' ORDER BY rn) detalle FROM r WHERE rn <= 5 GROUP BY 1)
+l AS (SELECT process_id, string_agg(strftime(ultima, '%Y-%m-%dT%H:%M:%S') || ' ' || descripcion, ' | ' ORDER BY rn) detalle FROM r WHERE rn <= 5 GROUP BY 1)
 SELECT process_id, count(*) ediciones, max(ultima) ultima, any_value(detalle) detalle FROM r JOIN l USING (process_id) GROUP BY 1""")
 def a6(t):
     return R.process_edits(t.mod_procesos)
@@ -133,8 +133,8 @@ def t1(t):
 d AS (SELECT *, {_CAT} cat, row_number() OVER (PARTITION BY process_id, {_CAT} ORDER BY fecha DESC, nombre DESC) rn FROM {{archivos}})
 SELECT process_id, count(*) total, count(*) FILTER (cat = 'modificatorios') modificatorios, count(*) FILTER (cat = 'legalizaciones') legalizaciones,
   count(*) FILTER (cat = 'actas') actas, count(*) FILTER (cat = 'informes') informes, count(*) FILTER (cat = 'pliegos') pliegos, count(*) FILTER (cat = 'otros') otros,
-  left(string_agg(nombre || ' (' || CAST(fecha AS VARCHAR) || ')', ' | ' ORDER BY rn) FILTER (cat = 'modificatorios' AND rn <= 8), 500) lista_modificatorios,
-  left(string_agg(nombre || ' (' || CAST(fecha AS VARCHAR) || ')', ' | ' ORDER BY rn) FILTER (cat = 'legalizaciones' AND rn <= 8), 500) lista_legalizaciones
+  string_agg(nombre || ' (' || CAST(fecha AS VARCHAR) || ')', ' | ' ORDER BY rn) FILTER (cat = 'modificatorios' AND rn <= 8) lista_modificatorios,
+  string_agg(nombre || ' (' || CAST(fecha AS VARCHAR) || ')', ' | ' ORDER BY rn) FILTER (cat = 'legalizaciones' AND rn <= 8) lista_legalizaciones
 FROM d GROUP BY process_id""")
 def a7(t):
     return R.document_counts(t.archivos, D.file_category("nombre"))
