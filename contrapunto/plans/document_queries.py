@@ -24,7 +24,7 @@ def _case(col: str, rules) -> str:
 
 _GUARD = f"regexp_matches(nombre, '(?i){_re('|'.join(D.NAME_GUARDS))}')"
 _TYPE = f"CASE WHEN {_GUARD} THEN NULL ELSE {_case('nombre', D.NAME_RULES)} END"
-_NUM = "coalesce(" + ", ".join(f"nullif(regexp_extract(nombre, '(?i){_re(p)}', 1), '')" for p in D.NAME_NUMBERS) + ")"
+_NUM = "coalesce(" + ", ".join(f"nullif(regexp_extract(nombre, '(?i){_re('|'.join(D.NAME_NUMBERS))}', {i + 1}), '')" for i in range(len(D.NAME_NUMBERS))) + ")"
 NAMED = f"nm AS (SELECT *, CASE WHEN tipo IS NOT NULL THEN {_NUM} END numero FROM (SELECT *, {_TYPE} tipo FROM {{archivos}}))"
 
 
@@ -122,7 +122,7 @@ CONTENT = CLEAN + TITLES + f""", cc AS (SELECT *, coalesce(titulos[1], '') titul
 cd AS (SELECT *, {_first('titulo')} tt_, {_first('c', D.BODY_REACH)} tb_, {_within(D.SUPPORT_RULES[0][3], D.SUPPORT_RULES[0][2])} s0, {_within(D.SUPPORT_RULES[1][3], D.SUPPORT_RULES[1][2])} s1,
    {_pos('strip_accents(lower(c))', D.LEGALIZATION)} BETWEEN 1 AND {D.LEGALIZATION_REACH} AND ({_LETTER}) s2, regexp_matches(titulo, '(?i)^[^a-zA-Z0-9_]*aclaratori[oa]\\b') s3 FROM cc),
 ct AS (SELECT doc_id, process_id, nombre, url, c, titulo, CASE WHEN s0 THEN 'Compromiso (soporte)' WHEN s1 THEN 'Poliza (soporte)' WHEN s2 THEN 'Legalizacion (soporte)' WHEN s3 THEN 'Aclaratorio' ELSE coalesce(tt_, tb_) END tipo,
-   CASE WHEN s0 OR s1 THEN 0.95 WHEN s2 THEN 0.92 WHEN s3 THEN 0.95 WHEN tt_ IS NOT NULL THEN 0.90 WHEN tb_ IS NOT NULL THEN 0.85 ELSE 0.3 END confianza,
+   CASE WHEN s0 OR s1 THEN 0.95 WHEN s2 THEN 0.92 WHEN s3 THEN 0.93 WHEN tt_ IS NOT NULL THEN 0.90 WHEN tb_ IS NOT NULL THEN 0.85 ELSE 0.3 END confianza,
    nullif(regexp_extract(lower(CASE WHEN tt_ IS NOT NULL THEN titulo ELSE c END), 'n[°ºo]\\s*(\\d{{1,5}})', 1), '') num FROM cd)"""
 
 

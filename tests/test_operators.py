@@ -348,7 +348,7 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
 
 @pytest.mark.parametrize("name,kind,number", [
     ("Modificatorio No 2.pdf", "Modificatorio", "2"), ("OTROSÍ N° 1A.pdf", "Otrosi", "1A"), ("Póliza adicional.pdf", None, None), ("MODULO 3.pdf", None, None), ("Adición y prórroga.pdf", "Prorroga", None),
-    ("Acta de Liquidación.pdf", "Liquidacion", None), ("MOD 4 contrato", "Modificatorio", None), ("adicional.pdf", None, None), ("informe.pdf", None, None)])
+    ("Acta de Liquidación.pdf", "Liquidacion", None), ("MOD 4 contrato", "Modificatorio", None), ("Otrosí 3 de 2021 contrato No 55", "Otrosi", "3"), ("adicional.pdf", None, None), ("informe.pdf", None, None)])
 def test_name_types(spark, name, kind, number):
     r = D.classify_names(spark.createDataFrame([(name,)], "nombre string")).first()
     assert (r.tipo, r.numero) == (kind, number)
