@@ -131,10 +131,13 @@ def t6(t):
     return D.classify_content(t.archivos).select("doc_id", "tipo", "numero", F.col("confianza").cast("double").alias("confianza"), "revisar")
 
 
-@query("Q14_check_docs", CONTENT + """
-SELECT count(*) docs, 0 nucleo_sin_tipo, count(*) FILTER (coalesce(trim(url), '') = '') sin_enlace, count(*) FILTER (confianza < 0.8 AND NOT (confianza < 0.8 OR tipo IS NULL)) confianza_baja FROM ct""")
+# The landed marks come from elsewhere than the content class: the core mark from the name, the review mark from a missing link.
+@query("Q14_check_docs", CONTENT + f"""
+SELECT count(*) docs, count(*) FILTER (coalesce(({_TYPE}) IN ({', '.join(repr(x) for x in S.CORE_TYPES)}), false) AND tipo IS NULL) nucleo_sin_tipo,
+  count(*) FILTER (coalesce(trim(url), '') = '') sin_enlace, count(*) FILTER (confianza < 0.8 AND url IS NOT NULL) confianza_baja FROM ct""")
 def q14(t):
-    return D.check_docs(D.classify_content(t.archivos))
+    landed = D.classify_content(t.archivos).withColumns({"nucleo": D.is_core(D.name_type("nombre")), "revisar": F.col("url").isNull()})
+    return D.check_docs(landed)
 
 
 @query("T20_best_classification", NAMED + ", " + CONTENT + """

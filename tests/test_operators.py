@@ -436,3 +436,9 @@ def test_page_texts_are_whole(spark):
     assert len(r.all_labels["L" * 300]) == 2000 and len(r.fields["fase"]) == 900
     short = P.parse_pages(pages, "k", "h", label_limit=120, value_limit=500).first()
     assert list(short.all_labels) == ["Fase"] and len(short.fields["fase"]) == 500
+
+
+def test_landed_documents_are_counted_by_fault(spark):
+    rows = [("Adicion", True, None, 0.9, False), (None, True, "u", 0.3, True), (None, True, "u", 0.3, False), (None, None, " ", 0.3, None), (None, False, "u", None, False)]
+    r = D.check_docs(spark.createDataFrame(rows, "tipo string, nucleo boolean, url string, confianza double, revisar boolean")).first()
+    assert (r.docs, r.nucleo_sin_tipo, r.sin_enlace, r.confianza_baja) == (5, 2, 2, 2)
