@@ -272,6 +272,11 @@ def p29(t):
 # ---- Fill (P25, P26) --------------------------------------------------------
 
 _C = "m.seq IS NOT NULL"
+# Contract columns that the shared view lacks, the same in both engines.
+_MORE_CONTRACT = {
+    "duracion": "CASE WHEN dias_adicionados > 0 THEN dias_adicionados || ' dia(s)' END", "lugar": "'Zona ' || modalidad",
+    "tipo_contrato": "CASE estado WHEN 'Cerrado' THEN 'Obra' ELSE 'Servicios' END", "orden": "CASE WHEN tipodoc = 'NIT' THEN 'Nacional' END",
+    "origen_recursos": "CASE liquidacion WHEN 'Si' THEN 'Propios' ELSE 'Territoriales' END", "supervisor_id": "'S-' || id_contrato", "supervisor": "'Sup. ' || referencia"}
 _FILL_SQL = [
     ("vigencia", "CAST(year(m.fecha_firma) AS VARCHAR)", "HIGH"), ("objeto", "coalesce(m.objeto, p.nombre)", "HIGH"),
     ("fecha_suscripcion", "CAST(m.fecha_firma AS VARCHAR)", "HIGH"), ("fecha_inicio", "CAST(m.fecha_inicio AS VARCHAR)", "HIGH"),
@@ -287,7 +292,8 @@ _FILL_SQL = [
     ("garantia_tipo", "g.tipos", "HIGH"), ("garantia_riesgos", "g.riesgos", "HIGH"), ("garantia_fecha", "CAST(g.f AS VARCHAR)", "HIGH"), ("avance_fisico", "CAST(e.r AS VARCHAR)", "HIGH"),
     ("avance_presup", f"CASE WHEN s.inicial > 0 AND s.inicial + s.adi - s.red > 0 THEN CAST({pct_sql('s.pagado', 's.inicial + s.adi - s.red')} AS VARCHAR) END", "HIGH"),
     ("requiere_liquidacion", "CASE m.liquidacion WHEN 'Si' THEN 'Sí' WHEN 'No' THEN 'No' END", "HIGH"), ("fecha_liquidacion", "CAST(m.fecha_liquidacion AS VARCHAR)", "HIGH"),
-    ("proceso", "p.process_id", "HIGH"), ("link", "p.url", "HIGH"),
+    ("proceso", "p.process_id", "HIGH"), ("link", "p.url", "HIGH"), ("plazo", "m.duracion", "HIGH"), ("lugar", "m.lugar", "HIGH"), ("clase", "m.tipo_contrato", "HIGH"),
+    ("tipo_orden", "m.orden", "HIGH"), ("fuente_recursos", "m.origen_recursos", "HIGH"), ("supervisor_id", "m.supervisor_id", "HIGH"), ("supervisor", "m.supervisor", "HIGH"),
     ("ingreso", "CASE WHEN m.modalidad IN ('1-URGENT', '2-HIGH') THEN CAST(s.inicial + s.adi - s.red AS VARCHAR) END", "LOW"),
 ]
 
@@ -298,7 +304,7 @@ def _dv_of(x: str) -> str:
 
 FILL_STEPS = f"""
 p AS (SELECT *, {_dv_of('nit_entidad')} dv FROM {{procesos}}),
-m AS (SELECT *, {_dv_of('documento')} dv FROM (SELECT *, row_number() OVER (PARTITION BY process_id ORDER BY fecha_firma DESC NULLS LAST, seq) rn FROM {{contratos}}) WHERE rn = 1),
+m AS (SELECT *, {_dv_of('documento')} dv FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _MORE_CONTRACT.items())}, row_number() OVER (PARTITION BY process_id ORDER BY fecha_firma DESC NULLS LAST, seq) rn FROM {{contratos}}) WHERE rn = 1),
 ad AS (SELECT id_contrato, sum(CASE WHEN valor > 0 THEN valor END) a, sum(CASE WHEN valor <= 0 THEN -valor END) r FROM {{adiciones}} GROUP BY 1),
 s AS (SELECT process_id, sum(valor) inicial, sum(valor_pagado) pagado, coalesce(sum(a), 0)::DECIMAL(38,2) adi, coalesce(sum(r), 0)::DECIMAL(38,2) red, sum(dias_adicionados) dias,
    string_agg(DISTINCT estado, ' | ' ORDER BY estado) estados FROM {{contratos}} LEFT JOIN ad USING (id_contrato) GROUP BY 1),
@@ -313,7 +319,8 @@ fills AS ({' UNION ALL '.join(f"""SELECT process_id, '{k}' clave, '{S.LEDGER_COL
 
 
 def fills_of(t):
-    return FI.compute_fill(t.procesos, t.contratos, t.adiciones, t.garantias, t.ejecucion)
+    contracts = t.contratos.withColumns({k: F.expr(v) for k, v in _MORE_CONTRACT.items()})
+    return FI.compute_fill(t.procesos, contracts, t.adiciones, t.garantias, t.ejecucion)
 
 
 @query("P25_P26_ledger_fill", FILL_STEPS + " SELECT process_id, clave, columna, valor, confianza, clave <> 'avance_fisico' escribible, 0 part FROM fills")
