@@ -3,9 +3,11 @@
 Numbers and dates that pass validation are permuted within their format by a keyed Feistel
 network, so equal values get equal pseudonyms in all documents and different values different ones:
 
-* payment cards (13 to 19 digits that pass the Luhn test): all digits but the last are permuted, the
-  last is the new check digit; spaces and hyphens stay.
-* phone numbers, social security numbers: the digits (after a country code) are permuted.
+* payment cards (13 to 19 unbroken digits, groups of four, 4-6-4, 4-6-5 or 8-8, that pass the Luhn test): all
+  digits but the last are permuted, the last is the new check digit; spaces and hyphens stay.  In a longer run of
+  groups of four, each four that pass are a number.
+* phone numbers, social security numbers: the digits (after a country code) are permuted.  A number ends where its
+  country's length ends; for codes not in ``LENGTHS``, before an address, date or card, or after five groups.
 * IPv4 addresses with octets up to 255: the 32 bits are permuted.
 * dates from 1900 to 2099 (ISO, or day and month first with a four-digit year): the day number is permuted.
 
@@ -33,8 +35,17 @@ IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 ISO = r"(?<![\d-])(?:19|20)\d{2}-\d{2}-\d{2}(?![\d-])"
 DMY = r"(?<![\d/.])\d{1,2}([/.])\d{1,2}\1(?:19|20)\d{2}(?![\d/])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?!\d)"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\2\d{4}(?!\d)"
+#: Unbroken digits; groups of four, perhaps several numbers in a row; 4-6-4 and 4-6-5; two halves.
+CARD = (r"(?<![\d+])(?:\d{13,19}(?!\d)|\d{4}(?:[ -]\d{4}){3}(?!\d)(?:[ -]\d{4}(?!\d|[/.-]\d{1,3}(?!\d)))*(?:[ -]\d{3}(?!\d|[/.-]\d))?"
+        r"|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)|\d{8}[ -]\d{8}(?!\d))")
+#: Digits after the country code, where a country has one length or two.
+LENGTHS = [(11, "55|86"), (10, "7|44|52|54|55|57|90|91|92"), (9, "27|31|32|33|34|41|48|51|56|61|351|380")]
+#: The digits of a phone number do not go on into another kind of value.
+_OTHER = (r"(?!\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)|(?:19|20)\d{2}-\d{2}-\d{2}(?!\d)|\d{1,2}[/.]\d{1,2}[/.](?:19|20)\d{2}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|\d{13,19}(?!\d))")
+PHONE = "|".join([r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+                  *[rf"(?<![\w+])\+(?:{codes})[ .-]?(?:\(0\))?(?:[ .()-]{{0,2}}{_OTHER}\d){{{n}}}(?!\d)" for n, codes in LENGTHS],
+                  rf"(?<![\w+])\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?{_OTHER}\d{{2,4}}){{2,4}}(?!\d)",
+                  r"(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)", r"(?<![\d.-])\d{3}([.-])\d{3}\2\d{4}(?!\d)"])
 ANY = "|".join([EMAIL, SECRET, KEY, HEX, IP, ISO, DMY, SSN, CARD, PHONE])
 #: What each kind looks like once it is found.
 SHAPES = {"email": r"^[^\s=:]+@", "secret": r"^(?i:password|passwd|secret|token|api)", "key": r"^(?:AKIA|ASIA|gh[pousr]_|sk-|[0-9a-f]{32})",
@@ -100,10 +111,20 @@ def _named(value: Column, use) -> Column:
 
 
 def _card(key: str, m: Column) -> Column:
+    """All digits if they are one number, else each four groups of four that are one, from the left."""
     def fresh(d: Column) -> Column:
         body = _permuted(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
-        return F.when(luhn(d), _named(body, lambda b: _filled(m, F.concat(b, F.pmod(F.lit(10) - F.pmod(_sum(b, True), F.lit(10)), F.lit(10)).cast("string"))))).otherwise(m)
-    return _named(F.regexp_replace(m, "[^0-9]", ""), fresh)
+        return _named(body, lambda b: F.concat(b, F.pmod(F.lit(10) - F.pmod(_sum(b, True), F.lit(10)), F.lit(10)).cast("string")))
+    def step(s: Column, g: Column) -> Column:
+        def taken(d: Column) -> Column:
+            last = F.substring(d, -16, 16)
+            new = F.struct(F.concat(s["done"], F.substring(d, F.lit(1), F.length(d) - 16), fresh(last)).alias("done"), F.lit("").alias("open"))
+            return F.when((F.length(d) >= 16) & (F.length(g) == 4) & luhn(last), new).otherwise(F.struct(s["done"].alias("done"), d.alias("open")))
+        return _named(F.concat(s["open"], g), taken)
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    parts = F.aggregate(F.split(m, "[ -]"), start, step, lambda s: F.concat(s["done"], s["open"]))
+    whole = lambda d: F.when((F.length(d) <= 19) & luhn(d), fresh(d)).otherwise(parts)
+    return _filled(m, _named(F.regexp_replace(m, "[^0-9]", ""), whole))
 
 
 def _digits(key: str, kind: str, m: Column) -> Column:

@@ -106,6 +106,30 @@ def test_pseudonyms_odd_rows(spark, docs, odd):
     assert pii.pseudonymised(docs([])).count() == 0
 
 
+def hidden(spark, docs, texts):
+    return [r["text"] for r in pii.pseudonymised(docs(list(enumerate(texts)))).orderBy("doc_id").collect()]
+
+
+def test_pseudonyms_end_where_the_value_ends(spark, docs):
+    alone = ["+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "4111111111111111", "378282246310005", "3782 822463 10005", "+44 20 7946 0958", "5500-0000-0000-0004", "2031-05-06", "+49 30 901820"]
+    phone, ip, card, plain, amex, grouped, london, second, date, berlin = hidden(spark, docs, alone)
+    assert all(a != b for a, b in zip(alone, (phone, ip, card, plain, amex, grouped, london, second, date, berlin)))
+    fresh = dict(zip(alone, (phone, ip, card, plain, amex, grouped, london, second, date, berlin)))
+    rows = ["+1 (826) 555-4081 190.137.223.204", "+44 20 7946 0958 190.137.223.204", "+49 30 901820 190.137.223.204", "+49 30 901820 2031-05-06", "4111 1111 1111 1111 12/27",
+            "4111111111111111 123", "4111 1111 1111 1111 123", "no 7 4111111111111111", "12-4111111111111111", "1234 4111 1111 1111 1111", "4111 1111 1111 1111 2031-05-06", "4111 1111 1111 1111 5500-0000-0000-0004",
+            "378282246310005 3782 822463 10005", "4111111111111111 +1 (826) 555-4081"]
+    want = []
+    for t in rows:
+        for a, b in sorted(fresh.items(), key=lambda x: -len(x[0])):
+            t = t.replace(a, f"<{list(fresh).index(a)}>")
+        for n, b in enumerate(fresh.values()):
+            t = t.replace(f"<{n}>", b)
+        want.append(t)
+    assert hidden(spark, docs, rows) == want and not set(rows) & set(want)
+    assert hidden(spark, docs, ["4111 1111 1111 1112", "4111111111111112"]) == ["4111 1111 1111 1112", "4111111111111112"]
+
+
+
 def distance_within(p, t):
     prev = list(range(len(p) + 1))
     best = len(p)
