@@ -129,6 +129,19 @@ def test_pseudonyms_end_where_the_value_ends(spark, docs):
     assert hidden(spark, docs, ["4111 1111 1111 1112", "4111111111111112"]) == ["4111 1111 1111 1112", "4111111111111112"]
 
 
+def test_pseudonyms_are_searched_in_every_text(spark, docs):
+    bare, other, key, mac = hidden(spark, docs, ["password=correcthorse", "7 password=correcthorse", "sk-" + "a" * 30, "abcdef" * 6])
+    assert "correcthorse" not in bare and other == "7 " + bare and key[0] == mac[0] == "k" and "aaa" not in key and "abcdef" not in mac
+    long, less = hidden(spark, docs, ["token=" + "q" * 3000, "token=" + "q" * 300])
+    assert "q" not in long + less and len(long) == len(less) and long != less
+    rows = ["12/25/1999", "25/12/1999", "12.25.1999", "13/13/1999", "1999-12-25"]
+    month, day, dots, none, iso = hidden(spark, docs, rows)
+    assert month != "12/25/1999" and re.fullmatch(r"(0[1-9]|1[0-2])/(1[3-9]|[23]\d)/(19|20)\d\d", month) and dots == month.replace("/", ".") and none == "13/13/1999"
+    assert day == "/".join(reversed(iso.split("-")))
+    many = [f"{m:02}/{d:02}/{y}" for y in (1999, 2004) for m in range(1, 13) for d in range(13, 29)]
+    assert len(set(hidden(spark, docs, many))) == len(many)
+
+
 
 def distance_within(p, t):
     prev = list(range(len(p) + 1))
