@@ -4,7 +4,7 @@ A text is cut at line ends, and long lines at clause ends; each piece is hashed
 and the vectors are summed, lane by lane, modulo powers of two.  So the order of paragraphs does
 not matter, and a paragraph is inserted or deleted by adding or subtracting its own fingerprint.
 
-* ``flags``: 63 lanes that count the pieces whose hash has a given bit, modulo 2**16.  Twice the
+* ``flags``: 63 lanes that count the pieces whose hash has a given bit, modulo 2**32.  Twice the
   count less the number of pieces is a sum of random signs, so the cosine of two such vectors
   estimates the overlap of the multisets (standard error about 1/8).
 * ``sums``: three lanes of hashes modulo 2**40, for equality.
@@ -28,10 +28,15 @@ PIECES = r"\s*[\n\r]+\s*|(?<=[.!?;:,|])\s+"
 FIELD, LANES = 21, 63
 SPREAD = 1 | 1 << FIELD | 1 << 2 * FIELD
 CHUNK_BITS = 20
-FLAG_MOD, SUM_MOD = 1 << 16, 1 << 40
+FLAG_MOD, SUM_MOD = 1 << 32, 1 << 40
 LEAST = -(1 << 63)
 
 
+def _lane(x: Column) -> Column:
+    """A lane modulo 2**32 as a signed int."""
+    return (F.pmod(x + FLAG_MOD // 2, F.lit(FLAG_MOD)) - FLAG_MOD // 2).cast("int")
+
+
 def fingerprints(units: DataFrame, keys: list[str], text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``keys``, ``carry``, ``n`` (pieces), ``flags`` and ``sums`` for each combination of ``keys``.
 
@@ -56,27 +61,27 @@ def fingerprints(units: DataFrame, keys: list[str], text: str = "text", carry: l
         *[F.sum(F.coalesce(F.col(f"q{i}").bitwiseAND(F.lit(SUM_MOD - 1)), F.lit(0))).alias(f"s{i}") for i in (1, 2, 3)])
     return whole.select(
         *keys, *carry, "n",
-        F.array(*[F.col(f"f{i}").bitwiseAND(F.lit(FLAG_MOD - 1)).cast("int") for i in range(LANES)]).alias("flags"),
+        F.array(*[_lane(F.col(f"f{i}")) for i in range(LANES)]).alias("flags"),
         F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(SUM_MOD - 1)) for i in (1, 2, 3)]).alias("sums"))
 
 
 def combined(a: str, b: str, sign: int = 1) -> list[Column]:
     """``n``, ``flags``, ``sums`` of fingerprint ``a`` with ``b`` inserted (sign 1) or deleted (-1)."""
-    def lanes(name: str, mod: int, kind: str) -> Column:
-        return F.zip_with(f"{a}.{name}", f"{b}.{name}", lambda x, y: F.pmod(x.cast("long") + sign * y.cast("long"), F.lit(mod)).cast(kind)).alias(name)
-    return [(F.col(f"{a}.n") + sign * F.col(f"{b}.n")).alias("n"), lanes("flags", FLAG_MOD, "int"), lanes("sums", SUM_MOD, "long")]
+    def lanes(name: str, held) -> Column:
+        return F.zip_with(f"{a}.{name}", f"{b}.{name}", lambda x, y: held(x.cast("long") + sign * y.cast("long"))).alias(name)
+    return [(F.col(f"{a}.n") + sign * F.col(f"{b}.n")).alias("n"), lanes("flags", _lane), lanes("sums", lambda x: F.pmod(x, F.lit(SUM_MOD)))]
 
 
 def printed(fp: str) -> Column:
     """The fingerprint as lower-case hex."""
     wide = lambda x, k: F.lower(F.lpad(F.hex(x), k, "0"))
     return F.concat(wide(F.col(f"{fp}.n"), 16), F.array_join(F.transform(f"{fp}.sums", lambda x: wide(x, 10)), ""),
-                    F.array_join(F.transform(f"{fp}.flags", lambda x: wide(x.cast("long"), 4)), ""))
+                    F.array_join(F.transform(f"{fp}.flags", lambda x: wide(x.cast("long").bitwiseAND(F.lit(FLAG_MOD - 1)), 8)), ""))
 
 
 def likeness(a: str, b: str) -> Column:
     """Estimated cosine of the two multisets of pieces, 0 to 1; 1 for equal fingerprints."""
-    def signs(fp: str) -> Column:  # a lane counts modulo 2**16, so the signed sum is read modulo 2**16 too
+    def signs(fp: str) -> Column:  # a lane counts modulo 2**32, so the signed sum is read modulo 2**32 too
         return F.transform(f"{fp}.flags", lambda x: F.pmod(2 * x.cast("long") - F.col(f"{fp}.n") + FLAG_MOD // 2, F.lit(FLAG_MOD)).cast("double") - FLAG_MOD // 2)
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

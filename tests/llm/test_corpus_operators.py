@@ -42,6 +42,13 @@ def test_fingerprints_add_up(spark):
     assert both["less"] == both["c"] and both["more"] == both["a"]
 
 
+def test_likeness_of_very_often_repeated_lines(spark):
+    rows = [(1, "same line\n" * 40_000), (2, "same line\n" * 20_000)]
+    fp = multiset.fingerprints(spark.createDataFrame(rows, "k long, text string"), ["k"]).select("k", F.struct("n", "flags", "sums").alias("fp"))
+    a, b = (fp.where(f"k = {k}").select(F.col("fp").alias(n)) for k, n in ((1, "a"), (2, "b")))
+    assert a.join(b).select(multiset.likeness("a", "b").alias("near")).first()["near"] > 0.999
+
+
 def brute_groups(fps, distance):
     ids = sorted(fps, key=lambda i: (i is None, i or 0))
     parent = list(range(len(ids)))
