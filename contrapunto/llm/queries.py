@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrapunto.llm import bpe, chat, decontaminate, licenses, multiset, pii, quality, simhash, substrings, toxicity
+from contrapunto.llm import bpe, chat, decontaminate, licenses, multiset, pii, quality, simhash, substrings, toxicity, whiten
 from contrapunto.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op4_license_scan(spark, folder):
 @query
 def op5_quality(spark, folder):
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op11_embedding_whitening(spark, folder):
+    return whiten.whitened(table(spark, folder, "embeddings"))
