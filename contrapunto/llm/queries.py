@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrapunto.llm import bpe, chat, decontaminate, licenses, multiset, pii, quality, simhash, substrings, toxicity, whiten
+from contrapunto.llm import bpe, chat, decontaminate, licenses, mix, multiset, pii, quality, simhash, substrings, toxicity, whiten
 from contrapunto.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op5_quality(spark, folder):
 @query
 def op11_embedding_whitening(spark, folder):
     return whiten.whitened(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_source_mix(spark, folder):
+    return mix.taken(table(spark, folder, "documents"))
