@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrapunto.llm import bpe, chat, decontaminate, licenses, mix, multiset, pii, quality, simhash, substrings, toxicity, whiten
+from contrapunto.llm import align, bpe, chat, decontaminate, licenses, mix, multiset, pii, quality, simhash, substrings, toxicity, whiten
 from contrapunto.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,13 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def tokenizer_pair() -> tuple[str, str, str]:
+    """Places of the byte-level vocabulary (with its pattern) and of the piece vocabulary that are aligned."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query
 def op1_bpe_round_trip(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), *tokenizer())
@@ -87,3 +94,8 @@ def op11_embedding_whitening(spark, folder):
 @query
 def op12_source_mix(spark, folder):
     return mix.taken(table(spark, folder, "documents"))
+
+
+@query
+def op13_token_alignment(spark, folder):
+    return align.alignment(table(spark, folder, "documents"), *tokenizer_pair())
