@@ -171,7 +171,9 @@ def _draws(sized: DataFrame, block: int, shard: int, seed: int) -> tuple[DataFra
     goals = targets([r["size"] for r in sums], weights)
     whole = [int(g + Fraction(1, 2)) for g in goals]
     rows = [(k, r["source"], r["size"], float(g), *(divmod(w, r["size"]) if r["size"] else (0, 0))) for k, (r, g, w) in enumerate(zip(sums, goals, whole))]
-    sources = spark.createDataFrame(rows, "s int, source string, source_size long, target double, rounds long, rest long")
+    # as a local relation, whose size Spark knows: joins with it need no exchange of the other side
+    fields = [("s", pa.int32()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("rounds", pa.int64()), ("rest", pa.int64())]
+    sources = spark.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)], schema=pa.schema(fields)))
 
     full = F.ceil(F.col("size") / block).cast("long")
     cut = sized.where("size > 0").join(sources.select("s", F.col("source").alias("own")), F.col("source").eqNullSafe(F.col("own")))
