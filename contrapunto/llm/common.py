@@ -39,6 +39,14 @@ def wanted(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores after it until no column of ``taken`` is called so (in any case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of an Arrow column; null reads as empty."""
     return [t if t is not None else "" for t in column.to_pylist()]

@@ -27,11 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contrapunto.llm.common import free
+
+KEY_SETTING = "spark.contrapunto.pseudonym.key"
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 SECRET = r"(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}"
-KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,64}\b"
-HEX = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}"
+HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 ISO = r"(?<![\d-])(?:19|20)\d{2}-\d{2}-\d{2}(?![\d-])"
 DMY = r"(?<![\d/.])\d{1,2}([/.])\d{1,2}\1(?:19|20)\d{2}(?![\d/])"
@@ -49,9 +52,9 @@ PHONE = "|".join([r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
                   r"(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)", r"(?<![\d.-])\d{3}([.-])\d{3}\2\d{4}(?!\d)"])
 ANY = "|".join([EMAIL, SECRET, KEY, HEX, IP, ISO, DMY, SSN, CARD, PHONE])
 #: What every match of ``ANY`` holds some of; cheap to look for.
-HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_?key)|AKIA|ASIA|gh[pousr]_|sk-|[a-f]{32}"
+HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_?key)|AKIA|ASIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}"
 #: What each kind looks like once it is found.
-SHAPES = {"email": r"^[^\s=:]+@", "secret": r"^(?i:password|passwd|secret|token|api)", "key": r"^(?:AKIA|ASIA|gh[pousr]_|sk-|[0-9a-f]{32})",
+SHAPES = {"email": r"^[^\s=:]+@", "secret": r"^(?i:password|passwd|secret|token|api)", "key": r"^(?:AKIA|ASIA|gh[pousr]_|sk-|[0-9a-f]{32}|[0-9A-F]{32})",
           "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "iso": r"^\d{4}-\d{2}-\d{2}$", "dmy": r"^\d{1,2}[/.]\d{1,2}[/.]\d{4}$",
           "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"}
 WALK = 64  # about 0.39 of all days are up to the 12th: the walk is longer once in 10**26
@@ -183,13 +186,18 @@ def pseudonym(m: Column, key: str) -> Column:
             .otherwise(_card(key, m)))
 
 
-def pseudonymised(docs: DataFrame, key: str = "contrapunto", text: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``; ``count`` names a column for the number of values changed."""
-    own = F.col(f"`{text}`")
+def pseudonymised(docs: DataFrame, key: str | None = None, text: str = "text", count: str | None = None) -> DataFrame:
+    """``docs`` with pseudonyms in ``text``; ``count`` names a column for the number of values changed.
+
+    Without ``key`` the session's ``KEY_SETTING`` is used.  Whoever knows the key can undo the permutations,
+    so a run on real data must set one; the default only serves to link equal values in trials.
+    """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, "contrapunto")
+    own, one, two = F.col(f"`{text}`"), free("found", docs.columns), free("fresh", docs.columns)
     found = F.when(own.rlike(HINT), F.regexp_extract_all(own, F.lit(ANY), F.lit(0)))
-    staged = docs.withColumn("__found", found)
-    staged = staged.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key))))
-    joined = F.array_join(F.zip_with(F.split(own, ANY, -1), F.col("__new"), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    staged = docs.withColumn(one, found)
+    staged = staged.withColumn(two, F.when(F.size(one) > 0, F.transform(one, lambda m: pseudonym(m, key))))
+    joined = F.array_join(F.zip_with(F.split(own, ANY, -1), F.col(two), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     if count:
-        staged = staged.withColumn(count, F.coalesce(F.size(F.filter(F.arrays_zip("__found", "__new"), lambda z: z["__found"] != z["__new"])), F.lit(0)))
-    return staged.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(own)).drop("__found", "__new")
+        staged = staged.withColumn(count, F.coalesce(F.size(F.filter(F.zip_with(one, two, lambda a, b: a != b), lambda z: z)), F.lit(0)))
+    return staged.withColumn(text, F.when(F.size(one) > 0, joined).otherwise(own)).drop(one, two)

@@ -193,19 +193,51 @@ def test_quality_on_held_out(spark, docs, odd, data_dir):
     assert quality.classify(docs([]), labels).count() == 0
 
 
+def brute_pipeline(spark, docs, labels, items):
+    """{id: kept text} after the first three stages, the near copies by brute-force Jaccard."""
+    from contrapunto.llm.decontaminate import Searcher, folded
+    from test_near import brute_kept
+    rows = [(r["doc_id"], r["text"]) for r in toxicity.without_toxic(docs, labels).collect()]
+    kept = collections.Counter(brute_kept(rows))
+    search, out = Searcher(items), []
+    for i, n in kept.items():
+        own = sorted({t or "" for j, t in rows if j == i})
+        out += [(i, t) for t in own[:n] if not search.matches(folded(t))]
+    return out
+
+
 def test_pipeline(spark, data_dir):
-    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    docs, labels = (spark.read.parquet(f"{data_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, data_dir).collect()}
     # the same stages, one after the other, by brute force over what the one before kept
-    rows = {r["doc_id"]: r["text"] for r in toxicity.without_toxic(docs, spark.read.parquet(f"{data_dir}/labels.parquet")).collect()}
-    groups = brute_groups({i: simhash.fingerprint(t) for i, t in rows.items()}, corpus_pipeline.NEAR_BITS)
-    rows = {i: t for i, t in rows.items() if groups[i] == i}
-    from contrapunto.llm.decontaminate import Searcher, folded
-    search = Searcher([tuple(r) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").select("item_id", "text").collect()])
-    rows = {i: t for i, t in rows.items() if not search.matches(folded(t))}
+    rows = dict(brute_pipeline(spark, docs, labels, [tuple(r) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").select("item_id", "text").collect()]))
     assert set(out) == set(rows) and 0 < len(out) < docs.count()
     from contrapunto.llm.bpe import Codec
     from contrapunto.llm.queries import tokenizer
     codec = Codec.of(*tokenizer())
     for i, r in out.items():
         assert r["n_tokens"] == len(r["ids"]) and r["n_chars"] == len(codec.decode(r["ids"]))
+
+
+def test_pipeline_odd_rows_and_clashing_columns(spark, docs, odd, data_dir, tmp_path):
+    rows = list(odd) + [(40, "write to ann@example.org or call +1 (826) 555-4081"), (41, None), (42, "")]
+    clash = ["k1", "node", "found", "fresh", "ids"]
+    own = docs(rows).drop("n_chars").select("*", *[F.lit(c.upper()).alias(c) for c in clash], F.lit(7).alias("n_tokens"))
+    for folder, table, copy in ((tmp_path / "odd", own, False), (tmp_path / "none", own.limit(0), True)):
+        table.write.parquet(f"{folder}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            other = spark.read.parquet(f"{data_dir}/{name}.parquet")
+            (other.limit(0) if copy else other).write.parquet(f"{folder}/{name}.parquet")
+        seen = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            seen = stage(spark, seen, str(folder))
+            assert seen.columns == table.columns, name
+        out = corpus_pipeline.run(spark, str(folder))
+        assert out.columns == [c for c in table.columns if c != "text"] + ["ids_", "n_tokens_"]
+        got = out.collect()
+        if copy:
+            assert got == []
+            continue
+        want = brute_pipeline(spark, table, spark.read.parquet(f"{folder}/labels.parquet"), [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()])
+        assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in want)
+        assert all(r[c] == c.upper() for r in got for c in clash) and all(r["n_tokens"] == 7 and r["n_tokens_"] == len(r["ids_"]) for r in got)

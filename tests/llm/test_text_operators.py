@@ -154,6 +154,20 @@ def distance_within(p, t):
     return best
 
 
+def test_long_keys_and_clashing_columns(spark, docs):
+    keys = ["sk-" + "aB3" * 40, "sk-proj-" + "Xy_9-" * 20, "0f" * 64, "AB" * 40, "F" * 32, "ghp_" + "a1B2" * 20]
+    texts = hidden(spark, docs, [f"see {k} end" for k in keys])
+    assert all(k not in t and t.startswith("see k") and t.endswith(" end") for k, t in zip(keys, texts))
+    table = docs([(1, "mail a@b.org")]).withColumnRenamed("fp", "found").withColumnRenamed("key", "FRESH")
+    got = pii.pseudonymised(table, count="n").first()
+    assert (got["found"], got["FRESH"], got["n"]) == ("x", "z", 1) and "a@b.org" not in got["text"]
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.pseudonymised(table).first()["text"] != got["text"] == pii.pseudonymised(table, key="contrapunto").first()["text"]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_myers_distance():
     rng = random.Random(2)
     for _ in range(300):
