@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrapunto.functions.identifiers import contract_id, id_kind, infer_process_id, link_id, notice_id
-from contrapunto.functions.similarity import partial_ratio
 from contrapunto.operators import ordering as O
 
 
@@ -142,7 +141,7 @@ def enrich_year(items: DataFrame, keys: list[Column], ledger: DataFrame, note: s
                     F.coalesce("s", F.concat(F.lit("Hoja "), year)).alias("hoja_resuelta"), via.alias("via"))
 
 
-# ---- Presence (J11-J14, J16, J17) -------------------------------------------
+# ---- Presence (J11-J14, J16) -------------------------------------------
 
 
 def multi_source(ids: DataFrame, sources: list[DataFrame], at_least: int = 2) -> DataFrame:
@@ -184,14 +183,3 @@ def siblings_of(picked: DataFrame, contracts: DataFrame) -> DataFrame:
 
 def attach_doc_meta(docs: DataFrame, meta: DataFrame) -> DataFrame:
     return docs.join(meta.select("process_id", "doc_id", "nombre", "url"), ["process_id", "doc_id"], "left")
-
-
-def note_match(notes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Best fuzzy score of the process's note against each document's name and text.
-
-    One note per process (its latest), so the pairs are as many as the documents.
-    """
-    note = O.latest(notes, ["process_id"], [F.desc("row_no")]).select("process_id", F.col("text").alias("_note"))
-    d = docs.join(note, "process_id")
-    score = F.greatest(partial_ratio("_note", "nombre"), F.coalesce(partial_ratio("_note", "texto"), F.lit(0.0)))
-    return d.select("process_id", "doc_id", "nombre", F.round(score, 1).alias("coincidencia"))

@@ -230,6 +230,14 @@ VIEWS = {
                CAST(DATE '2019-01-01' + (CAST(doc_id % 1461 AS INT)) * INTERVAL 1 DAY AS DATE) AS fecha,
                concat({_case('doc_id % 14', BODY_LEXICON)}, text) AS texto
         FROM {{documents}}""",
+    # Every note of a conversation, and one note per document that names it or quotes it, with words of its own.
+    "observaciones": """
+        SELECT concat('n', conv_id, '-', turn) AS note_id, concat('src', conv_id % 20) AS process_id, text FROM {notas}
+        UNION ALL
+        SELECT concat('d', doc_id), process_id,
+               CASE dataset WHEN 'archivo_2022' THEN concat('Se revisó ', nombre, ' y falta la firma') WHEN 'archivo_2023' THEN texto
+                    ELSE concat('Según el archivo: ', substr(texto, 60 + 7 * (length(texto) % 40), 400), ' pendiente de verificar') END
+        FROM {archivos}""",
     "bitacora": """
         SELECT event_id AS pos, ts, CASE event_type WHEN 'signup' THEN 'fill' WHEN 'click' THEN 'replace' WHEN 'error' THEN 'verify_drift'
                     WHEN 'purchase' THEN 'watch_edit' ELSE 'consulta' END AS op,

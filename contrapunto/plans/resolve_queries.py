@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from contrapunto.functions.identifiers import contract_id, notice_id
 
-from contrapunto.operators import documents as D
 from contrapunto.operators import resolve as R
 from contrapunto.operators import rollups as RU
+from contrapunto.operators.matching import match_notes
 from contrapunto.plans.registry import query
 
 _NTC = "nullif(regexp_extract({}, 'CO1\\.NTC\\.\\d+'), '')"
@@ -198,10 +198,19 @@ def j16(t):
     return R.attach_doc_meta(t.archivos.select("process_id", "doc_id"), meta)
 
 
-@query("J17_note_match")
+_WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda x: x <> '')"
+_WINDOWS = "list_distinct(list_filter(list_transform(range(1, greatest(len(ws), 2)), lambda i: ws[i] || coalesce(' ' || ws[i + 1], '')), lambda x: x IS NOT NULL))"
+
+
+@query("J17_note_match", f"""
+n AS (SELECT note_id, process_id, {_WINDOWS} w FROM (SELECT *, {_WORDS.format('text')} ws FROM {{observaciones}})),
+b AS (SELECT doc_id, process_id, campo, {_WINDOWS} w FROM (SELECT doc_id, process_id, 'nombre' campo, {_WORDS.format('nombre')} ws FROM {{archivos}}
+   UNION ALL SELECT doc_id, process_id, 'texto', {_WORDS.format('texto')} FROM {{archivos}})),
+s AS (SELECT note_id, doc_id, campo, len(list_intersect(n.w, b.w)) comunes, least(len(n.w), len(b.w)) menor FROM n JOIN b USING (process_id) WHERE len(n.w) > 0 AND len(b.w) > 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY comunes / menor DESC, doc_id, campo) rn FROM s WHERE comunes >= 0.5 * menor)
+SELECT o.note_id, o.process_id, t.doc_id, t.campo, t.comunes, t.menor, round(comunes / menor * 100, 1) coincidencia FROM {{observaciones}} o LEFT JOIN t ON t.note_id = o.note_id AND t.rn = 1""")
 def j17(t):
-    notes = D.note_flags(t.notas).select(F.concat(F.lit("src"), F.col("conv_id") % 20).alias("process_id"), F.struct("conv_id", "turn").alias("row_no"), F.col("resumen").alias("text"))
-    return R.note_match(notes, t.archivos)
+    return match_notes(t.observaciones, t.archivos)
 
 
 @query("E2_jaro_winkler", """
