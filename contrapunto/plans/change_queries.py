@@ -105,8 +105,8 @@ ch AS (SELECT chain_id, cpos, pos, op, ts, repeat('0', 64) prev_hash, sha256(pay
   UNION ALL SELECT e.chain_id, e.cpos, e.pos, e.op, e.ts, ch.hash, sha256(e.payload || ch.hash) FROM RECURSIVE_e e JOIN ch ON e.chain_id = ch.chain_id AND e.cpos = ch.cpos + 1)"""
 
 
-def chained(t):
-    return IN.build_chain(t.bitacora, "chain_id", "pos", _E_COLS)
+def chained(t, segment=IN.SEGMENT):
+    return IN.build_chain(t.bitacora, "chain_id", "pos", _E_COLS, segment=segment)
 
 
 @query("H6_build_chain", _CHAIN + " SELECT chain_id, cpos, pos, prev_hash, hash FROM ch")
@@ -120,11 +120,59 @@ def h6_roots(t):
     return IN.chain_roots(chained(t), "chain_id")
 
 
-def _tampered(t):
+#: The same chains in segments of three, and the heads of the segments.
+_SHORT = """
+RECURSIVE_e AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY pos) cpos, """ + _EJ + """ payload FROM {bitacora}),
+g AS (SELECT *, (cpos - 1) // 3 segmento, CASE WHEN cpos <= 3 THEN repeat('0', 64) ELSE sha256(chain_id || ':' || ((cpos - 1) // 3)) END inicio FROM RECURSIVE_e),
+ch AS (SELECT chain_id, cpos, segmento, inicio prev_hash, sha256(payload || inicio) hash FROM g WHERE (cpos - 1) % 3 = 0
+  UNION ALL SELECT g.chain_id, g.cpos, g.segmento, ch.hash, sha256(g.payload || ch.hash) FROM g JOIN ch ON g.chain_id = ch.chain_id AND g.cpos = ch.cpos + 1 WHERE (g.cpos - 1) % 3 <> 0),
+heads AS (SELECT chain_id, segmento, arg_max(hash, cpos) hash, count(*) n FROM ch GROUP BY 1, 2)"""
+_TREE = _SHORT + """,
+tr AS (SELECT chain_id, 0 nivel, CAST(segmento AS BIGINT) orden, hash h FROM heads
+  UNION ALL SELECT chain_id, nivel + 1, orden // 2, sha256(string_agg(h, '' ORDER BY orden)) FROM (SELECT *, count(*) OVER (PARTITION BY chain_id) ancho FROM tr) WHERE ancho > 1 OR nivel < 2 GROUP BY 1, 2, 3)"""
+
+
+@query("H6_segments", _SHORT + " SELECT chain_id, cpos, segmento, prev_hash, hash FROM ch")
+def h6_segments(t):
+    return chained(t, 3).select("chain_id", "cpos", "segmento", "prev_hash", "hash")
+
+
+@query("H6_merkle_roots", _TREE + """
+SELECT chain_id, arg_max(h, nivel) raiz, (SELECT sum(n) FROM heads WHERE heads.chain_id = tr.chain_id)::BIGINT entradas FROM tr GROUP BY 1""")
+def h6_merkle(t):
+    return IN.chain_roots(chained(t, 3), "chain_id", 2)
+
+
+@query("H6_inclusion_proofs", _TREE + """
+SELECT chain_id, segmento, (SELECT max(nivel) FROM tr WHERE tr.chain_id = h.chain_id) niveles, segmento <> 1 valida FROM heads h""")
+def h6_proofs(t):
+    log = chained(t, 3)
+    tree = IN.merkle_tree(log, "chain_id", 2)
+    heads = log.groupBy("chain_id", "segmento").agg(F.max_by("hash", "cpos").alias("hash"))
+    heads = heads.withColumn("hash", F.when(F.col("segmento") == 1, F.sha2("hash", 256)).otherwise(F.col("hash")))  # the second ones are forged
+    return IN.check_proofs(IN.inclusion_proofs(heads, tree, "chain_id", 2), heads, IN.chain_roots(log, "chain_id", 2), "chain_id")
+
+
+@query("H5_lost_entries", """
+e AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY pos) cpos FROM {bitacora}),
+c AS (SELECT chain_id, count(*) n, arg_min(op, cpos) primera FROM e GROUP BY 1)
+SELECT chain_id, 4 cpos, true hash_ok, false enlace_ok FROM c WHERE primera IN ('fill', 'replace') AND n > 3
+UNION ALL SELECT chain_id, n, true, false FROM c WHERE primera = 'consulta'""")
+def h5_lost(t):
+    """Segments of three: the second is lost in some chains, the last entry in others."""
+    log = chained(t, 3)
+    first = log.where("cpos = 1").select("chain_id", F.col("op").alias("primera"))
+    ends = log.groupBy("chain_id").agg(F.max("cpos").alias("n"))
+    d = log.join(first, "chain_id").join(ends, "chain_id")
+    kept = d.where("not (primera in ('fill', 'replace') and segmento = 1) and not (primera = 'consulta' and cpos = n)").drop("primera", "n")
+    return IN.verify_chain(kept, "chain_id", _E_COLS, IN.chain_roots(log, "chain_id"), 3)
+
+
+def _tampered(t, segment=IN.SEGMENT):
     """The chained log with errors above 90 rewritten and one operation's links lost."""
     edited = (F.col("op") == "verify_drift") & (F.col("nuevo").cast("double") > 90)
     cut = (F.col("op") == "fill") & (F.col("nuevo").cast("double") > 90)
-    return chained(t).withColumns({"nuevo": F.when(edited, "0.00").otherwise(F.col("nuevo")), "prev_hash": F.when(cut, F.repeat(F.lit("f"), F.lit(64))).otherwise(F.col("prev_hash"))})
+    return chained(t, segment).withColumns({"nuevo": F.when(edited, "0.00").otherwise(F.col("nuevo")), "prev_hash": F.when(cut, F.repeat(F.lit("f"), F.lit(64))).otherwise(F.col("prev_hash"))})
 
 
 @query("H5_W8_verify_chain", """
@@ -321,12 +369,20 @@ def r3(t):
     return moves.select("tipo", "id", "antes", "despues")
 
 
+def _lost(t, segment):
+    """The tampered log without its most expensive lookups, in files that hold no stretch of a chain whole."""
+    gone = (F.col("op") == "consulta") & (F.col("nuevo").cast("double") > 90)
+    return _tampered(t, segment).where(~gone).repartition(4, F.xxhash64("pos"))
+
+
 @query("R4_stream_verify", """
-SELECT chain_id, count(*) entradas, CAST(sum(CASE WHEN op IN ('fill', 'verify_drift') AND CAST(nuevo AS DOUBLE) > 90 THEN 1 ELSE 0 END) AS BIGINT) rotas FROM {bitacora} GROUP BY 1""")
+e AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY pos) cpos FROM {bitacora})
+SELECT chain_id, count(*) entradas, CAST(sum(CASE WHEN op IN ('fill', 'verify_drift') AND CAST(nuevo AS DOUBLE) > 90 THEN 1 ELSE 0 END) AS BIGINT) rotas, max(cpos) - count(*) faltan
+FROM e WHERE op <> 'consulta' OR CAST(nuevo AS DOUBLE) <= 90 GROUP BY 1""")
 def r4(t):
     folder = ST.run_folder(t.spark)
-    _tampered(t).write.parquet(f"{folder}/bitacora")
+    _lost(t, 8).write.parquet(f"{folder}/bitacora")
     log = t.spark.read.parquet(f"{folder}/bitacora")
-    stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/bitacora")
-    rows = ST.run_to_table(ST.stream_verify(stream, _E_COLS), f"{folder}/salida", "append")
-    return rows.groupBy("chain_id").agg(F.sum("entradas").alias("entradas"), F.sum("rotas").alias("rotas"))
+    stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/bitacora")
+    rows = ST.run_to_table(ST.stream_verify(stream, _E_COLS, 8), f"{folder}/salida", "append")
+    return ST.chain_state(rows)

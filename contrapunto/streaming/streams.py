@@ -95,33 +95,63 @@ def stream_movements(snapshots: DataFrame, store: str, stamp: Callable[[int], st
     return spark.read.option("basePath", f"{folder}/moves").parquet(f"{folder}/moves")
 
 
-_STATE = T.StructType([T.StructField("pos", T.LongType()), T.StructField("hash", T.StringType())])
-_BROKEN = T.StructType([
+_STATE = T.StructType([
+    T.StructField("first", T.ArrayType(T.LongType())), T.StructField("last", T.ArrayType(T.LongType())),
+    T.StructField("prev", T.ArrayType(T.StringType())), T.StructField("hash", T.ArrayType(T.StringType()))])
+_CHECKED = T.StructType([
     T.StructField("chain_id", T.LongType()), T.StructField("segmento", T.LongType()), T.StructField("entradas", T.LongType()),
-    T.StructField("rotas", T.LongType()), T.StructField("ultima", T.LongType())])
+    T.StructField("rotas", T.LongType()), T.StructField("repetidas", T.LongType()), T.StructField("tramos", T.LongType()), T.StructField("ultima", T.LongType())])
+#: A stretch of entries without gaps: first and last position, the link its first entry still has to prove
+#: (None once it is proved or counted), and its last hash.
+Stretch = tuple[int, int, str | None, str]
+
+
+def join_stretches(stretches: list[Stretch]) -> tuple[list[Stretch], int]:
+    """Neighbours joined where they meet, and how many of the links between them do not fit."""
+    out, broken = [], 0
+    for s in sorted(stretches, key=lambda x: x[0]):
+        if out and out[-1][1] + 1 == s[0]:
+            broken += s[2] is not None and s[2] != out[-1][3]
+            out[-1] = (out[-1][0], s[1], out[-1][2], s[3])
+        else:
+            out.append(s)
+    return out, broken
 
 
-def stream_verify(log: DataFrame, columns: list[str]) -> DataFrame:
-    """Chain verification as entries arrive; the last hash of every segment is the state.
+def stream_verify(log: DataFrame, columns: list[str], segment: int = SEGMENT) -> DataFrame:
+    """Chain verification as entries arrive, in any order and any number of files.
 
-    The key is (chain, segment), so the rows of a hot chain spread over the cluster and
-    one key never holds more than a segment.
+    The key is (chain, segment), so the rows of a hot chain spread over the cluster and one key never
+    holds more than a segment.  The state of a key is its open stretches; an entry's own hash is
+    checked when it arrives, its link as soon as the entry before it is there.  An entry counts as
+    broken once.  A position that came before is not counted again (``repetidas``).
     """
-    d = log.select("chain_id", segment_of("cpos").alias("segmento"), "cpos", "prev_hash", "hash",
+    d = log.select("chain_id", segment_of("cpos", segment).alias("segmento"), "cpos", "prev_hash", "hash",
                    F.sha2(F.concat(canonical(columns), "prev_hash"), 256).alias("esperado"))
 
     def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chain, segment = key
-        start = GENESIS if segment == 0 else hashlib.sha256(f"{chain}:{segment}".encode()).hexdigest()
-        last = state.get[1] if state.exists else start
-        rows = pd.concat(list(frames)).sort_values("cpos")
-        before = pd.Series([last, *rows["hash"].tolist()[:-1]], index=rows.index)
-        broken = int(((rows["hash"] != rows["esperado"]) | (rows["prev_hash"] != before)).sum())
-        end = int(rows["cpos"].iloc[-1])
-        if end % SEGMENT == 0:
-            state.remove()  # the segment is complete
-        else:
-            state.update((end, rows["hash"].iloc[-1]))
-        yield pd.DataFrame({"chain_id": [chain], "segmento": [segment], "entradas": [len(rows)], "rotas": [broken], "ultima": [end]})
-
-    return d.groupBy("chain_id", "segmento").applyInPandasWithState(check, _BROKEN, _STATE, "append", GroupStateTimeout.NoTimeout)
+        chain, part = key
+        begin = part * segment + 1
+        start = GENESIS if part == 0 else hashlib.sha256(f"{chain}:{part}".encode()).hexdigest()
+        known = list(zip(*[list(x) for x in state.get])) if state.exists else []
+        rows, fresh, again, broken = pd.concat(list(frames)).sort_values("cpos", kind="stable"), [], 0, 0
+        seen = set()
+        for pos, prev, own, expected in zip(rows["cpos"].tolist(), rows["prev_hash"], rows["hash"], rows["esperado"]):
+            if pos in seen or any(a <= pos <= b for a, b, _, _ in known):
+                again += 1
+                continue
+            seen.add(pos)
+            bad = own != expected or (pos == begin and prev != start)
+            broken += bad
+            fresh.append((pos, pos, None if bad or pos == begin else prev, own))
+        joined, unfit = join_stretches([*known, *fresh])
+        state.update(tuple(list(x) for x in zip(*joined)))
+        yield pd.DataFrame({"chain_id": [chain], "segmento": [part], "entradas": [len(fresh)], "rotas": [broken + unfit],
+                            "repetidas": [again], "tramos": [len(joined)], "ultima": [joined[-1][1]]})
+
+    return d.groupBy("chain_id", "segmento").applyInPandasWithState(check, _CHECKED, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def chain_state(checked: DataFrame) -> DataFrame:
+    """Per chain, over all that was checked: entries, broken ones, and how many are missing before the last."""
+    return checked.groupBy("chain_id").agg(F.sum("entradas").alias("entradas"), F.sum("rotas").alias("rotas"), (F.max("ultima") - F.sum("entradas")).alias("faltan"))
