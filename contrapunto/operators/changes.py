@@ -161,48 +161,7 @@ def count_drift(a: DataFrame, b: DataFrame, pct: float = 5.0) -> DataFrame:
     return n.select("guardadas", "vivas", drift.alias("desvio_pct"), F.coalesce((F.col("vivas") == 0) | (gap * 100 > F.lit(pct) * F.col("vivas")), F.lit(True)).alias("alerta"))
 
 
-# ---- Batched edits (H12, H14) -----------------------------------------------
-
-
-def apply_edits(watch: DataFrame, edits: DataFrame, domain: str) -> tuple[DataFrame, DataFrame]:
-    """Applies add/edit/remove in one pass and returns (watch, log).
-
-    ``watch``: url, process_id, note, sheet.  ``edits``: ord, op, url, new_url, note,
-    sheet.  A link outside the domain, a link or id that is already there (also
-    earlier in the batch), a missing target and an edit that changes nothing are
-    logged with their reason and leave the list as it is.
-    """
-    e = edits.withColumn("target", F.trim(F.coalesce("new_url", "url"))).withColumn("new_pid", infer_process_id("target"))
-    e = e.withColumns({"note": F.nullif(F.trim("note"), F.lit("")), "sheet": F.nullif(F.trim("sheet"), F.lit(""))})
-    cur = watch.select(F.col("url"), F.struct("url", "process_id", "note", "sheet").alias("cur"))
-    url_owner = watch.select(F.col("url").alias("target"), F.col("url").alias("url_owner"))
-    id_owner = watch.where("process_id is not null").groupBy(F.col("process_id").alias("new_pid")).agg(F.min("url").alias("id_min"), F.max("url").alias("id_max"))
-    d = e.join(cur, "url", "left").join(url_owner, "target", "left").join(id_owner, "new_pid", "left")
-    claim = e.where("op <> 'remove'").groupBy(F.coalesce("new_pid", "target").alias("claim")).agg(F.min("ord").alias("first_claim"))
-    one_op = e.groupBy("url").agg(F.min("ord").alias("first_op"))
-    d = d.withColumn("claim", F.coalesce("new_pid", "target")).join(claim, "claim", "left").join(one_op, "url", "left")
-    taken_url = F.col("url_owner").isNotNull() & (F.col("url_owner") != F.col("url"))
-    taken_id = F.col("id_min").isNotNull() & ((F.col("id_min") != F.col("url")) | (F.col("id_max") != F.col("url")))
-    late = F.col("ord") > F.col("first_claim")
-    same = (F.col("target") == F.col("cur.url")) & F.coalesce("note", "cur.note").eqNullSafe(F.col("cur.note")) & F.coalesce("sheet", "cur.sheet").eqNullSafe(F.col("cur.sheet"))
-    add, edit = F.col("op") == "add", F.col("op") == "edit"
-    status = (F.when(F.col("ord") > F.col("first_op"), "repetido_en_lote")
-              .when((add | edit) & ~contains_link_of("target", domain), "dominio_invalido")
-              .when(add & (F.col("cur").isNotNull() | F.col("id_min").isNotNull()), "duplicado")
-              .when(~add & F.col("cur").isNull(), "no_encontrado")
-              .when(edit & (taken_url | taken_id), "conflicto")
-              .when((add | edit) & late, "duplicado")
-              .when(edit & same, "sin_cambio").otherwise("aplicado"))
-    d = d.withColumn("estado", status)
-    log = d.select("ord", "op", "url", F.coalesce("new_pid", "cur.process_id").alias("process_id"), F.col("cur.note").alias("antes"), F.col("note").alias("despues"), "estado")
-    done = d.where("estado = 'aplicado'")
-    fresh = done.where("op = 'add'").select(F.col("target").alias("url"), F.col("new_pid").alias("process_id"), "note", "sheet")
-    patch = done.where("op <> 'add'").select("url", F.col("op").alias("_op"), F.col("target").alias("_u"), F.col("new_pid").alias("_p"), F.col("note").alias("_n"), F.col("sheet").alias("_s"))
-    kept = watch.select("url", "process_id", "note", "sheet").join(patch, "url", "left").where("_op is null or _op = 'edit'")
-    moved = F.col("_op").isNotNull() & (F.col("_u") != F.col("url"))
-    kept = kept.select(F.coalesce("_u", "url").alias("url"), F.when(moved, F.col("_p")).otherwise(F.col("process_id")).alias("process_id"),
-                       F.coalesce("_n", "note").alias("note"), F.coalesce("_s", "sheet").alias("sheet"))
-    return kept.unionByName(fresh), log
+# ---- Notes (H14); batched edits of the watch list are in edits.py -----------
 
 
 def set_notes(notes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:

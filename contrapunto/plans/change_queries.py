@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contrapunto.operators import changes as C
 from contrapunto.operators import integrity as IN
+from contrapunto.operators.edits import apply_edits
 from contrapunto.plans.analogs import NEW_STAMP, OLD_STAMP
 from contrapunto.plans.registry import query
 from contrapunto.sources.sinks import save_snapshot
@@ -305,7 +306,7 @@ def _watch_of_suppliers(t):
 SELECT s_suppkey ord, CASE WHEN s_nationkey < 8 THEN 'edit' WHEN s_nationkey < 12 THEN 'remove' ELSE 'add' END op,
   CASE WHEN s_nationkey = 9 THEN 'no_encontrado' WHEN s_nationkey < 6 THEN 'aplicado' WHEN s_nationkey < 8 THEN 'sin_cambio' WHEN s_nationkey < 16 THEN 'aplicado' WHEN s_nationkey < 20 THEN 'duplicado' ELSE 'dominio_invalido' END estado FROM supplier""")
 def h12(t):
-    return C.apply_edits(_watch_of_suppliers(t), _edits(t), "portal.example.org")[1].select("ord", "op", "estado")
+    return apply_edits(_watch_of_suppliers(t), _edits(t), "portal.example.org")[1].select("ord", "op", "estado")
 
 
 @query("H12_edited_watch", """
@@ -313,7 +314,41 @@ SELECT 'https://portal.example.org/x?noticeUID=CO1.NTC.' || CASE WHEN s_nationke
   CASE WHEN s_nationkey BETWEEN 3 AND 5 THEN 'nota ' || s_suppkey ELSE 'previa' END note, 'Hoja 2000' sheet FROM supplier WHERE s_nationkey NOT BETWEEN 8 AND 11
 UNION ALL SELECT 'https://portal.example.org/x?noticeUID=CO1.NTC.' || (s_suppkey + 1000000), 'CO1.NTC.' || (s_suppkey + 1000000), 'alta', NULL FROM supplier WHERE s_nationkey BETWEEN 12 AND 15""")
 def h12_watch(t):
-    return C.apply_edits(_watch_of_suppliers(t), _edits(t), "portal.example.org")[0]
+    return apply_edits(_watch_of_suppliers(t), _edits(t), "portal.example.org")[0].select("url", "process_id", "note", "sheet")
+
+
+def _edits_in_order(t):
+    """Three edits per supplier that build on each other, against the list of the same rows (without nation 9)."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    url = lambda i: F.concat(F.lit("https://portal.example.org/x?noticeUID=CO1.NTC."), i)
+    other = F.when(n % 2 == 0, url(k + 1000000)).otherwise(url(k + 2000000))
+    row = lambda i, op, link, new=None, note=None, sheet=None: F.struct((3 * k + i).alias("ord"), F.lit(op).alias("op"), link.alias("url"), *[(F.lit(None).cast("string") if v is None else v).alias(c) for c, v in (("new_url", new), ("note", note), ("sheet", sheet))])
+    move = F.array(row(0, "edit", url(k), other), row(1, "edit", other, None, F.concat(F.lit("nota "), k)), row(2, "add", other, None, None, F.concat(F.lit("Hoja "), 2001 + n)))
+    swap = F.array(row(0, "remove", url(k)), row(1, "add", url(k), None, F.lit("otra"), F.lit("Hoja 1999")), row(2, "edit", url(k), url(k)))
+    clash = F.array(row(0, "add", other, None, F.lit("nueva")), row(1, "edit", url(k), other), row(2, "remove", other))
+    return t.supplier.select(F.explode(F.when(n < 8, move).when(n < 16, swap).otherwise(clash)).alias("e")).select("e.*")
+
+
+#: Per supplier: the new link, and what the rules leave, by nation.
+_ORDERED = """
+s AS (SELECT s_suppkey k, s_nationkey n, 'https://portal.example.org/x?noticeUID=CO1.NTC.' u, s_suppkey + CASE WHEN s_nationkey % 2 = 0 THEN 1000000 ELSE 2000000 END o FROM supplier)"""
+
+
+@query("H12_ordered_log", _ORDERED + """
+SELECT 3 * k + i ord, CASE WHEN n < 8 THEN ['edit', 'edit', 'add'][i + 1] WHEN n < 16 THEN ['remove', 'add', 'edit'][i + 1] ELSE ['add', 'edit', 'remove'][i + 1] END op,
+  CASE WHEN n < 8 THEN ['aplicado', 'aplicado', 'ampliado'][i + 1] WHEN n = 9 THEN ['no_encontrado', 'aplicado', 'sin_cambio'][i + 1] WHEN n < 16 THEN ['aplicado', 'aplicado', 'sin_cambio'][i + 1] ELSE ['aplicado', 'conflicto', 'aplicado'][i + 1] END estado,
+  CASE WHEN n < 8 THEN ['previa', 'previa', 'nota ' || k][i + 1] WHEN n = 9 THEN [NULL, NULL, 'otra'][i + 1] WHEN n < 16 THEN ['previa', NULL, 'otra'][i + 1] ELSE [NULL, 'previa', 'nueva'][i + 1] END antes
+FROM s, range(3) r(i)""")
+def h12_ordered(t):
+    return apply_edits(_watch_of_suppliers(t), _edits_in_order(t), "portal.example.org")[1].select("ord", "op", "estado", "antes")
+
+
+@query("H12_ordered_watch", _ORDERED + """
+SELECT u || CASE WHEN n < 8 THEN o ELSE k END url, 'CO1.NTC.' || CASE WHEN n < 8 THEN o ELSE k END process_id, CASE WHEN n < 8 THEN 'nota ' || k WHEN n < 16 THEN 'otra' ELSE 'previa' END note,
+  CASE WHEN n < 8 THEN 'Hoja 2000,Hoja ' || (2001 + n) WHEN n < 16 THEN 'Hoja 1999' ELSE 'Hoja 2000' END hojas, CASE WHEN n < 8 THEN '2000,' || (2001 + n) WHEN n < 16 THEN '1999' ELSE '2000' END vigencias FROM s""")
+def h12_ordered_watch(t):
+    d = apply_edits(_watch_of_suppliers(t), _edits_in_order(t), "portal.example.org")[0]
+    return d.select("url", "process_id", "note", F.array_join("hojas", ",").alias("hojas"), F.array_join("vigencias", ",").alias("vigencias"))
 
 
 @query("H14_note_log", """

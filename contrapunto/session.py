@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on.  Partition counts are left to the cluster:
 # adaptive execution coalesces small partitions and splits skewed join sides.
@@ -50,6 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the checkpoint folder; sets the folder only where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per context.
 

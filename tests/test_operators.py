@@ -17,6 +17,7 @@ from contrapunto.operators import pages as P
 from contrapunto.operators import quality as Q
 from contrapunto.operators import resolve as R
 from contrapunto.operators import rollups as RU
+from contrapunto.operators.edits import apply_edits
 from contrapunto.sources import scans as SC
 
 
@@ -258,11 +259,28 @@ def test_edits_reject_and_log(spark):
     w = spark.createDataFrame([(u + "1", "CO1.NTC.1", "n", "h"), (u + "2", "CO1.NTC.2", "n", "h")], "url string, process_id string, note string, sheet string")
     e = spark.createDataFrame([(1, "add", u + "1", None, None, None), (2, "add", u + "5", None, "a", "h"), (3, "add", u + "5&x=1", None, None, None), (4, "edit", u + "2", u + "1", None, None),
                                (5, "remove", u + "9", None, None, None), (6, "add", "https://malo.example/1", None, None, None)], "ord int, op string, url string, new_url string, note string, sheet string")
-    out, log = C.apply_edits(w, e, "portal.example.org")
+    out, log = apply_edits(w, e, "portal.example.org")
     assert {r.ord: r.estado for r in log.collect()} == {1: "duplicado", 2: "aplicado", 3: "duplicado", 4: "conflicto", 5: "no_encontrado", 6: "dominio_invalido"}
     assert sorted(r.process_id for r in out.collect()) == ["CO1.NTC.1", "CO1.NTC.2", "CO1.NTC.5"]
 
 
+def test_edits_follow_each_other(spark):
+    u = "https://portal.example.org/x?noticeUID=CO1.NTC."
+    w = spark.createDataFrame([(u + "1", "CO1.NTC.1", "n", "Hoja 2020"), (u + "2", "CO1.NTC.2", None, None), (u + "7", "CO1.NTC.7", "igual", "h")], "url string, process_id string, note string, sheet string")
+    rows = [(1, "edit", u + "1", u + "3", None, None), (2, "edit", u + "3", None, "segunda", None), (3, "add", u + "3&x=1", None, None, "Hoja 2021"), (4, "add", u + "3", None, None, "Hoja 2021"),
+            (5, "edit", u + "2", u + "3", None, None), (6, "remove", u + "3", None, None, None), (7, "edit", u + "2", u + "3", None, None), (8, "add", u + "2", None, "libre", None),
+            (9, "edit", u + "1", None, "x", None), (10, "remove", None, None, None, None), (11, "add", None, None, None, None)]
+    e = spark.createDataFrame(rows[::-1], "ord int, op string, url string, new_url string, note string, sheet string")
+    out, log = apply_edits(w, e, "portal.example.org")
+    assert [r.estado for r in log.orderBy("ord").collect()] == ["aplicado", "aplicado", "ampliado", "duplicado", "conflicto", "aplicado", "aplicado", "aplicado", "no_encontrado", "no_encontrado", "dominio_invalido"]
+    assert sorted((r.url[-1], r.note) for r in out.collect()) == [("2", "libre"), ("3", None), ("7", "igual")]
+    many = spark.range(3000).selectExpr("cast(id as int) ord", "'edit' op", f"'{u}7' url", "cast(null as string) new_url", "concat('v', id) note", "concat('Hoja ', 1990 + id % 30) sheet")
+    out, log = apply_edits(w, many, "portal.example.org")
+    item = out.where("note = 'v2999'").first()
+    assert log.where("estado = 'aplicado'").count() == 3000 and len(item.hojas) == 31 and item.vigencias[0] == "1990"
+    assert apply_edits(w.limit(0), many.limit(0), "portal.example.org")[0].count() == 0
+
+
 # ---- Integrity --------------------------------------------------------------
 
 
