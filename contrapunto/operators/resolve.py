@@ -5,8 +5,10 @@ Substring and OR lookups are rewritten to equi-joins on ids extracted once per r
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,33 @@ def contract_children(c: DataFrame, children: dict[str, DataFrame]) -> DataFrame
     return out
 
 
+def child_rows(c: DataFrame, children: dict[str, Callable[[], DataFrame]], fields: dict[str, dict[str, str]]) -> DataFrame:
+    """Every child row of every contract as ``(id_contrato, process_id, hijo, datos, error)``: a tagged union.
+
+    A child is given as a function that reads it, with ``id_contrato`` and either a JSON text ``raw`` or
+    columns of its own; ``datos`` is a variant, so children of any shape share the table.  ``fields``
+    names what a child's rows must hold and as which type.  A bad row is kept with its ``error``, and a child that
+    cannot be read at all is one row without a contract: neither touches the other children.
+    """
+    def rows(name: str, read: Callable[[], DataFrame]) -> DataFrame:
+        try:
+            child = read()
+            child.schema  # noqa: B018 - what cannot be resolved fails here
+        except AnalysisException as exc:
+            missing = c.sparkSession.range(1).select(F.lit(None).cast("string").alias("id_contrato"), F.lit(None).cast("string").alias("datos"))
+            return missing.select("id_contrato", F.lit(name).alias("hijo"), F.parse_json("datos").alias("datos"), F.lit(f"sin fuente: {exc.getCondition()}").alias("error"))
+        plain = [x for x in child.columns if x != "id_contrato"]
+        data = F.try_parse_json("raw") if plain == ["raw"] else F.to_variant_object(F.struct(*plain))
+        d = child.select("id_contrato", data.alias("datos"))
+        bad = [F.when(F.try_variant_get("datos", f"$.{f}", kind).isNull(), F.lit(f)) for f, kind in fields.get(name, {}).items()]
+        wrong = F.array_join(F.array_compact(F.array(*bad)), ", ") if bad else F.lit("")
+        error = F.when(F.col("datos").isNull(), F.lit("ilegible")).when(wrong != "", F.concat(F.lit("campos: "), wrong))
+        return d.select("id_contrato", F.lit(name).alias("hijo"), "datos", error.alias("error"))
+
+    stacked = reduce(DataFrame.unionByName, [rows(n, read) for n, read in children.items()])
+    return stacked.join(c.select("id_contrato", "process_id"), "id_contrato", "left").select("id_contrato", "process_id", "hijo", "datos", "error")
+
+
 # ---- Source cascade (J4-J6) -------------------------------------------------
 
 
@@ -181,5 +210,19 @@ def siblings_of(picked: DataFrame, contracts: DataFrame) -> DataFrame:
     return d.where("id_contrato <> elegido").select("elegido", "process_id", F.col("id_contrato").alias("hermano"))
 
 
+def siblings_of_all(picked: DataFrame, contracts: DataFrame, cell: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Siblings of every pick without listing pairs: (picks, members).
+
+    A pick has its process, its number of siblings and its place: part and position in the members'
+    listing, so its siblings are that process's parts without this one entry.  Members are written once
+    per process, in parts of ``cell``; both tables are as large as their inputs.
+    """
+    members = O.listing(contracts, ["process_id"], "id_contrato", "miembros", cell=cell)
+    place = O.numbered(contracts.select("process_id", "id_contrato").distinct(), ["process_id"], ["id_contrato"], "pos")
+    n = contracts.groupBy("process_id").agg((F.count_distinct("id_contrato") - 1).alias("hermanos"))
+    picks = picked.select("process_id", F.col("id_contrato").alias("elegido")).distinct().join(place.withColumnRenamed("id_contrato", "elegido"), ["process_id", "elegido"]).join(n, "process_id")
+    return picks.select("elegido", "process_id", "hermanos", F.expr(f"(pos - 1) div {cell}").cast("int").alias("part"), F.expr(f"(pos - 1) % {cell}").cast("int").alias("lugar")), members
+
+
 def attach_doc_meta(docs: DataFrame, meta: DataFrame) -> DataFrame:
     return docs.join(meta.select("process_id", "doc_id", "nombre", "url"), ["process_id", "doc_id"], "left")

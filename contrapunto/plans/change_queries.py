@@ -396,11 +396,14 @@ def r2(t):
 
 @query("R3_stream_movements", _MOVES + " SELECT * FROM mv")
 def r3(t):
+    """One snapshot that arrives in several micro-batches, against a stored one."""
     folder = ST.run_folder(t.spark)
     save_snapshot(t.foto_vieja, f"{folder}/fotos", OLD_STAMP)
-    t.foto_nueva.write.parquet(f"{folder}/llegadas")
-    arriving = t.spark.readStream.schema(t.foto_nueva.schema).parquet(f"{folder}/llegadas")
-    moves = ST.stream_movements(arriving, f"{folder}/fotos", lambda epoch: NEW_STAMP, folder, "id_contrato", {"cambio_estado": "estado"}, "adjudicado")
+    total = t.foto_nueva.agg(F.count("*")).scalar()
+    t.foto_nueva.withColumns({"stamp": F.lit(NEW_STAMP), "total": total}).repartition(3, "id_contrato").write.parquet(f"{folder}/llegadas")
+    landed = t.spark.read.parquet(f"{folder}/llegadas")
+    arriving = t.spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/llegadas")
+    moves = ST.stream_movements(arriving, f"{folder}/fotos", folder, "id_contrato", {"cambio_estado": "estado"}, "adjudicado")
     return moves.select("tipo", "id", "antes", "despues")
 
 

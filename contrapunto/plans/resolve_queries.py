@@ -43,6 +43,27 @@ def j3(t):
         "suspensiones": t.suspensiones, "ubicaciones": t.ubicaciones, "modificaciones": t.mod_contratos})
 
 
+@query("J3_child_rows", """
+r AS (SELECT id_contrato, 'adicion' hijo, CAST(json_object('fecha', CAST(fecha AS VARCHAR), 'tipo', tipo, 'valor', CAST(valor AS VARCHAR)) AS VARCHAR) datos, NULL error FROM {adiciones}
+UNION ALL SELECT id_contrato, 'garantia', CASE WHEN estado = 'Vencida' AND tipo = 'Calidad' THEN NULL ELSE CAST(json_object('numero', numero, 'tipo', tipo, 'valor', CAST(valor AS VARCHAR)) AS VARCHAR) END,
+  CASE WHEN estado = 'Vencida' AND tipo = 'Calidad' THEN 'ilegible' END FROM {garantias}
+UNION ALL SELECT id_contrato, 'factura', CAST(json_object('fecha', CASE WHEN pagada THEN CAST(fecha AS VARCHAR) ELSE 'pronto' END, 'valor_total', CASE WHEN estado = 'Radicada' THEN 'n/d' ELSE CAST(valor_total AS VARCHAR) END) AS VARCHAR),
+  CASE WHEN estado = 'Radicada' THEN 'campos: ' || CASE WHEN pagada THEN '' ELSE 'fecha, ' END || 'valor_total' END FROM {facturas})
+SELECT r.id_contrato, c.process_id, hijo, datos, error FROM r LEFT JOIN {contratos} c USING (id_contrato) UNION ALL SELECT NULL, NULL, 'ejecucion', NULL, 'sin fuente: PATH_NOT_FOUND'""")
+def j3_rows(t):
+    """Three children as landed, one of them with torn texts and one with bad cells, and a fourth that is not there."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    torn = F.when((F.col("estado") == "Vencida") & (F.col("tipo") == "Calidad"), F.lit('{"numero": ')).otherwise(F.to_json(F.struct("numero", "tipo", text("valor"))))
+    bad = t.facturas.select("id_contrato", F.when(F.col("pagada"), F.col("fecha").cast("string")).otherwise("pronto").alias("fecha"),
+                            F.when(F.col("estado") == "Radicada", "n/d").otherwise(F.col("valor_total").cast("string")).alias("valor_total"))
+    d = R.child_rows(t.contratos, {
+        "adicion": lambda: t.adiciones.select("id_contrato", "tipo", text("valor"), text("fecha")),
+        "garantia": lambda: t.garantias.select("id_contrato", torn.alias("raw")),
+        "factura": lambda: bad, "ejecucion": lambda: t.spark.read.parquet(f"{t.folder}/ejecucion_que_no_existe.parquet")},
+        {"adicion": {"valor": "decimal(18,2)"}, "garantia": {"valor": "decimal(18,2)"}, "factura": {"fecha": "date", "valor_total": "decimal(18,2)"}})
+    return d.withColumn("datos", F.to_json("datos"))
+
+
 # The watch item, its keys, and one row per lookup key of every source.
 CASCADE_STEPS = f"""
 w AS (SELECT seq item, process_id, notice_id, url, vigencia, sheet FROM {{watch}}),
@@ -191,6 +212,19 @@ def j14_pick(t):
     return R.siblings_of(t.contratos.where("estado = 'Modificado'"), t.contratos)
 
 
+_PICKS = "m AS (SELECT process_id, id_contrato, row_number() OVER (PARTITION BY process_id ORDER BY id_contrato) - 1 i, count(*) OVER (PARTITION BY process_id) - 1 n, estado FROM {contratos})"
+
+
+@query("J14_every_pick", _PICKS + " SELECT id_contrato elegido, process_id, n hermanos, i // 4 part, i % 4 lugar FROM m WHERE estado = 'Modificado'")
+def j14_picks(t):
+    return R.siblings_of_all(t.contratos.where("estado = 'Modificado'"), t.contratos, 4)[0]
+
+
+@query("J14_members", _PICKS + " SELECT process_id, i // 4 part, string_agg(id_contrato, ' | ' ORDER BY id_contrato) miembros FROM m GROUP BY 1, 2")
+def j14_members(t):
+    return R.siblings_of_all(t.contratos.where("estado = 'Modificado'"), t.contratos, 4)[1]
+
+
 @query("J16_attach_doc_meta", """
 SELECT process_id, doc_id, nombre, CASE WHEN dataset = 'archivo_2025' THEN NULL ELSE url END url FROM (SELECT process_id, doc_id, CASE WHEN dataset <> 'archivo_2025' THEN nombre END nombre, url, dataset FROM {archivos})""")
 def j16(t):

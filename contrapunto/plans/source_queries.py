@@ -35,6 +35,18 @@ def s2(t):
     return SC.scan_entity(t.orders, "o_orderpriority", "1-URGENT").select("o_orderkey", "o_orderpriority")
 
 
+@query("S2_landed_pages", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'")
+def s2_pages(t):
+    """The entity's rows landed in pages of 500, with a page of another entity left behind them."""
+    from contrapunto.operators import ordering as O
+    folder, columns = run_folder(t.spark), ["o_orderkey", "o_orderpriority", "o_totalprice"]
+    rows = O.numbered(t.orders.where("o_orderpriority = '1-URGENT'").select(*columns), ["o_orderpriority"], ["o_orderkey"], "i").withColumn("page", F.expr("(i - 1) div 500"))
+    last = rows.agg(F.max("page")).scalar()
+    stale = t.orders.where("o_orderpriority = '2-HIGH'").select(*columns).withColumn("page", last + 2)
+    rows.drop("i").unionByName(stale).repartition("page").write.partitionBy("page").json(f"{folder}/orders")
+    return SC.scan_pages(t.spark, f"{folder}/orders", t.orders.select(*columns).schema, 500)
+
+
 @query("S3_U4_union_archives", """
 SELECT process_id, clave, doc_id, dataset fuente FROM (SELECT *, coalesce(nullif(trim(url), ''), nombre) clave,
   row_number() OVER (PARTITION BY process_id, coalesce(nullif(trim(url), ''), nombre) ORDER BY prio, doc_id) rn FROM {archivos}) WHERE rn = 1""")
@@ -95,6 +107,23 @@ def s7(t):
     return _parsed_portal(t).select("notice_id", F.col("fields")["titulo"].alias("titulo"), "status", "scraped_at", F.get("documents", F.lit(0))["name"].alias("primer_doc"))
 
 
+@query("S7_snapshot_files", """
+SELECT notice_id, CASE WHEN status IS NOT NULL THEN titulo END titulo, status, CASE WHEN status IS NOT NULL THEN CAST(scraped_at AS VARCHAR) END scraped_at,
+  CASE WHEN status = 'ok_completo' THEN concat('doc-', seq) END primer_doc FROM {portal}""")
+def s7_files(t):
+    """Documents of up to 64 notices in files of their own; notices without a status are null, failed ones lack their documents."""
+    folder = run_folder(t.spark)
+    parts = [F.struct(F.create_map(F.lit("titulo"), F.col("titulo")).alias("fields")), F.struct(F.array(F.struct(F.concat(F.lit("doc-"), "seq").alias("name"))).alias("documents"))]
+    entry = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(
+        F.regexp_extract(F.to_json(parts[0]), r"^\{(.*)\}$", 1), F.when(F.col("status") == "ok_completo", F.regexp_extract(F.to_json(parts[1]), r"^\{(.*)\}$", 1)),
+        F.regexp_extract(F.to_json(F.struct("status", F.col("scraped_at").cast("string").alias("scraped_at"))), r"^\{(.*)\}$", 1))), ",\n  "), F.lit("}"))
+    one = F.concat(F.lit('"'), "notice_id", F.lit('": '), F.when(F.col("status").isNull(), "null").otherwise(entry))
+    docs = t.portal.groupBy(F.expr("seq div 64").alias("archivo")).agg(F.concat(F.lit("{\n"), F.array_join(F.collect_list(one), ",\n"), F.lit("\n}")).alias("value"))
+    docs.write.partitionBy("archivo").text(f"{folder}/fotos")
+    d = SC.scan_snapshots(t.spark, f"{folder}/fotos")
+    return d.select("notice_id", F.try_element_at("fields", F.lit("titulo")).alias("titulo"), "status", "scraped_at", F.get("documents", F.lit(0))["name"].alias("primer_doc"))
+
+
 @query("S8_event_log", "SELECT pos, op, chain_id, nuevo FROM {bitacora}")
 def s8(t):
     folder = run_folder(t.spark)
@@ -124,6 +153,23 @@ def s10(t):
     return t.pages.select("page_id", D.sniff(F.encode(F.concat(head, "html"), "UTF-8")).alias("tipo"))
 
 
+#: First bytes of the written files, as text in ISO-8859-1, and the type they must be given.
+_FILES = {"informe": ("%PDF-1.7 ", "pdf"), "anexos": ("PK\x03\x04", "zip"), "foto": ("\xff\xd8\xff\xe0", "jpg"), "plano": ("\x89PNG", "png"), "logo": ("GIF89a", "gif"), "mapa": ("BMxx", "bmp"),
+          "fallo": ("<div>displayAlert Error</div>", "error_page"), "portal": ("<!DOCTYPE html>", "html"), "salto": ("<script>window.location.href=1</script>", "html_redirect"), "texto": ("plain text ", "unknown")}
+
+
+@query("S10_sniff_files", "k AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i}, '{v[1]}')" for i, (k, v) in enumerate(_FILES.items())) + """) v(clase, i, tipo))
+SELECT clase, tipo, sum(CAST(length(url) AS BIGINT)) > 0 con_datos FROM pages JOIN k ON page_id % 10 = i GROUP BY 1, 2""")
+def s10_files(t):
+    """Files of every kind, written from the pages' links with the first bytes of their kind."""
+    folder = run_folder(t.spark)
+    for i, (kind, (magic, _)) in enumerate(_FILES.items()):
+        rows = t.pages.where(F.col("page_id") % 10 == i).select(F.concat(F.lit(magic), "url"))
+        rows.coalesce(1).write.option("encoding", "ISO-8859-1").option("quote", "\u0000").option("escapeQuotes", "false").csv(f"{folder}/{kind}")
+    found = SC.sniff_files(t.spark, f"{folder}/*")
+    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("clase"), "tipo", (F.col("length") > 0).alias("con_datos"))
+
+
 # ---- Sinks ------------------------------------------------------------------
 
 
@@ -211,9 +257,18 @@ _RAW = "CASE WHEN cerrada THEN {} END"
     "label.Titulo": "titulo", "label.Fase": "fase", "label.Numero del proceso": "'NP-' || page_id",
     "label.Valor total": "CASE WHEN con_valor THEN '$ ' || page_id || '.000.000' ELSE '' END"}.items()) + " FROM {paginas}")
 def k4_raw(t):
+    """All columns, as found in the pages."""
     return SK.export_raw(P.parse_pages(t.paginas, "page_id", "html"), ["page_id"], {"fields": "field", "all_labels": "label"})
 
 
+@query("U6_raw_columns", """
+SELECT DISTINCT unnest(list_filter([CASE WHEN cerrada AND titulo <> '' THEN 'field.titulo' END, CASE WHEN cerrada AND fase IS NOT NULL THEN 'field.fase' END, CASE WHEN cerrada THEN 'field.numero_proceso' END,
+  CASE WHEN cerrada AND con_valor THEN 'field.valor_total' END, CASE WHEN cerrada THEN 'label.Titulo' END, CASE WHEN cerrada THEN 'label.Fase' END, CASE WHEN cerrada THEN 'label.Numero del proceso' END,
+  CASE WHEN cerrada THEN 'label.Valor total' END], lambda x: x IS NOT NULL)) columna FROM {paginas}""")
+def u6_columns(t):
+    return SK.raw_columns(P.parse_pages(t.paginas, "page_id", "html"), {"fields": "field", "all_labels": "label"})
+
+
 # ---- Filters ----------------------------------------------------------------
 
 

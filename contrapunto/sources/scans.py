@@ -33,9 +33,18 @@ def scan_entity(df: DataFrame, column: str, value) -> DataFrame:
     return df.where(F.col(column) == value)
 
 
-def scan_pages(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Landed JSON pages (any number of files) under a fixed schema."""
-    return spark.read.schema(schema).json(path)
+def scan_pages(spark: SparkSession, path: str, schema: T.StructType, size: int) -> DataFrame:
+    """Landed JSON pages (folders ``page=0``, ``page=1``, ...) as a client that pages until a short one would see them.
+
+    Pages behind the first one that is not full, or behind a gap, are left over from another run
+    and not read: the page number is a partition of the folder.
+    """
+    d = spark.read.schema(T.StructType([*schema.fields, T.StructField("page", T.LongType())])).json(path)
+    pages = d.groupBy("page").agg(F.count("*").alias("n"))
+    after = pages.select((F.col("page") - 1).alias("page"), F.lit(True).alias("_next"))
+    ends = pages.join(after, "page", "left").where((F.col("n") < size) | F.col("_next").isNull())
+    first_full = pages.where("page = 0").limit(1).select(F.lit(0).cast("long")).scalar()
+    return d.where((F.col("page") <= ends.agg(F.min("page")).scalar()) & first_full.isNotNull()).drop("page")
 
 
 def union_archives(frames: list[tuple[str, DataFrame]], url: str = "url", name: str = "nombre", seq: str = "doc_id") -> DataFrame:
@@ -99,8 +108,23 @@ def explode_snapshots(docs: DataFrame, text: str = "value") -> DataFrame:
 
 
 def scan_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot files, one JSON object of ``{notice: entry}`` per line."""
-    return explode_snapshots(spark.read.text(path))
+    """Snapshot files, each one JSON object of any number of ``{notice: entry}``, laid out in any way.
+
+    An entry that is null, or lacks fields, keeps its row with nulls; an entry with fields of another
+    shape has nulls for all.  A file that is no JSON object gives no rows (see ``unreadable_snapshots``).
+    """
+    entries = _documents(spark, path).lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))
+    entry = F.try_variant_get("value", "$", S.PORTAL_ENTRY.simpleString())
+    return entries.where("key is not null").select(F.col("key").alias("notice_id"), entry.alias("e")).select("notice_id", "e.*")
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("doc"))
+
+
+def unreadable_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the files that are no JSON object."""
+    return _documents(spark, path).where("doc is null or schema_of_variant(doc) not like 'OBJECT<%'").select("file")
 
 
 def snapshot_index(portal: DataFrame) -> DataFrame:

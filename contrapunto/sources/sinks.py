@@ -86,15 +86,26 @@ def export_view(u: DataFrame) -> DataFrame:
         label.otherwise("Sin datos publicos").alias("Origen del dato"), text("url").alias("URL del proceso"))
 
 
-def export_raw(portal: DataFrame, ids: list[str], maps: dict[str, str]) -> DataFrame:
-    """Wide dump whose columns are the union of all map keys.
+def raw_columns(portal: DataFrame, maps: dict[str, str]) -> DataFrame:
+    """The union of all map keys as prefixed column names: a distributed distinct."""
+    keys = [portal.select(F.explode(F.map_keys(c)).alias("k")).select(F.concat(F.lit(prefix + "."), "k").alias("columna")) for c, prefix in maps.items()]
+    return reduce(DataFrame.unionByName, keys).distinct()
 
-    ``pivot`` refuses more keys than ``spark.sql.pivotMaxValues``, so the column
-    list has a checked bound.
+
+def export_raw(portal: DataFrame, ids: list[str], maps: dict[str, str], columns: list[str] | None = None) -> DataFrame:
+    """Wide dump: a column for each of ``columns`` (default: all ``raw_columns``), looked up in the row's own maps.
+
+    Rows are not shuffled.  The names of the columns are part of the plan, so by default they come to
+    the driver; a caller with very many passes the wanted ones, or reads ``raw_columns`` in parts.
     """
-    longs = [portal.select(*ids, F.explode(c).alias("k", "v")).withColumn("k", F.concat(F.lit(prefix + "."), "k")) for c, prefix in maps.items()]
-    long = reduce(DataFrame.unionByName, longs)
-    return portal.select(*ids).join(long.groupBy(*ids).pivot("k").agg(F.max("v")), ids, "left")
+    names = sorted(r["columna"] for r in raw_columns(portal, maps).collect()) if columns is None else columns
+    own = {prefix: c for c, prefix in maps.items()}
+
+    def cell(name: str) -> Column:
+        prefix = next(p for p in sorted(own, key=len, reverse=True) if name.startswith(p + "."))
+        return F.try_element_at(F.col(own[prefix]), F.lit(name.removeprefix(prefix + "."))).alias(name)
+
+    return portal.select(*ids, *[cell(n) for n in names])
 
 
 def audit_report(verdicts: DataFrame) -> dict[str, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,26 +73,56 @@ def progress_view(counters: DataFrame, as_of: str, idle_seconds: int = 90) -> Da
         F.coalesce(~done & (F.unix_timestamp(now) - sec("ultimo") < idle_seconds) & (left > 0), F.lit(False)).alias("activo"))
 
 
-def stream_movements(snapshots: DataFrame, store: str, stamp: Callable[[int], str], folder: str, key: str,
-                     moved: dict[str, str], awarded: str | None = None) -> DataFrame:
-    """Every arriving snapshot against the stored one before it; then it is stored."""
-    spark = snapshots.sparkSession
+def stream_movements(snapshots: DataFrame, store: str, folder: str, key: str, moved: dict[str, str], awarded: str | None = None, patience: int = 3) -> DataFrame:
+    """Every arriving snapshot against the stored one before it; then it is stored.
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        try:
-            old = spark.read.option("basePath", store).parquet(store).where(F.col("stamp") < stamp(epoch))
-            last = old.agg(F.max("stamp")).first()[0]
-            prev = old.where(F.col("stamp") == last) if last else None
-        except Exception as exc:  # noqa: BLE001 - no store yet means no baseline
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-            prev = None
-        movements(batch, prev, key, moved, awarded).write.mode("overwrite").parquet(f"{folder}/moves/epoch={epoch}")
-        save_snapshot(batch, store, stamp(epoch))
+    Rows carry their snapshot's ``stamp`` and its announced number of rows, ``total``, and may come in any number of
+    micro-batches.  What has landed waits until a snapshot's different keys are as many as announced; only then it
+    is compared and stored, in the order of the stamps.  A snapshot that a later complete one has overtaken, and
+    that nothing was added to for ``patience`` batches, is set aside as ``incompleta`` and never compared, so
+    rows that are still to come are not taken for vanished ones.  Landed rows and results are written under the
+    batch's or the stamp's own name: a replayed batch leaves the same files.
+    """
+    spark, fields = snapshots.sparkSession, [c for c in snapshots.columns if c not in ("stamp", "total")]
+    own = T.StructType([snapshots.schema[c] for c in fields] + [T.StructField("stamp", T.StringType())])
+    landed = T.StructType([snapshots.schema[c] for c in (*fields, "total")] + [T.StructField("stamp", T.StringType()), T.StructField("epoch", T.LongType())])
+    _none(spark, own).drop("stamp").write.mode("ignore").parquet(f"{store}/stamp=none")  # the store exists, perhaps empty
+    stored = lambda: spark.read.schema(own).parquet(store).where("stamp <> 'none'")
 
+    def step(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.partitionBy("stamp", "epoch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/landed")
+        waiting = spark.read.schema(landed).parquet(f"{folder}/landed")
+        done = stored().select("stamp").distinct()
+        aside = spark.read.option("recursiveFileLookup", "true").schema("stamp string, estado string").parquet(f"{folder}/aside").select("stamp")
+        open_ = waiting.join(done.unionByName(aside), "stamp", "left_anti")
+        state = open_.groupBy("stamp").agg(F.count_distinct(key).alias("n"), F.max("total").alias("total"), F.max("epoch").alias("epoch")).orderBy("stamp").collect()  # a row per open snapshot
+        full = [r["stamp"] for r in state if r["n"] >= r["total"]]
+        for r in state:
+            stamp = r["stamp"]
+            if stamp in full:
+                _release(open_.where(F.col("stamp") == stamp), stamp)
+            elif full and max(full) > stamp:
+                if epoch - r["epoch"] < patience:
+                    break  # later ones wait for it
+                spark.createDataFrame([(stamp, "incompleta")], "stamp string, estado string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/aside/{stamp}")
+
+    def _release(rows: DataFrame, stamp: str) -> None:
+        one = O.latest(rows, [key], [F.desc("epoch")]).select(*fields)
+        old = stored().where(F.col("stamp") < stamp)
+        last = old.agg(F.max("stamp")).first()[0]
+        prev = old.where(F.col("stamp") == last) if last else None
+        movements(one, prev, key, moved, awarded).withColumn("foto", F.lit(stamp)).write.mode("overwrite").parquet(f"{folder}/moves/{stamp}")
+        save_snapshot(one, store, stamp)
+
+    _none(spark, T.StructType.fromDDL("stamp string, estado string")).write.parquet(f"{folder}/aside/none")
+    _none(spark, T.StructType.fromDDL("tipo string, id string, antes string, despues string, foto string")).write.parquet(f"{folder}/moves/none")
     q = (snapshots.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(step).start())
     q.awaitTermination()
-    return spark.read.option("basePath", f"{folder}/moves").parquet(f"{folder}/moves")
+    return spark.read.option("recursiveFileLookup", "true").schema("tipo string, id string, antes string, despues string, foto string").parquet(f"{folder}/moves")
+
+
+def _none(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.createDataFrame([], schema)
 
 
 _STATE = T.StructType([
