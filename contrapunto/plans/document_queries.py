@@ -92,7 +92,7 @@ def t4(t):
 _WORDS = "|".join(list(D.CONTENT_WORDS.values()) + [D.LEGALIZATION])
 _KW = _re(r"\b(?:" + _WORDS + r")\b")
 TITLES = f""", ti AS (SELECT *, list_filter(list_transform(string_split(c, chr(10)), lambda x: trim(x)), lambda x: x <> '') li FROM cl),
-tt AS (SELECT *, list_filter(li[1:30], lambda x: length(x) >= 15 AND (length(regexp_replace(x, '\\P{{{{Lu}}}}', '', 'g')) / length(x) > 0.5 OR regexp_matches(strip_accents(lower(x)), '{_KW}')))[1:5] cand FROM ti),
+tt AS (SELECT *, list_filter(li, lambda x: length(x) >= 15 AND (length(regexp_replace(x, '\\P{{{{Lu}}}}', '', 'g')) / length(x) > 0.5 OR regexp_matches(strip_accents(lower(x)), '{_KW}'))) cand FROM ti),
 tu AS (SELECT *, CASE WHEN len(cand) > 0 THEN cand ELSE li[1:1] END titulos FROM tt)"""
 
 
@@ -107,20 +107,21 @@ def _pos(col: str, pattern: str) -> str:
     return f"CASE WHEN regexp_matches({col}, '(?i){p}') THEN length(regexp_extract({col}, '(?is)^(.*?)(?:{p})', 1)) + 1 ELSE 0 END"
 
 
-def _first(col: str, reach: int | None = None) -> str:
+def _first(col: str) -> str:
     items = ", ".join(f"{{{{'pos': {_pos(f"strip_accents(lower({col}))", rf"\b(?:{p})\b")}, 'tipo': '{k}'}}}}" for k, p in D.CONTENT_WORDS.items())
-    keep = "x.pos > 0" if reach is None else f"x.pos BETWEEN 1 AND {reach}"
-    return f"list_sort(list_filter([{items}], lambda x: {keep}))[1].tipo"
+    return f"list_sort(list_filter([{items}], lambda x: x.pos > 0))[1]"
 
 
-def _within(pattern: str, reach: int) -> str:
-    return f"{_pos('c', pattern)} BETWEEN 1 AND {reach}"
+def _leads(pattern: str) -> str:
+    """The phrase comes before the first amendment word, or inside the first title."""
+    at = _pos("c", pattern)
+    return f"({at} > 0 AND (tb_.pos IS NULL OR {at} < tb_.pos OR {at} < instr(c, titulo) + length(titulo)))"
 
 
-_LETTER = " OR ".join(_within(p, n) for n, p in D.COVER_LETTERS)
 CONTENT = CLEAN + TITLES + f""", cc AS (SELECT *, coalesce(titulos[1], '') titulo FROM tu),
-cd AS (SELECT *, {_first('titulo')} tt_, {_first('c', D.BODY_REACH)} tb_, {_within(D.SUPPORT_RULES[0][3], D.SUPPORT_RULES[0][2])} s0, {_within(D.SUPPORT_RULES[1][3], D.SUPPORT_RULES[1][2])} s1,
-   {_pos('strip_accents(lower(c))', D.LEGALIZATION)} BETWEEN 1 AND {D.LEGALIZATION_REACH} AND ({_LETTER}) s2, regexp_matches(titulo, '(?i)^[^a-zA-Z0-9_]*aclaratori[oa]\\b') s3 FROM cc),
+ce AS (SELECT *, {_first('titulo')}.tipo tt_, {_first('c')} tb_ FROM cc),
+cd AS (SELECT * REPLACE (tb_.tipo AS tb_), {_leads(D.SUPPORT_RULES[0][2])} s0, {_leads(D.SUPPORT_RULES[1][2])} s1,
+   regexp_matches(strip_accents(lower(c)), '{D.LEGALIZATION}') AND {_leads(D.COVER_LETTER)} s2, regexp_matches(titulo, '(?i)^[^a-zA-Z0-9_]*aclaratori[oa]\b') s3 FROM ce),
 ct AS (SELECT doc_id, process_id, nombre, url, c, titulo, CASE WHEN s0 THEN 'Compromiso (soporte)' WHEN s1 THEN 'Poliza (soporte)' WHEN s2 THEN 'Legalizacion (soporte)' WHEN s3 THEN 'Aclaratorio' ELSE coalesce(tt_, tb_) END tipo,
    CASE WHEN s0 OR s1 THEN 0.95 WHEN s2 THEN 0.92 WHEN s3 THEN 0.93 WHEN tt_ IS NOT NULL THEN 0.90 WHEN tb_ IS NOT NULL THEN 0.85 ELSE 0.3 END confianza,
    nullif(regexp_extract(lower(CASE WHEN tt_ IS NOT NULL THEN titulo ELSE c END), 'n[°ºo]\\s*(\\d{{1,5}})', 1), '') num FROM cd)"""

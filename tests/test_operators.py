@@ -413,6 +413,17 @@ def test_support_words_deep_in_the_body_do_not_decide(spark):
     assert {r.doc_id: r.tipo for r in D.classify_content(d).collect()}[2] == "Poliza (soporte)"
 
 
+def test_the_earliest_word_decides_however_late(spark):
+    far = "palabra comun " * 2000
+    d = spark.createDataFrame([(1, far + "\nse firma la prórroga y la adición"), (2, far + "\ncertificado de disponibilidad presupuestal\n" + far + " adicion"),
+                               (3, far + " adicion " + far + "\ncertificado de disponibilidad presupuestal"), (4, far + "\nasunto: legalización\n" + far + "cesión"), (5, far), (6, None), (7, " ")], "doc_id int, texto string")
+    got = {r.doc_id: (r.tipo, float(r.confianza), r.revisar) for r in D.classify_content(d).collect()}
+    assert got == {1: ("Prorroga", 0.9, False), 2: ("Compromiso (soporte)", 0.95, False), 3: ("Adicion", 0.9, False), 4: ("Legalizacion (soporte)", 0.92, False), 5: (None, 0.3, True), 6: (None, 0.0, True), 7: (None, 0.0, True)}
+    many = "\n".join(["linea %d sin nada" % i for i in range(60)] + ["OTROSI NUMERO %d DEL CONTRATO" % i for i in range(9)])
+    titles = spark.createDataFrame([(many,)], "c string").select(D.title_candidates("c").alias("t"), D.title_candidates("c", 30, 5).alias("few")).first()
+    assert len(titles.t) == 9 and titles.few == ["linea 0 sin nada"]
+
+
 def test_notes(spark):
     d = spark.createDataFrame([("PRÓRROGA y otrosí; no leg",), ("nada",), ("NO  LEG",)], "text string")
     assert [(r.modificatorio, r.no_leg, r.menciones) for r in D.parse_notes(d).collect()] == [("Sí", "Sí", "OTROSI; PRORROGA"), ("No", "No", ""), ("No", "Sí", "")]
