@@ -193,6 +193,27 @@ def test_quality_on_held_out(spark, docs, odd, data_dir):
     assert quality.classify(docs([]), labels).count() == 0
 
 
+def test_all_unlabelled_documents_teach(spark, docs, odd):
+    """The sums over the tasks are those over all rows at once, and every sure row is in them."""
+    rows = [(i, "word " * (i % 40) + ("Fine line.\n" if i % 2 else "## 12 |")) for i in range(700)] + list(odd)
+    features = quality._featured(docs(rows).repartition(5))
+    table = features.select("doc_id", "a", "b").toArrow().combine_chunks().to_batches()[0]
+    x, y = quality.views(table, 1), np.arange(table.num_rows) % 2
+    models = [quality.Ridge(*quality.sums(v, y.astype(float))) for v in x]
+    z = [m.logit(v) for m, v in zip(models, x)]
+    cuts = [(float(np.quantile(v, 0.3)), float(np.quantile(v, 0.6))) for v in z]
+    for k, (g, t) in enumerate(quality.taught(features, models, cuts)):
+        sure = (z[1 - k] <= cuts[1 - k][0]) | (z[1 - k] >= cuts[1 - k][1])
+        want = quality.sums(x[k][sure], (z[1 - k][sure] >= cuts[1 - k][1]).astype(float))
+        assert g[0, 0] == sure.sum() > 400 and np.allclose(g, want[0]) and np.allclose(t, want[1])
+    # least squares from the sums is least squares on the rows
+    rng = np.random.default_rng(2)
+    points, flags = rng.normal(size=(300, 4)) * [1, 5, 0.1, 2] + 3, rng.integers(0, 2, 300).astype(float)
+    own = quality.Ridge(*quality.sums(points, flags)).logit(points)
+    plain = np.column_stack([np.ones(300), points])
+    assert np.corrcoef(own, plain @ np.linalg.lstsq(plain, 2 * flags - 1, rcond=None)[0])[0, 1] > 0.999
+
+
 def brute_pipeline(spark, docs, labels, items):
     """{id: kept text} after the first three stages, the near copies by brute-force Jaccard."""
     from contrapunto.llm.decontaminate import Searcher, folded
