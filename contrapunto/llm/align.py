@@ -30,8 +30,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -55,6 +53,9 @@ class Pair:
     """Both tokenizers, with the bytes of every token."""
 
     def __init__(self, a_path: str, pattern: str, b_path: str):
+        import sentencepiece
+        import tiktoken
+
         with open(a_path, encoding="utf-8") as f:
             text = f.read()
         spec, byte_of = json.loads(text), _byte_of()
@@ -109,14 +110,18 @@ def segments(ends_a: list[int], ends_b: list[int]) -> list[Segment]:
     while i < n:
         i0, j0 = i, j
         if ends_a[i] == ends_b[j]:
-            i, j, step = i + 1, j + 1, 1
-            while (ahead := ends_a[i:i + step]) and ahead == ends_b[j:j + step]:
-                i, j, step = i + len(ahead), j + len(ahead), step * 2
-            while step > 1:  # the probe that failed holds the end of the stretch
-                step //= 2
-                ahead = ends_a[i:i + step]
-                if len(ahead) == step and ahead == ends_b[j:j + step]:
-                    i, j = i + step, j + step
+            i, j, step = i + 1, j + 1, 2
+            if i < n and ends_a[i] == ends_b[j]:
+                i, j = i + 1, j + 1
+                while (ahead := ends_a[i:i + step]) and ahead == ends_b[j:j + step]:
+                    i, j, step = i + len(ahead), j + len(ahead), step * 2
+                while step > 2:  # the probe that failed holds the end of the stretch
+                    step //= 2
+                    ahead = ends_a[i:i + step]
+                    if len(ahead) == step and ahead == ends_b[j:j + step]:
+                        i, j = i + step, j + step
+                if i < n and ends_a[i] == ends_b[j]:
+                    i, j = i + 1, j + 1
             out.append((i0, i, j0, j, True))
         else:
             x, y = ends_a[i], ends_b[j]
@@ -132,44 +137,50 @@ def segments(ends_a: list[int], ends_b: list[int]) -> list[Segment]:
     return out
 
 
+def cuts(parts: list[Segment]) -> np.ndarray:
+    """(a_from, a_to, b_from, b_to) of every group, a row each."""
+    if not parts:
+        return np.zeros((0, 4), dtype=np.int64)
+    i, i2, j, j2, single = np.array(parts, dtype=np.int64).T
+    many = np.where(single == 1, i2 - i, 1)  # groups of a segment
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    one, first_a, first_b = np.repeat(single == 1, many), np.repeat(i, many) + at, np.repeat(j, many) + at
+    return np.stack([first_a, np.where(one, first_a + 1, np.repeat(i2, many)), first_b, np.where(one, first_b + 1, np.repeat(j2, many))], axis=1)
+
+
 def links(a: list[int], b: list[int], parts: list[Segment]) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Different linked id pairs (a << 32 | b, ascending), how often each is linked, number of groups, number of links."""
-    left, right, wide, groups = [], [], Counter(), 0
-    for i, i2, j, j2, single in parts:
-        if single:
-            left += a[i:i2]
-            right += b[j:j2]
-            groups += i2 - i
-            continue
-        groups += 1
-        own = b[j:j2]
-        if (i2 - i) * len(own) < WIDE:
-            for x in a[i:i2]:
-                left += [x] * len(own)
-                right += own
-        else:
-            times = Counter(own).items()
+    groups_ = cuts(parts)
+    low_a, high_a, low_b, high_b = groups_.T
+    size = (high_a - low_a) * (high_b - low_b)
+    listed = size < WIDE
+    n, wide_b = np.where(listed, size, 0), high_b - low_b
+    # every pair of a group by its number in it
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, column = np.divmod(at, np.repeat(wide_b, n))
+    ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    keys, count = np.unique((ids_a[np.repeat(low_a, n) + row] << 32) | ids_b[np.repeat(low_b, n) + column], return_counts=True)
+    if not listed.all():
+        total = Counter(dict(zip(keys.tolist(), count.tolist())))
+        for i, i2, j, j2 in groups_[~listed].tolist():
+            times = Counter(b[j:j2]).items()
             for x, m in Counter(a[i:i2]).items():
                 for y, k in times:
-                    wide[x << 32 | y] += m * k
-    keys, count = np.unique((np.array(left, dtype=np.int64) << 32) | np.array(right, dtype=np.int64), return_counts=True)
-    if wide:
-        total = Counter(dict(zip(keys.tolist(), count.tolist())))
-        total.update(wide)
+                    total[x << 32 | y] += m * k
         keys = np.array(sorted(total), dtype=np.int64)
         count = np.array([total[k] for k in keys.tolist()], dtype=np.int64)
-    return keys, count, groups, int(count.sum())
+    return keys, count, len(groups_), int(size.sum())
 
 
 def written(pair: Pair, a: list[int], b: list[int], parts: list[Segment]) -> str:
     """The groups as ``a1,a2|b1;a3|b2,b3``."""
-    x, y = pair.name_a, pair.name_b
+    x, y = list(map(pair.name_a.__getitem__, a)), list(map(pair.name_b.__getitem__, b))
     out = []
     for i, i2, j, j2, single in parts:
         if single:
-            out += [f"{x[s]}|{y[t]}" for s, t in zip(a[i:i2], b[j:j2])]
+            out += map("|".join, zip(x[i:i2], y[j:j2]))
         else:
-            out.append(",".join([x[s] for s in a[i:i2]]) + "|" + ",".join([y[t] for t in b[j:j2]]))
+            out.append(",".join(x[i:i2]) + "|" + ",".join(y[j:j2]))
     return ";".join(out)
 
 
@@ -180,34 +191,26 @@ def groups(docs: DataFrame, a_path: str, pattern: str, b_path: str) -> DataFrame
     def run(batches):
         pair = Pair.of(a_path, pattern, b_path)
         for batch in slices(batches):
-            own, cuts = pair.encode([t or "" for t in batch.column(1).to_pylist()]), []
-            for a, b in own:
-                cuts.append(c := [])
-                for i, i2, j, j2, single in pair.segments(a, b):
-                    c += [(i + k, i + k + 1, j + k, j + k + 1) for k in range(i2 - i)] if single else [(i, i2, j, j2)]
+            own = pair.encode([t or "" for t in batch.column(1).to_pylist()])
+            found = [cuts(pair.segments(a, b)).tolist() for a, b in own]
             ids = [pa.array([x[k] for x in own], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *ids, pa.array([[dict(zip(("a_from", "a_to", "b_from", "b_to"), g)) for g in c] for c in cuts], pa.list_(cell))], names=["doc_id", "a", "b", "groups"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *ids, pa.array([[dict(zip(("a_from", "a_to", "b_from", "b_to"), g)) for g in c] for c in found], pa.list_(cell))], names=["doc_id", "a", "b", "groups"])
 
     own = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"))
     return own.mapInArrow(run, "doc_id long, a array<int>, b array<int>, groups array<struct<a_from:int,a_to:int,b_from:int,b_to:int>>")
 
 
 _PARTS = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("docs", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
-                    ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
-_DDL = "chunk long, key long, pos int, docs long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<long>"
+                    ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())])
+_DDL = "chunk long, key long, pos int, docs long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 
 
 def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in _PARTS], schema=_PARTS)
 
 
-def _listed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), kind))
-
-
 def _parts(docs: DataFrame, a_path: str, pattern: str, b_path: str, chunk_bytes: int) -> DataFrame:
-    """Rows of two kinds: a chunk's different pairs (``pos`` set), and its documents, whose ``pairs`` name positions in that list."""
+    """Rows of two kinds: a chunk's different pairs (``pos`` set), and its documents, whose ``pairs`` (four bytes each) name positions in that list."""
     def run(batches):
         pair, task, number = Pair.of(a_path, pattern, b_path), TaskContext.get().partitionId(), 0
         rows, held = [], 0
@@ -216,11 +219,11 @@ def _parts(docs: DataFrame, a_path: str, pattern: str, b_path: str, chunk_bytes:
             chunk, sizes = (task << 32) | number, [len(r[6]) for r in rows]
             keys, at, n = np.unique(np.concatenate([r[6] for r in rows]), return_inverse=True, return_counts=True)
             yield _batch(len(keys), chunk=pa.array(np.full(len(keys), chunk)), key=pa.array(keys), pos=pa.array(np.arange(len(keys)), pa.int32()), docs=pa.array(n))
-            cut = np.split(at, np.cumsum(sizes)[:-1])
+            cut = np.split(at.astype(np.int32), np.cumsum(sizes)[:-1])
             for s in range(0, len(rows), 256):
                 own = rows[s:s + 256]
                 plain = {name: pa.array([r[k] for r in own], _PARTS.field(name).type) for k, name in enumerate(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"))}
-                yield _batch(len(own), chunk=pa.array(np.full(len(own), chunk)), **plain, pairs=_listed(cut[s:s + 256], pa.int32()), times=_listed([r[7] for r in own], pa.int64()))
+                yield _batch(len(own), chunk=pa.array(np.full(len(own), chunk)), **plain, pairs=pa.array([c.tobytes() for c in cut[s:s + 256]], pa.binary()), times=pa.array([r[7].tobytes() for r in own], pa.binary()))
 
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -228,7 +231,7 @@ def _parts(docs: DataFrame, a_path: str, pattern: str, b_path: str, chunk_bytes:
                 parts = pair.segments(a, b)
                 keys, times, n_groups, n_links = links(a, b, parts)
                 sha = hashlib.sha256(written(pair, a, b, parts).encode()).hexdigest() if a else ""
-                rows.append((i, len(a), len(b), n_groups, n_links, sha, keys, times))
+                rows.append((i, len(a), len(b), n_groups, n_links, sha, keys, times.astype(np.int32 if n_links < 1 << 31 else np.int64)))
                 held += len(text)
                 if held >= chunk_bytes:
                     yield from done()
@@ -284,11 +287,12 @@ def alignment(docs: DataFrame, a_path: str, pattern: str, b_path: str, chunk_byt
                     best[at] = b.column(3).slice(low, high - low).to_numpy(zero_copy_only=False)
                     continue
                 cells = b.slice(low, high - low)
-                pairs, times = cells.column(10), cells.column(11)
-                at, m = pairs.flatten().to_numpy(), times.flatten().to_numpy()
-                ends = np.concatenate([[0], np.cumsum(pairs.value_lengths().to_numpy())])
-                sums = [np.concatenate([[0], np.cumsum(v)]) for v in (m * best[at], m * n[at])]
-                more = [pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]
+                sums = [[], []]
+                for links_, p, m in zip(cells.column(8).to_pylist(), cells.column(10).to_pylist(), cells.column(11).to_pylist()):
+                    at, m = np.frombuffer(p, np.int32), np.frombuffer(m, np.int32 if links_ < 1 << 31 else np.int64).astype(np.int64)
+                    sums[0].append(int(m[best[at]].sum()))
+                    sums[1].append(int(m @ n[at]))
+                more = [pa.array(v, pa.int64()) for v in sums]
                 yield pa.RecordBatch.from_arrays([*cells.columns[4:9], *more, cells.column(9)], names=names)
 
     both = looked.unionByName(own, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("pos").isNull())
