@@ -5,10 +5,11 @@ that space itself).  Both token sequences must give back exactly these bytes; wh
 that B folds or cannot write), the text has no tokens.  The ends of the tokens are byte offsets, and where
 an A token and a B token end alike, both sequences are cut: the tokens between two cuts are a group.
 
-``segments`` finds the groups by comparing the two arrays of ends at the current index shift.  While they
-agree, it probes 1, 2, 4, ... further entries at once and narrows the last probe, so a stretch of one-to-one
-tokens costs a number of slice comparisons that grows with its logarithm.  Where they part, the ends are
-merged one by one until they meet: an irregular group, after which the shift is another one.
+``segments`` finds the groups by comparing the two arrays of ends at the current index shift.  The arrays are kept
+as differences, a byte a token: behind a common cut, ends agree as long as the sizes do.  While they agree, it
+probes 4, 8, 16, ... further entries at once and narrows the last probe, so a stretch of one-to-one tokens costs
+a number of slice comparisons that grows with its logarithm.  Where they part, the ends are merged one by
+one until they meet: an irregular group, after which the shift is another one.
 
 Linked are all pairs of an A and a B token of one group.  The count of an id pair is the number of documents
 that hold it linked (``translation``).  To look the counts up, documents are taken in chunks of about
@@ -26,7 +27,7 @@ import functools
 import hashlib
 import json
 from collections import Counter
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,8 @@ class Pair:
         piece = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(piece)]
         self.size_a, self.size_b = ([len(t) for t in own] for own in (self.bytes_a, self.bytes_b))
+        if max(*self.size_a, *self.size_b) > 255:
+            raise ValueError("a token of more than 255 bytes")
         self.name_a, self.name_b = ([str(i) for i in range(len(own))] for own in (self.bytes_a, self.bytes_b))
 
     @classmethod
@@ -98,40 +101,37 @@ class Pair:
         return out
 
     def segments(self, a: list[int], b: list[int]) -> list[Segment]:
-        return segments(list(accumulate(map(self.size_a.__getitem__, a))), list(accumulate(map(self.size_b.__getitem__, b))))
+        return segments(bytes(map(self.size_a.__getitem__, a)), bytes(map(self.size_b.__getitem__, b)))
 
 
-def segments(ends_a: list[int], ends_b: list[int]) -> list[Segment]:
+def segments(a: bytes, b: bytes) -> list[Segment]:
     """(from, to) in A, (from, to) in B, and whether it is a stretch of one-to-one groups or one group.
 
-    Both arrays rise and have the same last entry.
+    ``a`` and ``b`` are the sizes of the tokens; both sum up to the same number of bytes.
     """
-    out, i, j, n = [], 0, 0, len(ends_a)
+    out, i, j, n = [], 0, 0, len(a)
     while i < n:
-        i0, j0 = i, j
-        if ends_a[i] == ends_b[j]:
-            i, j, step = i + 1, j + 1, 2
-            if i < n and ends_a[i] == ends_b[j]:
+        i0, j0, x, y = i, j, a[i], b[j]
+        if x == y:
+            i, j, step = i + 1, j + 1, 4
+            while (ahead := a[i:i + step]) and ahead == b[j:j + step]:
+                i, j, step = i + len(ahead), j + len(ahead), step * 2
+            while step > 4:  # the probe that failed holds the end of the stretch
+                step //= 2
+                ahead = a[i:i + step]
+                if len(ahead) == step and ahead == b[j:j + step]:
+                    i, j = i + step, j + step
+            while i < n and a[i] == b[j]:
                 i, j = i + 1, j + 1
-                while (ahead := ends_a[i:i + step]) and ahead == ends_b[j:j + step]:
-                    i, j, step = i + len(ahead), j + len(ahead), step * 2
-                while step > 2:  # the probe that failed holds the end of the stretch
-                    step //= 2
-                    ahead = ends_a[i:i + step]
-                    if len(ahead) == step and ahead == ends_b[j:j + step]:
-                        i, j = i + step, j + step
-                if i < n and ends_a[i] == ends_b[j]:
-                    i, j = i + 1, j + 1
             out.append((i0, i, j0, j, True))
         else:
-            x, y = ends_a[i], ends_b[j]
             while x != y:
                 if x < y:
                     i += 1
-                    x = ends_a[i]
+                    x += a[i]
                 else:
                     j += 1
-                    y = ends_b[j]
+                    y += b[j]
             i, j = i + 1, j + 1
             out.append((i0, i, j0, j, False))
     return out
@@ -141,7 +141,7 @@ def cuts(parts: list[Segment]) -> np.ndarray:
     """(a_from, a_to, b_from, b_to) of every group, a row each."""
     if not parts:
         return np.zeros((0, 4), dtype=np.int64)
-    i, i2, j, j2, single = np.array(parts, dtype=np.int64).T
+    i, i2, j, j2, single = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=5 * len(parts)).reshape(-1, 5).T
     many = np.where(single == 1, i2 - i, 1)  # groups of a segment
     at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     one, first_a, first_b = np.repeat(single == 1, many), np.repeat(i, many) + at, np.repeat(j, many) + at
