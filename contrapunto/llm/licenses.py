@@ -4,8 +4,10 @@ Texts become words (A-Z lower-cased, other ASCII than letters and digits dropped
 hashes are winnowed (the least of each 2 neighbours is kept) into an inverted index; a document is
 winnowed alike, so any 4 words in a row shared with a template hit the index.  Hits name a template and a
 diagonal; around it the template is aligned with the words of the document in a band, and counts as
-found if at least ``COVERAGE`` of its words match (of the words it spans, if those are more).  Where found
-places overlap, the one with most matched words stays.
+found if at least ``COVERAGE`` of its words match (of the words it spans, if those are more) and all of its
+telling words do: those with a digit, and those that a sibling, a template of another license that shares
+``SIBLING`` of its words in order, does not have.  So another version or clause is never taken for this one.
+Where found places overlap, the one with most matched words stays, so a longer sibling wins where it stands.
 
 The templates are an argument, by default public statements of common licenses; their index is sent to
 the tasks and is refused above ``MAX_WORDS`` words.  Null and empty texts hold no license.  A license found in
@@ -22,20 +24,35 @@ from pyspark.sql import functions as F
 
 from contrapunto.llm.common import slices, wanted
 
-GRAM, WINDOW, COVERAGE, MAX_WORDS, CACHE = 3, 2, 0.85, 1_000_000, 200_000
+GRAM, WINDOW, COVERAGE, SIBLING, MAX_WORDS, CACHE = 3, 2, 0.85, 0.6, 1_000_000, 200_000
 #: Public license statements (fixed texts).
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
                    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT",
             'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'],
-    "BSD": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0",
+                 "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1",
+                 "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0",
+                 "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 
@@ -70,24 +87,41 @@ def winnowed(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
-def aligned(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """Most words of ``a`` matched in order in ``b`` near the diagonal ``shift``, and the span in ``b`` of those matches."""
-    best = {}  # place in b of the last match -> (matches, first place), for the rows so far
-    top = (0, 0, 0)
+def aligned(a: np.ndarray, b: np.ndarray, shift: int, band: int, telling: frozenset[int] = frozenset()) -> tuple[int, int, int, frozenset[int]]:
+    """Most words of ``a`` matched in order in ``b`` near the diagonal ``shift``, the span in ``b`` of those
+    matches, and which of the ``telling`` places of ``a`` are among them (of equal alignments the one with most)."""
+    best = {}  # place in b of the last match -> (matches, telling places matched, first place), for the rows so far
+    top = (0, frozenset(), 0, 0)
     for i in range(len(a)):
         low, high = max(0, i + shift - band), min(len(b), i + shift + band + 1)
         fresh = {}
         for j in range(low, high):
             if a[i] == b[j]:
-                n, first = max(((n, f) for q, (n, f) in best.items() if q < j), default=(0, j), key=lambda x: x[0])
-                fresh[j] = (n + 1, first)
-                if n + 1 > top[0]:
-                    top = (n + 1, first, j + 1)
+                n, told, first = max(((n, t, f) for q, (n, t, f) in best.items() if q < j), default=(0, frozenset(), j), key=lambda x: (x[0], len(x[1])))
+                fresh[j] = (n + 1, told | {i} if i in telling else told, first)
+                if (n + 1, len(fresh[j][1])) > (top[0], len(top[1])):
+                    top = (n + 1, fresh[j][1], first, j + 1)
         for j, v in fresh.items():
-            if v[0] > best.get(j, (0,))[0]:
+            if j not in best or (v[0], len(v[1])) > (best[j][0], len(best[j][1])):
                 best[j] = v
         best = {q: v for q, v in best.items() if q >= i + shift - 2 * band - 1}
-    return top
+    return top[0], top[2], top[3], top[1]
+
+
+def telling_places(templates: list[tuple[str, np.ndarray]], digits: set[int]) -> list[frozenset[int]]:
+    """For each template the places whose word holds a digit or is missing in a sibling."""
+    out = []
+    for name, t in templates:
+        places = {i for i, w in enumerate(t.tolist()) if w in digits}
+        for other, s in templates:
+            if other == name or not len(t):
+                continue
+            every = frozenset(range(len(t)))
+            matched, _, _, kept = aligned(t, s, 0, max(len(t), len(s)), every)
+            if matched >= SIBLING * len(t):
+                places |= every - kept
+        out.append(frozenset(places))
+    return out
 
 
 class Index:
@@ -96,6 +130,8 @@ class Index:
         self.templates = [(name, words(t, self.known)) for name, texts in templates.items() for t in texts]
         if sum(len(w) for _, w in self.templates) > MAX_WORDS:
             raise ValueError("more template words than one task should hold")
+        digits = {self.known[w] for _, texts in templates.items() for t in texts for w in t.encode().translate(_FOLD).split() if any(48 <= c <= 57 for c in w)}
+        self.telling = telling_places(self.templates, digits)
         self.posting: dict[int, list[tuple[int, int]]] = {}
         for n, (_, w) in enumerate(self.templates):
             for h, at in zip(*winnowed(w)):
@@ -120,9 +156,9 @@ class Index:
                     continue
                 seen.add(cell)
                 low = max(0, shift - 2 * band)
-                matched, first, last = aligned(t, w[low:shift + len(t) + 2 * band], shift - low, 2 * band)
+                matched, first, last, told = aligned(t, w[low:shift + len(t) + 2 * band], shift - low, 2 * band, self.telling[n])
                 coverage = matched / max(len(t), last - first)  # words put between the template's count against it
-                if coverage >= COVERAGE:
+                if coverage >= COVERAGE and told == self.telling[n]:
                     found.append((-matched, -coverage, low + first, low + last, name))
         out: list[tuple[str, float, int, int]] = []
         for _, coverage, first, last, name in sorted(found):

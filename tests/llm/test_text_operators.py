@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -210,3 +211,38 @@ def test_licenses(spark, docs, odd):
     (hit,) = licenses.scan(docs([(1, "before " + long + " after")])).collect()
     assert hit["license"] == "GPL-3.0" and 0.9 < hit["coverage"] < 1 and hit["begin"] == 1
     assert licenses.scan(docs([])).count() == 0
+
+
+SIBLINGS = {"This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+            "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+            "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under the BSD 2-Clause License.": "BSD-2-Clause", "SPDX-License-Identifier: GPL-2.0": "GPL-2.0", "SPDX-License-Identifier: ISC": "ISC",
+            # no template: nothing, rather than a neighbour
+            "This work is licensed under the GNU General Public License, version 1.": None, "Licensed under CC BY-NC 3.0.": None, "Licensed under the BSD 4-Clause License.": None,
+            "This work is licensed under a Creative Commons Attribution-NonCommercial 2.5 International License.": None, "SPDX-License-Identifier: Zlib": None}
+
+
+def test_sibling_licenses_are_told_apart(spark, docs):
+    rows = [(i, f"some words before. {t} And after it") for i, t in enumerate(SIBLINGS)]
+    got = {}
+    for r in licenses.scan(docs(rows)).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert got == {i: [name] for i, name in enumerate(SIBLINGS.values()) if name}
+    # every statement of the set is found as itself, whole, and alone
+    own = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    found = {}
+    for r in licenses.scan(docs([(i, "x " + t + " y") for i, (_, t) in enumerate(own)])).collect():
+        found.setdefault(r["doc_id"], []).append((r["license"], r["coverage"]))
+    assert found == {i: [(name, 1.0)] for i, (name, _) in enumerate(own)}
+
+
+def test_alignment_against_brute_force():
+    """Without a band limit the alignment is a longest common subsequence, and telling places are on it."""
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(1, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        matched, first, last, told = licenses.aligned(np.array(a), np.array(b), 0, 20, frozenset(range(len(a))))
+        assert matched == table[-1][-1] == len(told) and (matched == 0 or (a[min(told)] == b[first] and a[max(told)] == b[last - 1]))
