@@ -13,13 +13,13 @@ from contrapunto.functions.text import null_placeholder
 from contrapunto.operators import ordering as O
 
 
-def extras(df: DataFrame, explicit: list[str], width: int | None = None, total: int | None = None) -> Column:
+def extras(df: DataFrame, explicit: list[str], width: int | None = None, total: int | None = None, empty: tuple[str, ...] = S.LIST_PLACEHOLDERS) -> Column:
     """All non-empty undeclared columns as sorted ``k=v`` text, whole unless widths are given (published: 80 and 1500)."""
     names = sorted(c for c in df.columns if c not in explicit and not c.startswith("_"))
     parts = []
     for c in names:
         v = F.col(c).cast("string")
-        v = F.when(~v.isin(*S.LIST_PLACEHOLDERS), F.replace(F.replace(v, F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit(" ")))
+        v = F.when(~v.isin(*empty), F.replace(F.replace(v, F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit(" ")))
         parts.append(F.concat(F.lit(c + "="), v if width is None else F.left(v, F.lit(width))))
     text = F.concat_ws(" | ", *parts)
     return text if total is None else F.left(text, F.lit(total))
@@ -78,6 +78,57 @@ def process_block(p: DataFrame, names: dict[str, str], explicit: list[str]) -> D
                     extras(p, explicit).alias("otros_campos"))
 
 
+def process_mirror(p: DataFrame) -> DataFrame:
+    """The published 26-column block of a process, from its source fields as text.
+
+    Numbers lose their thousands commas and trailing zeros, and stay text where they are none; dates
+    keep their day; a duration has its unit.
+    """
+    def cell(source: str, how: str) -> Column:
+        v = F.col(source).cast("string")
+        if how == "numero":
+            n = F.replace(v, F.lit(","), F.lit("")).try_cast("decimal(34,6)").cast("string")
+            return F.coalesce(F.regexp_replace(n, r"\.?0+$", ""), v)  # six places: there always is a point
+        if how == "fecha":
+            return F.left(v, F.lit(10))
+        if how == "duracion":
+            return F.when(v != "", F.trim(F.concat_ws(" ", v, F.col("unidad_de_duracion"))))
+        return v
+
+    blank = lambda c: F.nullif(c, F.lit(""))
+    explicit = ["process_id", *[f for _, f, _ in S.PROCESS_BLOCK], *S.PROCESS_SHOWN]
+    return p.select("process_id", *[blank(cell(f, how)).alias(label) for label, f, how in S.PROCESS_BLOCK], blank(extras(p, explicit)).alias(S.PROCESS_EXTRAS))
+
+
+def contract_block(contracts: DataFrame, cell: int = 256) -> DataFrame:
+    """The published 24-column block of a process's contracts, from their source fields as text, in parts.
+
+    Sums read numbers with thousands commas and skip what is none; a sum of nothing is null.  Ids and references
+    come as they are, states, suppliers and documents sorted, other values once each in the order of ``seq``.
+    Part 0 holds the sums and the first ``cell`` values of every list; what a process has beyond that
+    follows in further parts, so no cell is unbounded and nothing is left out.
+    """
+    text = lambda f: F.col(f).cast("string")
+    known = lambda c: F.when(~c.isin("", "No definido", "No Definido"), F.trim(c))
+    document = F.when(text("documento_proveedor") != "", F.concat_ws(":", F.nullif(text("tipodocproveedor"), F.lit("")), text("documento_proveedor")))
+    shape = {"lista": text, "conjunto": text, "documento": lambda f: document, "valores": lambda f: known(text(f)), "fechas": lambda f: known(F.left(text(f), F.lit(10)))}
+    ordered = lambda how: F.lit(0).cast("bigint") if how in ("conjunto", "documento") else F.col("seq").cast("bigint")
+    item = lambda label, v, how: F.struct(F.lit(label).alias("campo"), v.alias("v"), ordered(how).alias("o"))
+    explicit = ["process_id", "seq", *[f for _, f, _ in S.CONTRACT_BLOCK], *S.CONTRACT_SHOWN]
+    others = extras(contracts, explicit, empty=(*S.LIST_PLACEHOLDERS, "0"))
+    lists = [item(label, shape[how](f), how) for label, f, how in S.CONTRACT_BLOCK if how in shape] + [item(S.CONTRACT_EXTRAS, others, "lista")]
+    whole = [label for label, _, how in S.CONTRACT_BLOCK if how == "lista"] + [S.CONTRACT_EXTRAS]
+    long = contracts.select("process_id", F.explode(F.array(*lists)).alias("x")).select("process_id", "x.*")
+    parts = O.listing(long.where(F.col("campo").isin(whole)), ["process_id", "campo"], "v", "t", by="o", cell=cell, repeats=True).unionByName(
+        O.listing(long.where(~F.col("campo").isin(whole)), ["process_id", "campo"], "v", "t", by="o", cell=cell))
+    labels = [label for label, _, how in S.CONTRACT_BLOCK if how != "suma"] + [S.CONTRACT_EXTRAS]
+    wide = parts.groupBy("process_id", "part").agg(*[F.max(F.when(F.col("campo") == x, F.col("t"))).alias(x) for x in labels])
+    money = lambda f: F.sum(F.replace(text(f), F.lit(","), F.lit("")).try_cast("decimal(28,4)")).cast("decimal(38,4)")
+    sums = contracts.groupBy("process_id").agg(*[money(f).alias(label) for label, f, how in S.CONTRACT_BLOCK if how == "suma"]).withColumn("part", F.lit(0).cast("bigint"))
+    d = wide.withColumn("part", F.col("part").cast("bigint")).join(sums, ["process_id", "part"], "left")
+    return d.select("process_id", "part", *[F.col(f"`{label}`") for label, _, _ in S.CONTRACT_BLOCK], F.col(f"`{S.CONTRACT_EXTRAS}`"))
+
+
 def identity_block(p: DataFrame, contracts: DataFrame, places: DataFrame, cell: int = 256) -> DataFrame:
     """Identity columns with the distinct execution addresses, in parts when many."""
     a = contracts.select("id_contrato", "process_id", F.col("seq").alias("cseq")).join(places, "id_contrato")

@@ -82,14 +82,15 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "pos")
     return local.join(offsets, [*keys, "_p"]).withColumn(out, F.col("_off") + F.col("_i")).drop("_p", "_i", "_off")
 
 
-def listing(df: DataFrame, keys: list[str], value, out: str, sep: str = " | ", by=None, cell: int = 256) -> DataFrame:
-    """All distinct values per group, in value order or first-seen order (``by``).
+def listing(df: DataFrame, keys: list[str], value, out: str, sep: str = " | ", by=None, cell: int = 256, repeats: bool = False) -> DataFrame:
+    """All distinct values (with ``repeats`` all values) per group, in value order or first-seen order (``by``).
 
     A group is cut into consecutive parts of ``cell`` values, numbered from 0, by one rule for
     all sizes: the part is the value's position div ``cell``.
     """
     d = df.select(*keys, col(value).alias("_v"), (col(by) if by is not None else col(value)).alias("_o"))
-    d = d.where("_v is not null and _v <> ''").groupBy(*keys, "_v").agg(F.min("_o").alias("_o"))
+    d = d.where("_v is not null and _v <> ''")
+    d = d if repeats else d.groupBy(*keys, "_v").agg(F.min("_o").alias("_o"))
     d = numbered(d, keys, ["_o", "_v"], "_pos").withColumn("part", F.expr(f"(_pos - 1) div {cell}"))
     return d.groupBy(*keys, "part").agg(_listagg("_v", sep, "_pos").alias(out)).select(*keys, out, "part")
 

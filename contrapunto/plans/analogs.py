@@ -104,6 +104,33 @@ VIEWS = {
                     CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 170 DAY AS DATE)
                          ELSE CAST(CAST(o_orderdate AS DATE) + INTERVAL 240 DAY AS DATE) END END AS fecha_liquidacion
         FROM {{orders}}""",
+    # The same contracts and processes by the field names and text forms of the published source.
+    "contratos_fuente": """
+        SELECT process_id, seq, id_contrato, CASE WHEN modalidad = '3-MEDIUM' THEN 'CTO-COMUN' ELSE referencia END AS referencia_del_contrato, estado AS estado_contrato, proveedor AS proveedor_adjudicado,
+               CASE tipodoc WHEN 'No Definido' THEN '' ELSE tipodoc END AS tipodocproveedor, CASE WHEN modalidad = '2-HIGH' THEN NULL ELSE documento END AS documento_proveedor,
+               CASE estado WHEN 'Modificado' THEN '1,250,000.50' ELSE CAST(valor AS VARCHAR(30)) END AS valor_del_contrato, CAST(valor_pagado AS VARCHAR(30)) AS valor_pagado,
+               CASE WHEN liquidacion = 'Si' THEN CAST(valor AS VARCHAR(30)) END AS valor_facturado, CASE estado WHEN 'Cerrado' THEN '0' ELSE 'por definir' END AS valor_pendiente_de_pago,
+               CASE modalidad WHEN '5-LOW' THEN 'No definido' ELSE '180 Dia(s)' END AS duraci_n_del_contrato, CAST(dias_adicionados AS VARCHAR(9)) AS dias_adicionados,
+               concat(CAST(fecha_firma AS VARCHAR(10)), 'T00:00:00.000') AS fecha_de_firma, concat(CAST(fecha_inicio AS VARCHAR(10)), 'T00:00:00.000') AS fecha_de_inicio_del_contrato,
+               CAST(fecha_fin AS VARCHAR(10)) AS fecha_de_fin_del_contrato, liquidacion AS liquidaci_n, CAST(fecha_liquidacion AS VARCHAR(10)) AS fecha_inicio_liquidacion,
+               CASE WHEN modalidad = '1-URGENT' THEN CAST(fecha_liquidacion AS VARCHAR(10)) ELSE '' END AS fecha_fin_liquidacion,
+               CASE modalidad WHEN '1-URGENT' THEN ' Supervisor A ' WHEN '2-HIGH' THEN 'Supervisor B' ELSE 'No Definido' END AS nombre_supervisor,
+               concat('Ordenador ', estado) AS nombre_ordenador_del_gasto, 'Distribuido' AS origen_de_los_recursos, anticipo AS el_contrato_puede_ser_prorrogado,
+               'Ejecutivo' AS rama, CASE WHEN liquidacion = 'Si' THEN 'Hacienda' ELSE 'Defensa' END AS sector, objeto AS objeto_del_contrato,
+               concat('Nacional|', modalidad) AS orden, CASE WHEN estado = 'Modificado' THEN '12' ELSE '0' END AS saldo_cdp
+        FROM {contratos}""",
+    "procesos_fuente": """
+        SELECT process_id, fase AS modalidad_de_contratacion, CASE WHEN adjudicado = 'Si' THEN 'Regla general' ELSE '' END AS justificaci_n_modalidad_de, 'Suministro' AS tipo_de_contrato,
+               CAST(NULL AS VARCHAR(9)) AS subtipo_de_contrato, portfolio AS referencia_del_proceso, nombre AS nombre_del_procedimiento,
+               CASE WHEN adjudicado = 'Si' THEN concat('Adjudicador ', entidad) END AS nombre_del_adjudicador, entidad AS nombre_de_la_unidad_de, 'Cundinamarca' AS departamento_entidad, 'Bogotá' AS ciudad_entidad,
+               CAST(precio_base AS VARCHAR(30)) AS precio_base, CASE WHEN adjudicado = 'Si' THEN '12,500,000.00' ELSE '' END AS valor_total_adjudicacion,
+               CASE WHEN adjudicado = 'Si' THEN nit_entidad END AS nit_del_proveedor_adjudicado, CASE WHEN adjudicado = 'Si' THEN 'Proveedor SA' END AS nombre_del_proveedor,
+               CASE fase WHEN 'BUILDING' THEN '60' WHEN 'FURNITURE' THEN '' WHEN 'MACHINERY' THEN '2' END AS duracion, CASE fase WHEN 'BUILDING' THEN 'día(s)' WHEN 'AUTOMOBILE' THEN 'mes(es)' END AS unidad_de_duracion,
+               '1' AS numero_de_lotes, CASE fase WHEN 'BUILDING' THEN '1,204' WHEN 'FURNITURE' THEN 'N/A' ELSE '7.50' END AS respuestas_al_procedimiento, '100' AS proveedores_invitados, CAST(NULL AS VARCHAR(9)) AS proveedores_que_manifestaron,
+               '2024-01-31T00:00:00.000' AS fecha_de_publicacion_del, '' AS fecha_de_publicacion_fase_3, CASE WHEN adjudicado = 'Si' THEN '2024-03-01 08:00' END AS fecha_de_apertura_efectiva, '2024-04-30' AS fecha_de_ultima_publicaci,
+               concat('CO1.AWD.', custkey) AS id_adjudicacion, CASE adjudicado WHEN 'Si' THEN 'Seleccionado' ELSE 'Publicado' END AS estado_del_procedimiento,
+               entidad, nit_entidad, fase, concat('linea|', custkey) AS categoria, 'No Definido' AS tipo_justificacion
+        FROM {procesos}""",
     "adiciones": """
         SELECT concat('CO1.PCCNTR.', l_orderkey) AS id_contrato,
                CASE l_returnflag WHEN 'A' THEN 'ADICION' WHEN 'N' THEN 'PRORROGA' ELSE 'REDUCCION' END AS tipo,

@@ -242,6 +242,17 @@ def p28(t):
     return B.process_block(t.procesos, names, ["process_id", "fase", "nombre", "precio_base", "url", "entidad", "nit_entidad", "id_del_proceso"])
 
 
+def _process_cell(source: str, how: str) -> str:
+    number = f"regexp_replace(CAST(try_cast(replace({source}, ',', '') AS DECIMAL(34,6)) AS VARCHAR), '\\.?0+$', '')"
+    return {"numero": f"coalesce({number}, {source})", "fecha": f"left({source}, 10)", "duracion": f"CASE WHEN {source} <> '' THEN trim(concat_ws(' ', {source}, unidad_de_duracion)) END"}.get(how, source)
+
+
+@query("P28_process_mirror", "SELECT process_id, " + ", ".join(f"nullif({_process_cell(f, how)}, '') \"{label}\"" for label, f, how in S.PROCESS_BLOCK)
+       + f", 'categoria=linea ' || substr(categoria, 7) \"{S.PROCESS_EXTRAS}\" FROM {{procesos_fuente}}")
+def p28_mirror(t):
+    return B.process_mirror(t.procesos_fuente)
+
+
 @query("P28_W11_identity_block", """
 a AS (SELECT process_id, direccion d, min((c.seq, u.seq)) o FROM {ubicaciones} u JOIN {contratos} c USING (id_contrato) WHERE lower(direccion) <> 'no definido' GROUP BY 1, 2),
 l AS (SELECT process_id, string_agg(d, ' | ' ORDER BY o, d) direcciones FROM a GROUP BY 1)
@@ -276,7 +287,8 @@ _C = "m.seq IS NOT NULL"
 _MORE_CONTRACT = {
     "duracion": "CASE WHEN dias_adicionados > 0 THEN dias_adicionados || ' dia(s)' END", "lugar": "'Zona ' || modalidad",
     "tipo_contrato": "CASE estado WHEN 'Cerrado' THEN 'Obra' ELSE 'Servicios' END", "orden": "CASE WHEN tipodoc = 'NIT' THEN 'Nacional' END",
-    "origen_recursos": "CASE liquidacion WHEN 'Si' THEN 'Propios' ELSE 'Territoriales' END", "supervisor_id": "'S-' || id_contrato", "supervisor": "'Sup. ' || referencia"}
+    "origen_recursos": "CASE liquidacion WHEN 'Si' THEN 'Propios' ELSE 'Territoriales' END", "supervisor_id": "'S-' || id_contrato", "supervisor": "'Sup. ' || referencia",
+    "valor_anticipo": "CASE WHEN anticipo = 'Si' THEN valor_pagado END", "direccion": "CASE estado WHEN 'Cerrado' THEN 'Sin Descripcion' ELSE 'Carrera ' || documento END"}
 _FILL_SQL = [
     ("vigencia", "CAST(year(m.fecha_firma) AS VARCHAR)", "HIGH"), ("objeto", "coalesce(m.objeto, p.nombre)", "HIGH"),
     ("fecha_suscripcion", "CAST(m.fecha_firma AS VARCHAR)", "HIGH"), ("fecha_inicio", "CAST(m.fecha_inicio AS VARCHAR)", "HIGH"),
@@ -284,6 +296,7 @@ _FILL_SQL = [
     ("entidad_nit", f"CASE WHEN {_C} THEN p.nit_entidad END", "MEDIUM"), ("entidad_dv", f"CASE WHEN {_C} THEN p.dv END", "HIGH"), ("entidad_nombre", f"CASE WHEN {_C} THEN p.entidad END", "MEDIUM"),
     ("valor_inicial", "CAST(s.inicial AS VARCHAR)", "HIGH"), ("valor_inicial_vigencia", "CAST(s.inicial AS VARCHAR)", "MEDIUM"),
     ("tipo_anticipos", "CASE m.anticipo WHEN 'Si' THEN 'Pago anticipado' WHEN 'No' THEN 'Sin anticipo' END", "MEDIUM"), ("tipo_adiciones", "k.tipos", "MEDIUM"),
+    ("valor_anticipos", "CASE m.anticipo WHEN 'Si' THEN CAST(s.anticipos AS VARCHAR) END", "HIGH"), ("direccion", "nullif(m.direccion, 'Sin Descripcion')", "MEDIUM"),
     ("reducciones", "CASE WHEN s.red > 0 THEN CAST(s.red AS VARCHAR) END", "HIGH"), ("adiciones", "CASE WHEN s.adi > 0 THEN CAST(s.adi AS VARCHAR) END", "HIGH"),
     ("valor_total", "CAST(s.inicial + s.adi - s.red AS VARCHAR)", "HIGH"), ("prorrogas_dias", "CASE WHEN s.dias > 0 THEN CAST(s.dias AS VARCHAR) END", "HIGH"),
     ("naturaleza", "CASE m.tipodoc WHEN 'NIT' THEN 'Jurídica' WHEN 'CC' THEN 'Natural' END", "MEDIUM"),
@@ -306,7 +319,7 @@ FILL_STEPS = f"""
 p AS (SELECT *, {_dv_of('nit_entidad')} dv FROM {{procesos}}),
 m AS (SELECT *, {_dv_of('documento')} dv FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _MORE_CONTRACT.items())}, row_number() OVER (PARTITION BY process_id ORDER BY fecha_firma DESC NULLS LAST, seq) rn FROM {{contratos}}) WHERE rn = 1),
 ad AS (SELECT id_contrato, sum(CASE WHEN valor > 0 THEN valor END) a, sum(CASE WHEN valor <= 0 THEN -valor END) r FROM {{adiciones}} GROUP BY 1),
-s AS (SELECT process_id, sum(valor) inicial, sum(valor_pagado) pagado, coalesce(sum(a), 0)::DECIMAL(38,2) adi, coalesce(sum(r), 0)::DECIMAL(38,2) red, sum(dias_adicionados) dias,
+s AS (SELECT process_id, sum(valor) inicial, sum(valor_pagado) pagado, coalesce(sum(a), 0)::DECIMAL(38,2) adi, coalesce(sum(r), 0)::DECIMAL(38,2) red, sum(dias_adicionados) dias, sum(CASE anticipo WHEN 'Si' THEN valor_pagado END) anticipos,
    string_agg(DISTINCT estado, ' | ' ORDER BY estado) estados FROM {{contratos}} LEFT JOIN ad USING (id_contrato) GROUP BY 1),
 k AS (SELECT process_id, string_agg(DISTINCT tipo, ' | ' ORDER BY tipo) tipos FROM {{adiciones}} JOIN {{contratos}} USING (id_contrato) GROUP BY 1),
 g AS (SELECT process_id, string_agg(DISTINCT nullif(tipo, 'No definido'), ' | ' ORDER BY nullif(tipo, 'No definido')) tipos, string_agg(DISTINCT riesgo, ' | ' ORDER BY riesgo) riesgos, min(fecha_exp) f

@@ -167,12 +167,14 @@ def q10(t):
 # ---- Coverage audit ---------------------------------------------------------
 
 
-def _audit_rows(t):
+def _audit_rows(t, priority=("api", "integrado"), faults=False):
     portal = t.portal.select("notice_id").distinct()
     integ = t.integrado.select(notice_id("url_contrato").alias("k")).where("k is not null").distinct()
     linked = t.integrado.select(contract_id("numero_del_contrato").alias("k")).where(contract_id("url_contrato").isNull()).distinct()
     mark = lambda d, c, key, name: d.select(F.col(c).alias(key), F.lit(True).alias(name))
-    d = cascaded(t, ("api", "integrado"))
+    d = cascaded(t, priority)
+    if faults:  # links without an id get a malformed one, one year lost its references, another its sheets
+        d = d.withColumns({"process_id": F.coalesce("process_id", F.concat(F.lit("CO1-NTC-"), "item")), "ref": F.when(F.col("vigencia") != "1995", F.col("ref")), "sheet": F.when(F.col("vigencia") != "1998", F.col("sheet"))})
     d = d.join(mark(portal, "notice_id", "notice_id", "en_portal_n"), "notice_id", "left").join(mark(portal, "notice_id", "process_id", "en_portal_p"), "process_id", "left")
     d = d.join(mark(integ, "k", "notice_id", "en_integrado"), "notice_id", "left").join(mark(linked, "k", "process_id", "en_enlace"), "process_id", "left")
     return d.withColumn("datos_manuales", F.when(F.col("edited_at") > "2000-06-01", "x"))
@@ -193,6 +195,20 @@ def q11(t):
     return Q.audit_items(_audit_rows(t)).select("item", "regla", "severidad")
 
 
+_AUDIT_ALL = _AUDIT.replace("UNION ALL SELECT 1, 'integrado'", "UNION ALL SELECT 1, 'portal', * FROM por UNION ALL SELECT 2, 'integrado'").replace("d AS (SELECT cas.*", """
+caf AS (SELECT * REPLACE (coalesce(process_id, 'CO1-NTC-' || item) AS process_id, CASE WHEN vigencia <> '1995' THEN ref END AS ref, CASE WHEN vigencia <> '1998' THEN sheet END AS sheet) FROM cas),
+d AS (SELECT caf.*""").replace("cas.notice_id IN", "caf.notice_id IN").replace("cas.process_id", "caf.process_id").replace("FROM cas JOIN {watch} x ON x.seq = cas.item", "FROM caf JOIN {watch} x ON x.seq = caf.item")
+
+
+@query("Q11_audit_all_rules", _AUDIT_ALL + """
+SELECT item, regla, severidad FROM i UNION ALL SELECT item, '01_formato', 'warn' FROM d WHERE NOT regexp_matches(process_id, '^CO1\\.[A-Z]+\\.\\d+$')
+UNION ALL SELECT item, CASE data_source WHEN 'api' THEN '04_api_sin_id' WHEN 'integrado' THEN '05_integrado_sin_enlace' ELSE '06_portal_sin_campos' END, 'fp' FROM d WHERE data_source <> 'none' AND ref IS NULL
+UNION ALL SELECT item, '11_sin_apariciones', 'warn' FROM d WHERE sheet IS NULL""")
+def q11_all(t):
+    """All three sources, and items with the faults that a clean list cannot have."""
+    return Q.audit_items(_audit_rows(t, ("api", "portal", "integrado"), True)).select("item", "regla", "severidad")
+
+
 @query("A27_severity_counts", _AUDIT + " SELECT severidad, count(*) n FROM i GROUP BY 1")
 def a27(t):
     return Q.severity_counts(Q.audit_items(_audit_rows(t)))

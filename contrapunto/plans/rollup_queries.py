@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contrapunto import schemas as S
 from contrapunto.functions.identifiers import notice_id
+from contrapunto.operators import blocks as B
 from contrapunto.operators import documents as D
 from contrapunto.operators import filters as FL
 from contrapunto.operators import ordering as O
@@ -72,6 +74,26 @@ def a2_lists(t):
     return R.contract_lists(t.contratos)
 
 
+def _contract_cell(source: str, how: str) -> str:
+    known = "CASE WHEN {0} NOT IN ('', 'No definido', 'No Definido') THEN trim({0}) END"
+    return {"documento": "CASE WHEN documento_proveedor <> '' THEN concat_ws(':', nullif(tipodocproveedor, ''), documento_proveedor) END", "valores": known.format(source),
+            "fechas": known.format(f"left({source}, 10)")}.get(how, source)
+
+
+_BLOCK_LISTS = [(label, _contract_cell(f, how), how) for label, f, how in S.CONTRACT_BLOCK if how != "suma"]
+_BLOCK_LISTS.append((S.CONTRACT_EXTRAS, "concat_ws(' | ', 'orden=' || replace(orden, '|', ' '), CASE WHEN saldo_cdp <> '0' THEN 'saldo_cdp=' || saldo_cdp END)", "lista"))
+
+
+@query("A2_contract_block", "u AS (" + " UNION ALL ".join(
+    f"SELECT process_id, '{label}' campo, {v} v, {'0' if how in ('conjunto', 'documento') else 'seq'} o, {'seq' if how == 'lista' else '0'} vez FROM {{contratos_fuente}}" for label, v, how in _BLOCK_LISTS) + """),
+l AS (SELECT process_id, campo, string_agg(v, ' | ' ORDER BY o, v) t FROM (SELECT process_id, campo, v, vez, min(o) o FROM u WHERE v <> '' GROUP BY ALL) GROUP BY 1, 2),
+w AS (SELECT process_id, """ + ", ".join(f"max(CASE WHEN campo = '{label}' THEN t END) \"{label}\"" for label, _, _ in _BLOCK_LISTS) + """ FROM l GROUP BY 1),
+m AS (SELECT process_id, """ + ", ".join(f"sum(try_cast(replace({f}, ',', '') AS DECIMAL(28,4))) \"{label}\"" for label, f, how in S.CONTRACT_BLOCK if how == "suma") + """ FROM {contratos_fuente} GROUP BY 1)
+SELECT *, 0 part FROM w JOIN m USING (process_id)""")
+def a2_block(t):
+    return B.contract_block(t.contratos_fuente)
+
+
 @query("A3_A9_policies", """
 g AS (SELECT process_id, g.*, tipo || ' ' || aseguradora || ' #' || numero || ' (' || g.estado || ', vence ' || CAST(g.fecha_fin AS VARCHAR) || ')' t
       FROM {garantias} g JOIN (SELECT id_contrato, process_id FROM {contratos}) USING (id_contrato)),

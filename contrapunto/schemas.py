@@ -207,3 +207,68 @@ AUDIT_LOG = T.StructType([
 
 MONEY = T.DecimalType(18, 2)
 TOTAL = T.DecimalType(38, 2)
+
+# ---- Published column blocks (fixed values) ---------------------------------
+
+# Contract block, a row per process: (published label, source field, how contracts are put together).
+CONTRACT_BLOCK = [
+    ("Contrato: ID(s)", "id_contrato", "lista"),
+    ("Contrato: Referencia", "referencia_del_contrato", "lista"),
+    ("Contrato: Estado", "estado_contrato", "conjunto"),
+    ("Contrato: Proveedor adjudicado", "proveedor_adjudicado", "conjunto"),
+    ("Contrato: NIT/doc proveedor", "documento_proveedor", "documento"),
+    ("Contrato: Valor", "valor_del_contrato", "suma"),
+    ("Contrato: Valor pagado", "valor_pagado", "suma"),
+    ("Contrato: Valor facturado", "valor_facturado", "suma"),
+    ("Contrato: Valor pendiente pago", "valor_pendiente_de_pago", "suma"),
+    ("Contrato: Duración", "duraci_n_del_contrato", "valores"),
+    ("Contrato: Días adicionados", "dias_adicionados", "suma"),
+    ("Contrato: Fecha firma", "fecha_de_firma", "fechas"),
+    ("Contrato: Fecha inicio", "fecha_de_inicio_del_contrato", "fechas"),
+    ("Contrato: Fecha fin", "fecha_de_fin_del_contrato", "fechas"),
+    ("Contrato: ¿Liquidación?", "liquidaci_n", "valores"),
+    ("Contrato: Fecha inicio liquidación", "fecha_inicio_liquidacion", "fechas"),
+    ("Contrato: Fecha fin liquidación", "fecha_fin_liquidacion", "fechas"),
+    ("Contrato: Supervisor", "nombre_supervisor", "valores"),
+    ("Contrato: Ordenador del gasto", "nombre_ordenador_del_gasto", "valores"),
+    ("Contrato: Origen recursos", "origen_de_los_recursos", "valores"),
+    ("Contrato: ¿Prorrogable?", "el_contrato_puede_ser_prorrogado", "valores"),
+    ("Contrato: Rama", "rama", "valores"),
+    ("Contrato: Sector", "sector", "valores"),
+]
+CONTRACT_EXTRAS = "Contrato: Otros campos"
+# Fields that are shown elsewhere and stay out of the catch-all, besides those above.
+CONTRACT_SHOWN = ["tipodocproveedor", "valor_pendiente_de_ejecucion", "nombre_entidad", "nit_entidad", "objeto_del_contrato", "descripcion_del_proceso",
+                  "modalidad_de_contratacion", "proceso_de_compra", "urlproceso", "tipo_de_contrato", "codigo_entidad", "codigo_proveedor"]
+
+# Process block, a row per process: (published label, source field, how the value is cleaned).
+PROCESS_BLOCK = [
+    ("Proceso: Modalidad", "modalidad_de_contratacion", "texto"),
+    ("Proceso: Justificación modalidad", "justificaci_n_modalidad_de", "texto"),
+    ("Proceso: Tipo contrato", "tipo_de_contrato", "texto"),
+    ("Proceso: Subtipo contrato", "subtipo_de_contrato", "texto"),
+    ("Proceso: Referencia", "referencia_del_proceso", "texto"),
+    ("Proceso: Nombre", "nombre_del_procedimiento", "texto"),
+    ("Proceso: Adjudicador", "nombre_del_adjudicador", "texto"),
+    ("Proceso: Unidad de contratación", "nombre_de_la_unidad_de", "texto"),
+    ("Proceso: Departamento entidad", "departamento_entidad", "texto"),
+    ("Proceso: Ciudad entidad", "ciudad_entidad", "texto"),
+    ("Proceso: Precio base", "precio_base", "numero"),
+    ("Proceso: Valor adjudicación", "valor_total_adjudicacion", "numero"),
+    ("Proceso: NIT proveedor adjudicado", "nit_del_proveedor_adjudicado", "texto"),
+    ("Proceso: Nombre proveedor adjudicado", "nombre_del_proveedor", "texto"),
+    ("Proceso: Duración", "duracion", "duracion"),
+    ("Proceso: # lotes", "numero_de_lotes", "numero"),
+    ("Proceso: # ofertas recibidas", "respuestas_al_procedimiento", "numero"),
+    ("Proceso: # proveedores invitados", "proveedores_invitados", "numero"),
+    ("Proceso: # proveedores manifestaron", "proveedores_que_manifestaron", "numero"),
+    ("Proceso: Fecha publicación", "fecha_de_publicacion_del", "fecha"),
+    ("Proceso: Fecha fase 3", "fecha_de_publicacion_fase_3", "fecha"),
+    ("Proceso: Fecha apertura ofertas", "fecha_de_apertura_efectiva", "fecha"),
+    ("Proceso: Última publicación", "fecha_de_ultima_publicaci", "fecha"),
+    ("Proceso: ID adjudicación", "id_adjudicacion", "texto"),
+    ("Proceso: Estado", "estado_del_procedimiento", "texto"),
+]
+PROCESS_EXTRAS = "Proceso: Otros campos"
+PROCESS_SHOWN = ["unidad_de_duracion", "id_del_proceso", "id_del_portafolio", "urlproceso", "fase", "entidad", "nit_entidad", "descripci_n_del_procedimiento",
+                 "nombre_entidad", "ordenentidad", "codigo_entidad", "codigo_pci", "ppi", "id_estado_del_procedimiento"]
