@@ -8,3 +8,4 @@ from contrapunto.plans import resolve_queries  # noqa: F401
 from contrapunto.plans import quality_queries  # noqa: F401
 from contrapunto.plans import change_queries  # noqa: F401
 from contrapunto.plans import document_queries  # noqa: F401
+from contrapunto.plans import detail_queries  # noqa: F401
