@@ -7,6 +7,8 @@ partial sums.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,6 +238,26 @@ def document_counts(docs: DataFrame, category: Column, k: int = 8) -> DataFrame:
     return out
 
 
+def whole_lists(contracts: DataFrame, g: DataFrame, f: DataFrame, edits: DataFrame, docs: DataFrame, category: Column, cell: int = 256) -> DataFrame:
+    """The lists of A3, A4, A6 and A7 in full: ``(process_id, lista, part, texto)``.
+
+    Policies by end date, the others newest first, equal dates by their text; ``cell`` texts a part, so
+    nothing is left out and no cell is unbounded.  The rollups keep the first few for a single row.
+    """
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    row = lambda d, name, at, text: d.select("process_id", F.lit(name).alias("lista"), F.coalesce(at, F.lit(1 << 40)).alias("o"), text.alias("t"))
+    own = lambda d: with_process(d, contracts)
+    policy = F.concat_ws("", "tipo", F.lit(" "), "aseguradora", F.lit(" #"), "numero", F.lit(" ("), "estado", F.lit(", vence "), F.col("fecha_fin").cast("string"), F.lit(")"))
+    invoice = F.concat_ws(" ", F.col("fecha").cast("string"), F.concat(F.lit("#"), "numero"), "estado", F.concat(F.lit("$"), F.col("valor_a_pagar").cast("string")))
+    edit = F.concat_ws(" ", F.date_format("ultima", "yyyy-MM-dd'T'HH:mm:ss"), "descripcion")
+    named = docs.withColumn("lista", category).where("lista in ('modificatorios', 'legalizaciones')")
+    parts = [row(own(g.select("id_contrato", "tipo", "aseguradora", "numero", "estado", "fecha_fin")), "polizas", day("fecha_fin"), policy),
+             row(own(f.select("id_contrato", "fecha", "numero", "estado", "valor_a_pagar")), "facturas", -day("fecha"), invoice),
+             row(edits, "ediciones", -F.unix_micros(F.col("ultima").cast("timestamp")), edit),
+             named.select("process_id", "lista", F.coalesce(-day("fecha"), F.lit(1 << 40)).alias("o"), F.concat_ws("", "nombre", F.lit(" ("), F.col("fecha").cast("string"), F.lit(")")).alias("t"))]
+    return O.listing(reduce(DataFrame.unionByName, parts), ["process_id", "lista"], "t", "texto", by="o", cell=cell, repeats=True)
+
+
 # ---- Budget (A8) ------------------------------------------------------------
 
 

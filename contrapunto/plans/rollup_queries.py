@@ -162,6 +162,17 @@ def a7(t):
     return R.document_counts(t.archivos, D.file_category("nombre"))
 
 
+@query("A3_A4_A6_A7_whole_lists", f"""
+u AS (SELECT process_id, 'polizas' lista, g.fecha_fin::TIMESTAMP cuando, 1 dir, tipo || ' ' || aseguradora || ' #' || numero || ' (' || g.estado || ', vence ' || CAST(g.fecha_fin AS VARCHAR) || ')' t FROM {{garantias}} g JOIN (SELECT id_contrato, process_id FROM {{contratos}}) USING (id_contrato)
+UNION ALL SELECT process_id, 'facturas', fecha::TIMESTAMP, -1, concat_ws(' ', CAST(fecha AS VARCHAR), '#' || numero, f.estado, '$' || CAST(valor_a_pagar AS VARCHAR)) FROM {{facturas}} f JOIN (SELECT id_contrato, process_id FROM {{contratos}}) USING (id_contrato)
+UNION ALL SELECT process_id, 'ediciones', ultima::TIMESTAMP, -1, strftime(ultima, '%Y-%m-%dT%H:%M:%S') || ' ' || descripcion FROM {{mod_procesos}}
+UNION ALL SELECT process_id, {_CAT}, fecha::TIMESTAMP, -1, nombre || ' (' || CAST(fecha AS VARCHAR) || ')' FROM {{archivos}} WHERE {_CAT} IN ('modificatorios', 'legalizaciones')),
+n AS (SELECT *, row_number() OVER (PARTITION BY process_id, lista ORDER BY dir * epoch_us(cuando), t) - 1 i FROM u)
+SELECT process_id, lista, i // 32 part, string_agg(t, ' | ' ORDER BY i) texto FROM n GROUP BY 1, 2, 3""")
+def whole_lists(t):
+    return R.whole_lists(t.contratos, t.garantias, t.facturas, t.mod_procesos, t.archivos, D.file_category("nombre"), 32)
+
+
 @query("A8_budget", """
 a AS (SELECT id_contrato, sum(CASE WHEN valor > 0 THEN valor END) a, sum(CASE WHEN valor <= 0 THEN -valor END) r FROM {adiciones} GROUP BY 1),
 s AS (SELECT process_id, sum(valor) inicial, coalesce(sum(a), 0)::DECIMAL(38,2) adiciones, coalesce(sum(r), 0)::DECIMAL(38,2) reducciones, sum(valor_pagado) pagado
