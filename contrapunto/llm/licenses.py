@@ -5,9 +5,10 @@ hashes are winnowed (the least of each 2 neighbours is kept) into an inverted in
 winnowed alike, so any 4 words in a row shared with a template hit the index.  Hits name a template and a
 diagonal; around it the template is aligned with the words of the document in a band, and counts as
 found if at least ``COVERAGE`` of its words match (of the words it spans, if those are more) and all of its
-telling words do: those with a digit, and those that a sibling, a template of another license that shares
-``SIBLING`` of its words in order, does not have.  So another version or clause is never taken for this one.
-Where found places overlap, the one with most matched words stays, so a longer sibling wins where it stands.
+telling words do: those that a sibling, a template of another license that shares ``SIBLING`` of its words in
+order, does not have.  Of words with a digit one may be missing, but no other number may stand at the place.  So
+another version or clause is never taken for this one.  Where found places overlap, the one with most matched
+words stays, so a longer sibling wins where it stands; of equals the template that is listed first.
 
 The templates are an argument, by default public statements of common licenses; their index is sent to
 the tasks and is refused above ``MAX_WORDS`` words.  Null and empty texts hold no license.  A license found in
@@ -67,9 +68,12 @@ class Words(dict):
         return h
 
 
+def raw_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
 def words(text: str | None, known: Words) -> np.ndarray:
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    return np.array([known[w] for w in found], dtype=np.uint64)
+    return np.array([known[w] for w in raw_words(text)], dtype=np.uint64)
 
 
 def winnowed(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +112,15 @@ def aligned(a: np.ndarray, b: np.ndarray, shift: int, band: int, telling: frozen
     return top[0], top[2], top[3], top[1]
 
 
-def telling_places(templates: list[tuple[str, np.ndarray]], digits: set[int]) -> list[frozenset[int]]:
-    """For each template the places whose word holds a digit or is missing in a sibling."""
+def _is_number(word: bytes) -> bool:
+    return any(48 <= c <= 57 for c in word)
+
+
+def telling_places(templates: list[tuple[str, np.ndarray]], numbers: set[int]) -> list[frozenset[int]]:
+    """For each template the places of the words that are no numbers and are missing in a sibling."""
     out = []
     for name, t in templates:
-        places = {i for i, w in enumerate(t.tolist()) if w in digits}
+        places = set()
         for other, s in templates:
             if other == name or not len(t):
                 continue
@@ -120,7 +128,7 @@ def telling_places(templates: list[tuple[str, np.ndarray]], digits: set[int]) ->
             matched, _, _, kept = aligned(t, s, 0, max(len(t), len(s)), every)
             if matched >= SIBLING * len(t):
                 places |= every - kept
-        out.append(frozenset(places))
+        out.append(frozenset(i for i in places if int(t[i]) not in numbers))
     return out
 
 
@@ -130,8 +138,10 @@ class Index:
         self.templates = [(name, words(t, self.known)) for name, texts in templates.items() for t in texts]
         if sum(len(w) for _, w in self.templates) > MAX_WORDS:
             raise ValueError("more template words than one task should hold")
-        digits = {self.known[w] for _, texts in templates.items() for t in texts for w in t.encode().translate(_FOLD).split() if any(48 <= c <= 57 for c in w)}
-        self.telling = telling_places(self.templates, digits)
+        self.raw = [raw_words(t) for texts in templates.values() for t in texts]
+        numbers = {self.known[w] for own in self.raw for w in own if _is_number(w)}
+        self.telling = telling_places(self.templates, numbers)
+        self.numbers = [frozenset(i for i, w in enumerate(own) if _is_number(w)) for own in self.raw]
         self.posting: dict[int, list[tuple[int, int]]] = {}
         for n, (_, w) in enumerate(self.templates):
             for h, at in zip(*winnowed(w)):
@@ -156,12 +166,16 @@ class Index:
                     continue
                 seen.add(cell)
                 low = max(0, shift - 2 * band)
-                matched, first, last, told = aligned(t, w[low:shift + len(t) + 2 * band], shift - low, 2 * band, self.telling[n])
+                matched, first, last, told = aligned(t, w[low:shift + len(t) + 2 * band], shift - low, 2 * band, self.telling[n] | self.numbers[n])
                 coverage = matched / max(len(t), last - first)  # words put between the template's count against it
-                if coverage >= COVERAGE and told == self.telling[n]:
-                    found.append((-matched, -coverage, low + first, low + last, name))
+                if coverage < COVERAGE or not told >= self.telling[n]:
+                    continue
+                lost, own = len(t) - matched, self.raw[n]
+                if not told >= self.numbers[n] and any(_is_number(x) and x not in own for x in raw_words(text)[max(0, low + first - lost):low + last + lost]):
+                    continue  # another number stands where one is missing
+                found.append((-matched, -coverage, low + first, low + last, n, name))
         out: list[tuple[str, float, int, int]] = []
-        for _, coverage, first, last, name in sorted(found):
+        for _, coverage, first, last, _, name in sorted(found):
             if all(last <= b or first >= e for _, _, b, e in out):
                 out.append((name, -coverage, first, last))
         return sorted(out, key=lambda r: r[2])
