@@ -92,9 +92,9 @@ def stream_movements(snapshots: DataFrame, store: str, folder: str, key: str, mo
     def step(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.partitionBy("stamp", "epoch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/landed")
         waiting = spark.read.schema(landed).parquet(f"{folder}/landed")
-        done = stored().select("stamp").distinct()
         aside = spark.read.option("recursiveFileLookup", "true").schema("stamp string, estado string").parquet(f"{folder}/aside").select("stamp")
-        open_ = waiting.join(done.unionByName(aside), "stamp", "left_anti")
+        closed = [r["stamp"] for r in stored().select("stamp").distinct().unionByName(aside).collect()]  # a row per stored snapshot
+        open_ = waiting.where(~F.col("stamp").isin(closed))  # by folder: what is closed is not read again
         state = open_.groupBy("stamp").agg(F.count_distinct(key).alias("n"), F.max("total").alias("total"), F.max("epoch").alias("epoch")).orderBy("stamp").collect()  # a row per open snapshot
         full = [r["stamp"] for r in state if r["n"] >= r["total"]]
         for r in state:
