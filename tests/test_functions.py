@@ -76,6 +76,13 @@ def test_sequence_labels(spark, text, year, label):
     assert one(spark, I.norm_sequence("t", "y", "CONTRATO-ENT"), t=text, y=year) == label
 
 
+@pytest.mark.parametrize("text,year,label", [("contrato ent 100001-1999", "1999", None), ("contrato ent 1000001 1999", None, None), ("CONTRATO-ENT 1234567890", None, None),
+                                             ("contrato ent 99999-1999", None, "CONTRATO-ENT-99999-1999"), ("CONTRATO-ENT00072022", None, "CONTRATO-ENT-0007-2022"),
+                                             ("contrato ent 7-2022 2023", None, "CONTRATO-ENT-0007-2022"), ("3000000000", "2018", None)])
+def test_long_numbers_are_not_cut(spark, text, year, label):
+    assert one(spark, I.norm_sequence("t", "y", "CONTRATO-ENT"), t=text, y=year) == label
+
+
 def test_parties_and_flags(spark):
     assert one(spark, I.party_nature("t"), t="nit") == "Jurídica" and one(spark, I.party_nature("t"), t="cc") == "Natural"
     assert one(spark, I.party_group("t"), t="Unión Temporal X") == "Unión Temporal" and one(spark, I.party_group("t"), t="Acme") == "No"
