@@ -95,6 +95,11 @@ def test_taxid_match(spark):
     assert one(spark, I.taxid_match("a", "b"), a="", b="999") is None
 
 
+@pytest.mark.parametrize("a,b,same", [("NIT: 00900.008122", "12", False), ("12", "900008122", False), ("12", "012", True), ("900008122", "900008122-7", True), ("800000999", "999", True)])
+def test_taxid_fragments_do_not_match(spark, a, b, same):
+    assert one(spark, I.taxid_match("a", "b"), a=a, b=b) is same
+
+
 def test_flatten_url_and_labels(spark):
     assert one(spark, TX.flatten_url("t"), t='{"url": "https://a.b"}') == "https://a.b"
     assert one(spark, TX.flatten_url("t"), t="https://a.b") == "https://a.b"
