@@ -10,7 +10,7 @@ from contrapunto.operators import blocks as B
 from contrapunto.operators import documents as D
 from contrapunto.operators import filters as FL
 from contrapunto.operators import pages as P
-from contrapunto.plans.analogs import AS_OF, NEW_STAMP, OLD_STAMP
+from contrapunto.plans.analogs import AS_OF, NEW_STAMP, OLD_STAMP, portal_pages
 from contrapunto.plans.registry import query
 from contrapunto.sources import scans as SC
 from contrapunto.sources import sinks as SK
@@ -258,7 +258,7 @@ _RAW = "CASE WHEN cerrada THEN {} END"
     "label.Valor total": "CASE WHEN con_valor THEN '$ ' || page_id || '.000.000' ELSE '' END"}.items()) + " FROM {paginas}")
 def k4_raw(t):
     """All columns, as found in the pages."""
-    return SK.export_raw(P.parse_pages(t.paginas, "page_id", "html"), ["page_id"], {"fields": "field", "all_labels": "label"})
+    return SK.export_raw(P.parse_pages(portal_pages(t), "page_id", "html"), ["page_id"], {"fields": "field", "all_labels": "label"})
 
 
 @query("U6_raw_columns", """
@@ -266,7 +266,7 @@ SELECT DISTINCT unnest(list_filter([CASE WHEN cerrada AND titulo <> '' THEN 'fie
   CASE WHEN cerrada AND con_valor THEN 'field.valor_total' END, CASE WHEN cerrada THEN 'label.Titulo' END, CASE WHEN cerrada THEN 'label.Fase' END, CASE WHEN cerrada THEN 'label.Numero del proceso' END,
   CASE WHEN cerrada THEN 'label.Valor total' END], lambda x: x IS NOT NULL)) columna FROM {paginas}""")
 def u6_columns(t):
-    return SK.raw_columns(P.parse_pages(t.paginas, "page_id", "html"), {"fields": "field", "all_labels": "label"})
+    return SK.raw_columns(P.parse_pages(portal_pages(t), "page_id", "html"), {"fields": "field", "all_labels": "label"})
 
 
 # ---- Filters ----------------------------------------------------------------
