@@ -4,18 +4,26 @@ A text is the set of its word windows (two words in a row, folded to lower case;
 score of a note and a body (a document's name or its whole text) is the overlap of the two sets: common windows
 over those of the smaller one, so 1 where the shorter text is quoted whole.
 
-Pairs are never listed per process.  Two sets of overlap t share one of the first n - ceil(t * n) + 1
-windows of the smaller one, in any order of windows that both use; here windows come in the order of the pairs
-that they would make within their process, so frequent phrases are met last.  Only these first windows are
-joined with the other side, on (process, window), and every candidate is then scored on the whole sets: nothing
-is capped or missed.  Texts with equal sets in one process are one class, compared once.
+Pairs are never listed per process.  Two sets of overlap t share one of the first m - ceil(t * n) + 1 of the m
+windows of the smaller one that the other side has at all (n: its windows), in any order of windows that both use;
+here windows come in the order of the pairs that they would make within their process, so frequent phrases are met
+last.  Only these first windows are joined with the other side, on (process, window), and every candidate is then
+scored on the whole sets: nothing is capped or missed.  Texts with equal sets in one process are one class, compared once.
+
+A note needs its best document alone, so notes are first joined at overlap 1, where one window of each text is enough;
+those left over at a lower overlap, and so on.  All pairs of a round's overlap or more are found, so the best of them
+is the best of all.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contrapunto.session import settled
+
 
 def with_windows(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with ``wins`` (hashes of the different windows of ``text``, ascending), their number ``n`` and the
@@ -24,7 +32,7 @@ def with_windows(rows: DataFrame, text: str) -> DataFrame:
     heads = F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(1)))
     pair = lambda w, i: F.xxhash64(F.concat_ws(" ", w, F.get("_words", i + 1)))
     d = rows.withColumn("_words", words).where(F.size("_words") > 0).withColumn("wins", F.array_sort(F.array_distinct(F.transform(heads, pair))))
-    return d.drop("_words", text).withColumns({"n": F.size("wins"), "klass": F.sha2(F.concat_ws(",", F.col("wins").cast("array<string>")), 256)})
+    return d.drop("_words", text).withColumns({"n": F.size("wins"), "klass": F.xxhash64("wins")})
 
 
 def _classes(sets: DataFrame) -> DataFrame:
@@ -39,10 +47,10 @@ def overlap_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """
     opened = [d.select("process_id", "klass", "n", F.explode("wins").alias("w")).withColumn("side", F.lit(s)) for s, d in enumerate((left, right))]
     both = opened[0].unionByName(opened[1])
-    weight = both.groupBy("process_id", "w").agg((F.count_if(F.col("side") == 0) * F.count_if(F.col("side") == 1)).alias("pairs"))
-    order = Window.partitionBy("process_id", "side", "klass").orderBy("pairs", "w")  # one text's windows
-    first = both.join(weight, ["process_id", "w"]).withColumn("at", F.row_number().over(order))
-    first = first.where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).where("pairs > 0")
+    weight = both.groupBy("process_id", "w").agg((F.count_if(F.col("side") == 0) * F.count_if(F.col("side") == 1)).alias("pairs")).where("pairs > 0")
+    text = Window.partitionBy("process_id", "side", "klass")
+    shared = both.join(weight, ["process_id", "w"]).withColumns({"at": F.row_number().over(text.orderBy("pairs", "w")), "m": F.count("*").over(text)})
+    first = shared.where(F.col("at") <= F.col("m") - F.ceil(F.lit(least) * F.col("n")) + 1)
 
     def met(short: int) -> DataFrame:
         a = first.where(F.col("side") == short).select("process_id", "w", F.col("klass").alias("a"), F.col("n").alias("na"))
@@ -58,6 +66,19 @@ def overlap_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return scored.where(F.col("common") >= F.lit(least) * F.col("smaller"))
 
 
+def best_overlaps(notes: DataFrame, bodies: DataFrame, member: DataFrame, least: float) -> DataFrame:
+    """(process_id, klass, best) of the classes of ``notes`` that have a body of overlap ``least``, in rounds."""
+    found = []
+    for reach in sorted({1.0, (1 + least) / 2, least}, reverse=True):
+        pairs = overlap_pairs(notes, bodies, reach)
+        # the least document of a class stands for it
+        best = settled(pairs.join(member, ["process_id", "other"]).groupBy("process_id", F.col("one").alias("klass")).agg(F.min(F.struct(
+            (-F.col("common") / F.col("smaller")).alias("s"), F.col("doc.doc_id").alias("doc_id"), F.col("doc.campo").alias("campo"), "common", "smaller")).alias("best")))
+        found.append(best)
+        notes = notes.join(best, ["process_id", "klass"], "left_anti")
+    return reduce(DataFrame.unionByName, found)
+
+
 def match_notes(notes: DataFrame, docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The best document of its process for every note: ``doc_id``, the field that matched, and the overlap.
 
@@ -67,12 +88,8 @@ def match_notes(notes: DataFrame, docs: DataFrame, least: float = 0.5) -> DataFr
     own = with_windows(notes.select("note_id", "process_id", "text"), "text")
     fields = [docs.select("doc_id", "process_id", F.lit(f).alias("campo"), F.col(f).alias("text")) for f in ("nombre", "texto")]
     bodies = with_windows(fields[0].unionByName(fields[1]), "text")
-    pairs = overlap_pairs(_classes(own), _classes(bodies), least)
-    # the least document of a class stands for it
     member = bodies.groupBy("process_id", F.col("klass").alias("other")).agg(F.min(F.struct("doc_id", "campo")).alias("doc"))
-    score = F.col("common") / F.col("smaller")
-    best = pairs.join(member, ["process_id", "other"]).groupBy("process_id", F.col("one").alias("klass")).agg(
-        F.min(F.struct((-score).alias("s"), F.col("doc.doc_id").alias("doc_id"), F.col("doc.campo").alias("campo"), "common", "smaller")).alias("best"))
+    best = best_overlaps(settled(_classes(own)), settled(_classes(bodies)), member, least)
     hits = own.select("note_id", "process_id", "klass").join(best, ["process_id", "klass"]).select("note_id", "best")
     return notes.select("note_id", "process_id").join(hits, "note_id", "left").select(
         "note_id", "process_id", F.col("best.doc_id").alias("doc_id"), F.col("best.campo").alias("campo"),

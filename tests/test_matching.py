@@ -55,3 +55,16 @@ def test_copies_are_compared_once(spark):
     assert set(got.values()) == {(1, "texto")}
     sets = M.with_windows(spark.createDataFrame(notes, "note_id string, process_id string, text string"), "text")
     assert M._classes(sets).count() == 1
+
+
+def test_rounds_keep_the_best_document(spark):
+    base = [f"w{k}" for k in range(20)]
+    docs = [(9, "P1", None, " ".join(base)), (4, "P1", None, " ".join(base[:12] + ["x"] * 1 + base[13:])), (2, "P1", None, " ".join(base[:13] + ["y"] * 9))]
+    notes = [("whole", "P1", " ".join(base)), ("part", "P1", " ".join(base[:16] + ["p", "q", "r"])), ("less", "P1", " ".join(base[:11] + list("abcdefgh")))]
+    for least in (0.5, 0.6, 0.9):
+        assert run(spark, notes, docs, least) == brute(notes, docs, least)
+    own = M.with_windows(spark.createDataFrame(notes[:1], "note_id string, process_id string, text string"), "text")
+    bodies = M.with_windows(spark.createDataFrame(docs, "doc_id long, process_id string, campo string, text string"), "text")
+    assert M.overlap_pairs(M._classes(own), M._classes(bodies), 1.0).count() == 1
+    member = bodies.groupBy("process_id", bodies.klass.alias("other")).agg({"doc_id": "min"}).selectExpr("process_id", "other", "struct(`min(doc_id)` doc_id, 'texto' campo) doc")
+    assert [r["best"]["doc_id"] for r in M.best_overlaps(M._classes(own), M._classes(bodies), member, 0.5).collect()] == [9]
