@@ -161,3 +161,9 @@ def test_norm_for_compare_is_symmetric(spark, n):
     d = spark.createDataFrame([(f"{n:.2f}", f"${n:,.2f}")], "a string, b string")
     r = d.select(norm_for_compare("a", F.lit("valor_total")).alias("a"), norm_for_compare("b", F.lit("valor_total")).alias("b")).first()
     assert r.a == r.b
+
+
+def test_check_digit_reads_the_text_once(spark):
+    d = spark.createDataFrame([("860.007.738-",), (" 901148337",), ("12345",), ("123456789012345678",), ("",), (None,), ("abc1234567",)], "t string").select(I.check_digit("t").alias("dv"))
+    assert [r["dv"] for r in d.collect()] == ["9", "1", None, "2", None, None, None]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("reverse(") <= 1
