@@ -1,7 +1,7 @@
 """Portal pages to fields, documents and notices.
 
 HTML needs a real parser, so Python cuts each page into table rows and label pairs, in
-Arrow batches; one page is all a task holds.  Every rule about labels, documents and
+Arrow batches; a task holds the rows of ``SLICE`` pages.  Every rule about labels, documents and
 notices is a column expression over those rows and pairs.
 """
 
@@ -32,6 +32,9 @@ NOTICE_DATE = r"(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}\s*(?:AM|PM|a\.?m\.?|p\.?m
 
 # ---- Cutting (Python) -------------------------------------------------------
 
+#: Pages whose rows and pairs a task holds at once; an Arrow batch may have 10,000.
+SLICE = 200
+
 CUT = T.StructType([
     T.StructField("rows", T.ArrayType(T.StructType([
         T.StructField("grid", T.BooleanType()), T.StructField("name", T.StringType()), T.StructField("call", T.StringType()),
@@ -141,8 +144,10 @@ def cut_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``key``, ``rows`` and ``pairs`` of every page."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cut = [cut_page(h) for h in b[html]]
-            yield pd.DataFrame({key: b[key], "rows": [c[0] for c in cut], "pairs": [c[1] for c in cut]})
+            for at in range(0, len(b), SLICE):
+                part = b.iloc[at:at + SLICE]
+                cut = [cut_page(h) for h in part[html]]
+                yield pd.DataFrame({key: part[key], "rows": pd.Series([c[0] for c in cut], index=part.index, dtype=object), "pairs": pd.Series([c[1] for c in cut], index=part.index, dtype=object)})
 
     schema = T.StructType([pages.schema[key], *CUT.fields])
     return pages.select(key, html).mapInPandas(run, schema)
