@@ -5,7 +5,9 @@ encoding of theirs.  So a nondeterministic machine that guesses token borders ha
 only the last finished token and the bytes read since.  ``Transducer`` determinises it on
 demand: a state is the set of surviving guesses, none longer than the longest token; tokens are
 emitted as soon as one guess survives.  Moves are memoised in a table of bounded size, emptied
-when full.
+when full.  Most short pieces are met once, so that their moves would be made and never used again:
+they follow the same machine's guesses depth first, the longest token first.  No two paths lead to
+one place, so a place that was left without success is never entered again.
 
 Decoding maps ids to bytes and runs them through an incremental UTF-8 state machine, which
 holds back at most three bytes of an unfinished character between chunks.
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from contrapunto.llm.common import slices, texts, wanted
 
 MAX_STATES = 250_000   # moves of the determinised machine kept before the table is emptied
+MAX_PAIRS = 500_000    # answers kept to whether one token may follow another
 MAX_PIECES = 250_000   # encoded pieces kept per worker
 MAX_PIECE_BYTES = 64   # longer pieces are encoded but not kept
 #: The given pretokenizer pattern (fixed value), and the same choice with the most frequent class first and no
@@ -63,7 +66,10 @@ class Transducer:
             for n in range(1, len(b)):
                 number.setdefault(b[:n], len(number))
         self.trie = {256 * at + b[-1]: (number.get(b, 0), ranks.get(b, -1)) for b in {*ranks, *number} if b and (at := number.get(b[:-1])) is not None}
+        # the longest token that each token begins with, itself left out (or -1)
+        self.shorter = {i: next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), -1) for b, i in ranks.items()}
         self.max_states = max_states
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.heads: dict[int, list[tuple[bytes, float]]] = {}
         self.tails: dict[int, list[tuple[bytes, float]]] = {}
         self._reset()
@@ -155,6 +161,50 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
+        if len(data) <= MAX_PIECE_BYTES:
+            return self._followed(data)
+        return self._streamed(data)
+
+    def _followed(self, data: bytes) -> list[int]:
+        """Guesses followed depth first."""
+        if len(self.pairs) > MAX_PAIRS:
+            self.pairs.clear()
+        size, path, at, last, left = len(data), [], 0, -1, set()
+        step, known, width, shorter = self.trie.get, self.pairs.get, self.width, self.shorter
+        while True:
+            token, node = -1, 0
+            for byte in data[at:]:
+                found = step(256 * node + byte)
+                if not found:
+                    break
+                node, ends = found
+                if ends >= 0:
+                    token = ends
+                if not node:
+                    break
+            while True:
+                while token < 0:  # no token leads on from here
+                    if not path:
+                        raise ValueError("no encoding: the vocabulary lacks a byte")
+                    left.add(at)
+                    token = path.pop()
+                    at -= width[token]
+                    last, token = path[-1] if path else -1, shorter[token]
+                end = at + width[token]
+                if end not in left:
+                    fit = known((last, token))
+                    if fit is None:
+                        fit = self.pairs[last, token] = self.fits(last, token)
+                    if fit:
+                        break
+                token = shorter[token]
+            path.append(token)
+            if end == size:
+                return path
+            at, last = end, token
+
+    def _streamed(self, data: bytes) -> list[int]:
+        """Guesses followed side by side by the determinised machine."""
         if len(self.moves) > self.max_states:
             self._reset()
         out: list[int] = []
