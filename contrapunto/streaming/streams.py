@@ -126,7 +126,7 @@ def _none(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 _STATE = T.StructType([
-    T.StructField("first", T.ArrayType(T.LongType())), T.StructField("last", T.ArrayType(T.LongType())),
+    T.StructField("chain", T.ArrayType(T.LongType())), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("last", T.ArrayType(T.LongType())),
     T.StructField("prev", T.ArrayType(T.StringType())), T.StructField("hash", T.ArrayType(T.StringType()))])
 _CHECKED = T.StructType([
     T.StructField("chain_id", T.LongType()), T.StructField("segmento", T.LongType()), T.StructField("entradas", T.LongType()),
@@ -151,35 +151,44 @@ def join_stretches(stretches: list[Stretch]) -> tuple[list[Stretch], int]:
 def stream_verify(log: DataFrame, columns: list[str], segment: int = SEGMENT) -> DataFrame:
     """Chain verification as entries arrive, in any order and any number of files.
 
-    The key is (chain, segment), so the rows of a hot chain spread over the cluster and one key never
-    holds more than a segment.  The state of a key is its open stretches; an entry's own hash is
-    checked when it arrives, its link as soon as the entry before it is there.  An entry counts as
-    broken once.  A position that came before is not counted again (``repetidas``).
+    The key is (group of chains, segment), so the rows of a hot chain spread over the cluster.  So many chains
+    whose ids follow each other share a key that it never holds more than ``SEGMENT`` entries, or one segment
+    that is longer: with short segments, a call of the state function serves hundreds of them.  The state of a key is
+    its open stretches; an entry's own hash is checked when it arrives, its link as soon as the entry before it is
+    there.  An entry counts as broken once.  A position that came before is not counted again (``repetidas``).
     """
+    chains = max(1, SEGMENT // segment)
     d = log.select("chain_id", segment_of("cpos", segment).alias("segmento"), "cpos", "prev_hash", "hash",
                    F.sha2(F.concat(canonical(columns), "prev_hash"), 256).alias("esperado"))
+    d = d.withColumn("grupo", F.floor(F.col("chain_id") / chains))
 
     def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chain, part = key
+        group, part = key
         begin = part * segment + 1
-        start = GENESIS if part == 0 else hashlib.sha256(f"{chain}:{part}".encode()).hexdigest()
-        known = list(zip(*[list(x) for x in state.get])) if state.exists else []
-        rows, fresh, again, broken = pd.concat(list(frames)).sort_values("cpos", kind="stable"), [], 0, 0
-        seen = set()
-        for pos, prev, own, expected in zip(rows["cpos"].tolist(), rows["prev_hash"], rows["hash"], rows["esperado"]):
-            if pos in seen or any(a <= pos <= b for a, b, _, _ in known):
-                again += 1
-                continue
-            seen.add(pos)
-            bad = own != expected or (pos == begin and prev != start)
-            broken += bad
-            fresh.append((pos, pos, None if bad or pos == begin else prev, own))
-        joined, unfit = join_stretches([*known, *fresh])
-        state.update(tuple(list(x) for x in zip(*joined)))
-        yield pd.DataFrame({"chain_id": [chain], "segmento": [part], "entradas": [len(fresh)], "rotas": [broken + unfit],
-                            "repetidas": [again], "tramos": [len(joined)], "ultima": [joined[-1][1]]})
-
-    return d.groupBy("chain_id", "segmento").applyInPandasWithState(check, _CHECKED, _STATE, "append", GroupStateTimeout.NoTimeout)
+        known: dict[int | None, list[Stretch]] = {}
+        for chain, *stretch in zip(*[list(x) for x in state.get]) if state.exists else []:
+            known.setdefault(chain, []).append(tuple(stretch))
+        rows, came = pd.concat(list(frames)).sort_values("cpos", kind="stable"), {}
+        for chain, *entry in zip([None] * len(rows) if group is None else rows["chain_id"].tolist(), rows["cpos"].tolist(), rows["prev_hash"], rows["hash"], rows["esperado"]):
+            came.setdefault(chain, []).append(entry)
+        out = []
+        for chain, entries in came.items():
+            start = GENESIS if part == 0 else hashlib.sha256(f"{chain}:{part}".encode()).hexdigest()
+            before, fresh, again, broken, seen = known.get(chain, []), [], 0, 0, set()
+            for pos, prev, own, expected in entries:
+                if pos in seen or any(a <= pos <= b for a, b, _, _ in before):
+                    again += 1
+                    continue
+                seen.add(pos)
+                bad = own != expected or (pos == begin and prev != start)
+                broken += bad
+                fresh.append((pos, pos, None if bad or pos == begin else prev, own))
+            known[chain], unfit = join_stretches([*before, *fresh])
+            out.append((chain, part, len(fresh), broken + unfit, again, len(known[chain]), known[chain][-1][1]))
+        state.update(tuple(list(x) for x in zip(*[(chain, *s) for chain, stretches in known.items() for s in stretches])))
+        yield pd.DataFrame(out, columns=_CHECKED.names)
+
+    return d.groupBy("grupo", "segmento").applyInPandasWithState(check, _CHECKED, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def chain_state(checked: DataFrame) -> DataFrame:
