@@ -218,13 +218,14 @@ def groups(docs: DataFrame, chunk: int = CHUNK, turns: int = TURNS, few: int = F
     named = rows.join(open_.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
     sets = durable(_sets(docs, named.select("k.k1", "k.k2", "node")))
     links, size = docs.sparkSession.createDataFrame([], "a long, b long"), open_.count()
+    roots = None
     for _ in range(turns):
         led = durable(open_.join(_stars(open_), "bucket").select("bucket", "node", "root", "leader", "last", "n"))
         apart = led.join(led.where("node = leader").select("bucket", F.col("root").alias("there")), "bucket").where("root <> there")
         # one part for each 1024, 4096, 16384, ... nodes of a bucket
         parts = F.pow(F.lit(4), F.ceil(F.log(F.greatest(F.lit(1.0), F.col("n") / 1024)) / F.log(F.lit(4.0)))).cast("long")
         links = durable(links.unionByName(_confirmed(apart.select(F.col("node").alias("a"), F.col("leader").alias("b"), parts.alias("parts")).distinct(), sets)))
-        roots = components(links)
+        roots = components(links, roots)
         open_ = durable(_still_open(led, roots))
         was = size
         size, most = open_.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
@@ -234,12 +235,12 @@ def groups(docs: DataFrame, chunk: int = CHUNK, turns: int = TURNS, few: int = F
         squares = durable(_squares(open_, chunk))
         found = durable(_by_square(squares.join(sets.select("node", "sketch"), "node"), "sketch", _sketched))
         links = durable(links.unionByName(_confirmed(found.where("a is not null").select("a", "b", F.lit(1).cast("long").alias("parts")).distinct(), sets)))
-        roots = components(links)
+        roots = components(links, roots)
         marked = found.where("a is null").select("bucket", "i", "j")
         if marked.limit(1).count():
             dense = squares.join(marked, ["bucket", "i", "j"]).drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             links = durable(links.unionByName(_by_square(dense.join(sets.select("node", "own"), "node"), "own", _joined).select("a", "b")))
-            roots = components(links)
+            roots = components(links, roots)
     return rows.drop("buckets"), roots
 
 
