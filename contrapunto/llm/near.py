@@ -5,8 +5,9 @@ shingles (the whole sequence if there are fewer words), each hashed to 64 bits.
 are one node; texts without words, and nulls, are all one node.  Two nodes link if the Jaccard
 similarity of their sets is 0.8 or more, and a group is a component of the links.
 
-SimHash does not reach this: such texts differ in 2 to 11 bits and more, too many for its bands.
-Candidates come from MinHash instead, ``BANDS`` bands of ``ROWS`` least hashes: two nodes of similarity
+SimHash comes first: texts whose fingerprints are equal, or linked by its Gray-order index (``simhash.links``, 2 or
+fewer differing bits), are compared, and those that are alike are linked.  Texts of similarity 0.8 differ in 2 to 11
+bits and more, so the rest comes from MinHash, ``BANDS`` bands of ``ROWS`` least hashes: two nodes of similarity
 0.8 share no band with probability (1 - 0.8**8)**64, about 8 in a million, and less above.  Every
 link is confirmed on the sets themselves, in whole numbers.
 
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contrapunto.llm import simhash
 from contrapunto.llm.common import durable, slices
 from contrapunto.llm.components import components
 
@@ -85,15 +87,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return own.select(k(1).alias("k1"), k(2).alias("k2"), "doc_id", "text", "row")
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """``k1``, ``k2``, ``doc_id``, ``node`` and ``buckets``, a row per document."""
+def _nodes(docs: DataFrame, bands: int = BANDS) -> DataFrame:
+    """``k1``, ``k2``, ``doc_id``, ``node``, ``fp`` (its SimHash) and ``buckets`` (of the first ``bands``), a row per document."""
     def run(batches):
         for b in slices(batches):
-            sets = [shingles(t) for t in b.column(3).to_pylist()]
+            texts = b.column(3).to_pylist()
+            sets = [shingles(t) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array([_buckets(s) for s in sets], pa.list_(pa.int64()))], names=["k1", "k2", "doc_id", "node", "buckets"])
+            fps = np.array([simhash.fingerprint(t or "") for t in texts], dtype=np.uint64).view(np.int64)
+            buckets = pa.array([_buckets(s)[:bands] for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(fps), buckets], names=["k1", "k2", "doc_id", "node", "fp", "buckets"])
 
-    return _keyed(docs).select("k1", "k2", "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long, node long, buckets array<long>")
+    return _keyed(docs).select("k1", "k2", "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long, node long, fp long, buckets array<long>")
+
+
+def _parts(n: str):
+    """One part for each 1024, 4096, 16384, ... partners."""
+    return F.pow(F.lit(4), F.ceil(F.log(F.greatest(F.lit(1.0), F.col(n) / 1024)) / F.log(F.lit(4.0)))).cast("long")
+
+
+def _by_simhash(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, ``parts``) of nodes to compare: each fingerprint's nodes with the least of them, and the least ones of linked fingerprints."""
+    own = rows.select("fp", "node").distinct()
+    least = durable(own.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    equal = own.join(least, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"), _parts("n").alias("parts"))
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias("n" + c))
+    linked = simhash.links(least.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), F.lit(1).cast("long").alias("parts"))
+    return equal.unionByName(linked).where("a <> b").distinct()
 
 
 def _sets(docs: DataFrame, named: DataFrame) -> DataFrame:
@@ -209,22 +229,25 @@ def _still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return here.select("bucket", "node", "root").join(mixed.select("bucket", "last"), "bucket")
 
 
-def groups(docs: DataFrame, chunk: int = CHUNK, turns: int = TURNS, few: int = FEW) -> tuple[DataFrame, DataFrame]:
-    """The rows (``k1``, ``k2``, ``doc_id``, ``node``) and the ``root`` of each node that has links."""
-    rows = durable(_nodes(docs))
+def groups(docs: DataFrame, chunk: int = CHUNK, turns: int = TURNS, few: int = FEW, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """The rows (``k1``, ``k2``, ``doc_id``, ``node``) and the ``root`` of each node that has links.
+
+    With ``bands`` 0 the links are those of SimHash alone.
+    """
+    rows = durable(_nodes(docs, bands))
+    near = durable(_by_simhash(rows))
     dealt = rows.dropDuplicates(["node"]).select("node", F.explode("buckets").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     open_ = durable(dealt.join(shared, "bucket").select("bucket", "node", F.col("node").alias("root"), F.lit(None).cast("long").alias("last")))
-    named = rows.join(open_.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    compared = open_.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    named = rows.join(compared, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
     sets = durable(_sets(docs, named.select("k.k1", "k.k2", "node")))
-    links, size = docs.sparkSession.createDataFrame([], "a long, b long"), open_.count()
-    roots = None
-    for _ in range(turns):
+    links, size = durable(_confirmed(near, sets)), open_.count()
+    roots = None if size and turns else components(links)
+    for _ in range(turns if size else 0):
         led = durable(open_.join(_stars(open_), "bucket").select("bucket", "node", "root", "leader", "last", "n"))
         apart = led.join(led.where("node = leader").select("bucket", F.col("root").alias("there")), "bucket").where("root <> there")
-        # one part for each 1024, 4096, 16384, ... nodes of a bucket
-        parts = F.pow(F.lit(4), F.ceil(F.log(F.greatest(F.lit(1.0), F.col("n") / 1024)) / F.log(F.lit(4.0)))).cast("long")
-        links = durable(links.unionByName(_confirmed(apart.select(F.col("node").alias("a"), F.col("leader").alias("b"), parts.alias("parts")).distinct(), sets)))
+        links = durable(links.unionByName(_confirmed(apart.select(F.col("node").alias("a"), F.col("leader").alias("b"), _parts("n").alias("parts")).distinct(), sets)))
         roots = components(links, roots)
         open_ = durable(_still_open(led, roots))
         was = size
@@ -241,12 +264,12 @@ def groups(docs: DataFrame, chunk: int = CHUNK, turns: int = TURNS, few: int = F
             dense = squares.join(marked, ["bucket", "i", "j"]).drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             links = durable(links.unionByName(_by_square(dense.join(sets.select("node", "own"), "node"), "own", _joined).select("a", "b")))
             roots = components(links, roots)
-    return rows.drop("buckets"), roots
+    return rows.drop("buckets", "fp"), roots
 
 
-def keep_one(docs: DataFrame, chunk: int = CHUNK, turns: int = TURNS, few: int = FEW) -> DataFrame:
+def keep_one(docs: DataFrame, chunk: int = CHUNK, turns: int = TURNS, few: int = FEW, bands: int = BANDS) -> DataFrame:
     """The documents, exactly one row of each group."""
-    rows, roots = groups(docs, chunk, turns, few)
+    rows, roots = groups(docs, chunk, turns, few, bands)
     placed = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("row"))
     keep = placed.groupBy("root").agg(F.min("row").alias("row")).select("row.k1", "row.k2")
     return _keyed(docs).join(keep, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")

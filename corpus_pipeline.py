@@ -31,6 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word similarity 0.8 or more): the one with the least id.
 
+    SimHash links come first, each confirmed by the similarity; MinHash adds those that lie beyond its distance.
     Null ids come last.  All texts without words, nulls among them, are one group.
     """
     table(spark, sf_dir, "documents")  # makes the package known to the workers

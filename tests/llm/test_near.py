@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from contrapunto.llm import near
+from contrapunto.llm import near, simhash
 
 
 def shingled(text):
@@ -75,3 +75,20 @@ def test_dense_groups_and_leaders(spark, docs):
     own = near._joined(np.full(len(rows), 3), at, at, [s.view(np.int64).tolist() for s in sets])
     assert len(own) == len(rows) - len(want)
     assert near._sketched(np.full(len(rows), 3), at, at, [near._sketch(s) for s in sets]) is None
+
+
+def test_simhash_links_alone(spark, docs):
+    """Without MinHash bands the SimHash index finds the copies within its distance, and only the similar ones of them."""
+    words = [f"s{i}" for i in range(900)]
+    near_by = [(k, " ".join("x" + w if i == 40 * k else w for i, w in enumerate(words))) for k in range(1, 6)]
+    rows = [(0, " ".join(words)), *near_by, (20, "a b c"), (21, "d e f"), (30, None), (31, " ")]
+    prints = {i: simhash.fingerprint(t or "") for i, t in rows}
+    linked = {i for i in range(1, 6) if (prints[i] ^ prints[0]).bit_count() <= 2}
+    assert linked
+    kept = kept_ids(near.keep_one(docs(rows), bands=0))
+    assert not linked & set(kept) and {0, 20, 21, 30} <= set(kept) and 31 not in kept
+    # fingerprints within the distance, texts that are not alike: nothing is dropped
+    often = " ".join(words[:200] * 60)
+    rows = [(0, often), (1, often + " " + " ".join(words[300:500]))]
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() <= 2
+    assert kept_ids(near.keep_one(docs(rows), bands=0)) == brute_kept(rows) == [0, 1]
