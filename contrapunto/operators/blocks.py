@@ -118,15 +118,34 @@ def contract_block(contracts: DataFrame, cell: int = 256) -> DataFrame:
     others = extras(contracts, explicit, empty=(*S.LIST_PLACEHOLDERS, "0"))
     lists = [item(label, shape[how](f), how) for label, f, how in S.CONTRACT_BLOCK if how in shape] + [item(S.CONTRACT_EXTRAS, others, "lista")]
     whole = [label for label, _, how in S.CONTRACT_BLOCK if how == "lista"] + [S.CONTRACT_EXTRAS]
+    labels = [label for label, _, how in S.CONTRACT_BLOCK if how != "suma"] + [S.CONTRACT_EXTRAS]
+    money = lambda f: F.sum(F.replace(text(f), F.lit(","), F.lit("")).try_cast("decimal(28,4)")).cast("decimal(38,4)")
+    totals = [money(f).alias(label) for label, f, how in S.CONTRACT_BLOCK if how == "suma"]
+    whole_row = [F.col(f"`{label}`") for label, _, _ in S.CONTRACT_BLOCK] + [F.col(f"`{S.CONTRACT_EXTRAS}`")]
+    large = O.oversized(contracts.groupBy("process_id").agg(F.count("*").alias("n")), ["process_id"], cell)
+    # processes of at most ``cell`` contracts in one pass
+    few = contracts if large is None else contracts.join(large.withColumnRenamed("process_id", "_k"), F.col("process_id").eqNullSafe(F.col("_k")), "left_anti")
+    few = few.select("*", *[x["v"].alias(f"_v{i}") for i, x in enumerate(lists)], F.col("seq").cast("bigint").alias("_o"))
+    few = few.groupBy("process_id").agg(F.collect_list(F.struct("_o", *[f"_v{i}" for i in range(len(lists))])).alias("_a"), *totals)
+
+    def cell_of(i: int, label: str, sorted_: bool) -> Column:
+        items = F.filter(F.transform("_a", lambda x: F.struct((F.lit(0).cast("bigint") if sorted_ else x["_o"]).alias("o"), x[f"_v{i}"].alias("v"))), lambda x: x["v"] != "")
+        return F.nullif(F.array_join(O.in_order(items, label in whole), " | "), F.lit("")).alias(label)
+
+    hows = [how for _, _, how in S.CONTRACT_BLOCK if how in shape] + ["lista"]
+    few = few.select("process_id", F.lit(0).cast("bigint").alias("part"), *[cell_of(i, label, how in ("conjunto", "documento")) for i, (label, how) in enumerate(zip(labels, hows))],
+                     *[f"`{label}`" for label, _, how in S.CONTRACT_BLOCK if how == "suma"])
+    few = few.where(F.coalesce(*[F.col(f"`{label}`") for label in labels]).isNotNull()).select("process_id", "part", *whole_row)
+    if large is None:
+        return few
+    contracts = contracts.join(large.withColumnRenamed("process_id", "_k"), F.col("process_id").eqNullSafe(F.col("_k")), "left_semi")
     long = contracts.select("process_id", F.explode(F.array(*lists)).alias("x")).select("process_id", "x.*")
     parts = O.listing(long.where(F.col("campo").isin(whole)), ["process_id", "campo"], "v", "t", by="o", cell=cell, repeats=True).unionByName(
         O.listing(long.where(~F.col("campo").isin(whole)), ["process_id", "campo"], "v", "t", by="o", cell=cell))
-    labels = [label for label, _, how in S.CONTRACT_BLOCK if how != "suma"] + [S.CONTRACT_EXTRAS]
     wide = parts.groupBy("process_id", "part").agg(*[F.max(F.when(F.col("campo") == x, F.col("t"))).alias(x) for x in labels])
-    money = lambda f: F.sum(F.replace(text(f), F.lit(","), F.lit("")).try_cast("decimal(28,4)")).cast("decimal(38,4)")
-    sums = contracts.groupBy("process_id").agg(*[money(f).alias(label) for label, f, how in S.CONTRACT_BLOCK if how == "suma"]).withColumn("part", F.lit(0).cast("bigint"))
+    sums = contracts.groupBy("process_id").agg(*totals).withColumn("part", F.lit(0).cast("bigint"))
     d = wide.withColumn("part", F.col("part").cast("bigint")).join(sums, ["process_id", "part"], "left")
-    return d.select("process_id", "part", *[F.col(f"`{label}`") for label, _, _ in S.CONTRACT_BLOCK], F.col(f"`{S.CONTRACT_EXTRAS}`"))
+    return few.unionByName(d.select("process_id", "part", *whole_row))
 
 
 def identity_block(p: DataFrame, contracts: DataFrame, places: DataFrame, cell: int = 256) -> DataFrame:
