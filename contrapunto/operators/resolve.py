@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contrapunto.functions.identifiers import contract_id, id_kind, infer_process_id, link_id, notice_id
 from contrapunto.operators import ordering as O
@@ -67,11 +68,12 @@ def contract_children(c: DataFrame, children: dict[str, DataFrame]) -> DataFrame
     return out
 
 
-def child_rows(c: DataFrame, children: dict[str, Callable[[], DataFrame]], fields: dict[str, dict[str, str]]) -> DataFrame:
+def child_rows(c: DataFrame, children: dict[str, Callable[[], DataFrame]], fields: dict[str, dict[str, str]], as_text: bool = False) -> DataFrame:
     """Every child row of every contract as ``(id_contrato, process_id, hijo, datos, error)``: a tagged union.
 
     A child is given as a function that reads it, with ``id_contrato`` and either a JSON text ``raw`` or
-    columns of its own; ``datos`` is a variant, so children of any shape share the table.  ``fields``
+    columns of its own; ``datos`` is a variant, so children of any shape share the table.  With ``as_text`` it is
+    that variant's JSON text; text columns are then written and read as they are, without a variant between.  ``fields``
     names what a child's rows must hold and as which type.  A bad row is kept with its ``error``, and a child that
     cannot be read at all is one row without a contract: neither touches the other children.
     """
@@ -81,17 +83,24 @@ def child_rows(c: DataFrame, children: dict[str, Callable[[], DataFrame]], field
             child.schema  # noqa: B018 - what cannot be resolved fails here
         except AnalysisException as exc:
             missing = c.sparkSession.range(1).select(F.lit(None).cast("string").alias("id_contrato"), F.lit(None).cast("string").alias("datos"))
-            return missing.select("id_contrato", F.lit(name).alias("hijo"), F.parse_json("datos").alias("datos"), F.lit(f"sin fuente: {exc.getCondition()}").alias("error"))
+            return missing.select("id_contrato", F.lit(name).alias("hijo"), (F.col("datos") if as_text else F.parse_json("datos")).alias("datos"), F.lit(f"sin fuente: {exc.getCondition()}").alias("error"))
         plain = [x for x in child.columns if x != "id_contrato"]
-        data = F.try_parse_json("raw") if plain == ["raw"] else F.to_variant_object(F.struct(*plain))
-        d = child.select("id_contrato", data.alias("datos"))
-        bad = [F.when(F.try_variant_get("datos", f"$.{f}", kind).isNull(), F.lit(f)) for f, kind in fields.get(name, {}).items()]
+        wanted = fields.get(name, {})
+        if as_text and plain != ["raw"] and all(child.schema[x].dataType == T.StringType() for x in plain) and set(wanted) <= set(plain):
+            data = F.to_json(F.struct(*sorted(plain)), {"ignoreNullFields": "false"})
+            d = child.select("id_contrato", data.alias("datos"), *[F.col(f).try_cast(kind).isNull().alias(f"_{i}") for i, (f, kind) in enumerate(wanted.items())])
+        else:
+            data = F.try_parse_json("raw") if plain == ["raw"] else F.to_variant_object(F.struct(*plain))
+            d = child.select("id_contrato", data.alias("datos"))
+            d = d.select("id_contrato", (F.to_json("datos") if as_text else F.col("datos")).alias("datos"),
+                         *[F.try_variant_get("datos", f"$.{f}", kind).isNull().alias(f"_{i}") for i, (f, kind) in enumerate(wanted.items())])
+        bad = [F.when(F.col(f"_{i}"), F.lit(f)) for i, f in enumerate(wanted)]
         wrong = F.array_join(F.array_compact(F.array(*bad)), ", ") if bad else F.lit("")
         error = F.when(F.col("datos").isNull(), F.lit("ilegible")).when(wrong != "", F.concat(F.lit("campos: "), wrong))
         return d.select("id_contrato", F.lit(name).alias("hijo"), "datos", error.alias("error"))
 
     stacked = reduce(DataFrame.unionByName, [rows(n, read) for n, read in children.items()])
-    return stacked.join(c.select("id_contrato", "process_id"), "id_contrato", "left").select("id_contrato", "process_id", "hijo", "datos", "error")
+    return stacked.join(c.select("id_contrato", "process_id").hint("shuffle_hash"), "id_contrato", "left").select("id_contrato", "process_id", "hijo", "datos", "error")
 
 
 # ---- Source cascade (J4-J6) -------------------------------------------------

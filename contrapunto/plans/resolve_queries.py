@@ -56,12 +56,11 @@ def j3_rows(t):
     torn = F.when((F.col("estado") == "Vencida") & (F.col("tipo") == "Calidad"), F.lit('{"numero": ')).otherwise(F.to_json(F.struct("numero", "tipo", text("valor"))))
     bad = t.facturas.select("id_contrato", F.when(F.col("pagada"), F.col("fecha").cast("string")).otherwise("pronto").alias("fecha"),
                             F.when(F.col("estado") == "Radicada", "n/d").otherwise(F.col("valor_total").cast("string")).alias("valor_total"))
-    d = R.child_rows(t.contratos, {
+    return R.child_rows(t.contratos, {
         "adicion": lambda: t.adiciones.select("id_contrato", "tipo", text("valor"), text("fecha")),
         "garantia": lambda: t.garantias.select("id_contrato", torn.alias("raw")),
         "factura": lambda: bad, "ejecucion": lambda: t.spark.read.parquet(f"{t.folder}/ejecucion_que_no_existe.parquet")},
-        {"adicion": {"valor": "decimal(18,2)"}, "garantia": {"valor": "decimal(18,2)"}, "factura": {"fecha": "date", "valor_total": "decimal(18,2)"}})
-    return d.withColumn("datos", F.to_json("datos"))
+        {"adicion": {"valor": "decimal(18,2)"}, "garantia": {"valor": "decimal(18,2)"}, "factura": {"fecha": "date", "valor_total": "decimal(18,2)"}}, as_text=True)
 
 
 # The watch item, its keys, and one row per lookup key of every source.
