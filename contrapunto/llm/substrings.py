@@ -10,8 +10,8 @@ on the input.
 2. Runs equal in whole are pre-aggregated to their earliest holder, first in the task that cuts
    them and then by anchor, so a copied passage reaches a reducer at most once a task.  An anchor
    with a single run has nothing more to compare.
-3. The different runs of an anchor are concatenated, many anchors to a bounded block, and the block
-   is searched: intervals of the suffix array are extended backward over the Burrows-Wheeler
+3. The different runs of an anchor that may share a window (by hash) are concatenated, many anchors to a
+   bounded block, and the block is searched: intervals of the suffix array are extended backward over the Burrows-Wheeler
    transform, breadth first, so that common prefixes come out by increasing value; expansion stops
    at ``size``.  Borders never set separate nothing: the windows between two set borders are
    equal, and all but the earliest are marked.
@@ -307,14 +307,38 @@ def later_windows(pieces: list[tuple[int, int, int, bytes]], size: int) -> list[
     return list(zip(doc[which].tolist(), version[which].tolist(), s.tolist(), n.tolist()))
 
 
+def meeting(pieces: list[tuple[int, int, int, bytes]], size: int) -> list[tuple[int, int, int, bytes]]:
+    """The pieces that hold a window whose hash comes more than once; the others hold no equal window."""
+    data = np.frombuffer(b"".join(p[3] for p in pieces), dtype=np.uint8)
+    lengths = np.array([len(p[3]) for p in pieces])
+    windows = np.maximum(lengths - size + 1, 0)
+    if windows.sum() < 2:
+        return []
+    owner = np.repeat(np.arange(len(pieces)), windows)
+    at = np.arange(len(owner)) + np.repeat((np.cumsum(lengths) - lengths) - (np.cumsum(windows) - windows), windows)
+    powers = np.multiply.accumulate(np.full(len(data), _B, dtype=np.uint64))
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(_T2[data] * powers)])
+    back = np.multiply.accumulate(np.full(len(data), _INVERSE, dtype=np.uint64))
+    h = (prefix[at + size] - prefix[at]) * back[at]
+    o = np.argsort(h)
+    same = h[o][1:] == h[o][:-1]
+    twice = np.zeros(len(h), dtype=bool)
+    twice[o[1:][same]] = twice[o[:-1][same]] = True
+    return [pieces[i] for i in np.unique(owner[twice]).tolist()]
+
+
 def _compare(batches, size: int, block: int):
-    """Runs sorted by anchor in, marks out; whole anchors are compared, many in one block."""
+    """Runs sorted by anchor in, marks out; whole anchors are compared, many in one block.
+
+    Most runs share an anchor and no window; only those that may share one are transformed.
+    """
     held, total, anchor = [], 0, None
 
     def done():
         found = []
         if total <= 8 * block:
-            found = later_windows(held, size)
+            met = meeting(held, size)
+            found = later_windows(met, size) if met else []
         else:  # equal windows have equal checksums, so an overgrown anchor is searched in parts
             parts = total // block + 1
             for i in range(parts):
